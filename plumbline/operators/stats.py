@@ -203,9 +203,11 @@ def split_aggregate(scores: DataFrame, metrics: Sequence[str], strict: bool = Fa
     composites = [c for c in ("deterministic_prqs", "partial_full_prqs_lower_bound") if c in scores.columns]
     keys = ["domain", "split", "metric"]
     metric_rows = to_long(scores.drop(*composites), metrics).select(*keys, "case_id", "raw", "branch")
-    stacked = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("raw")) for c in composites])
-    composite_rows = scores.select("domain", "split", "case_id", F.inline(stacked)).withColumn("branch", F.lit("standard"))
-    rows = metric_rows.unionByName(composite_rows.select(metric_rows.columns))
+    rows = metric_rows
+    if composites:
+        stacked = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("raw")) for c in composites])
+        composite_rows = scores.select("domain", "split", "case_id", F.inline(stacked)).withColumn("branch", F.lit("standard"))
+        rows = metric_rows.unionByName(composite_rows.select(metric_rows.columns))
     ci = bootstrap_ci(rows, keys, "raw", ["case_id"], **options).select(*keys, "lower", "upper")
     counts = missingness(rows, keys).select(
         *keys, F.create_map(*[x for b in V.BRANCHES for x in (F.lit(b), F.col(b))]).alias("missingness")
