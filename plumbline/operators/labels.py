@@ -220,7 +220,7 @@ def build_few_shots(requests: DataFrame, cases: DataFrame, existing: DataFrame |
     """
     clean = requests.withColumn(
         "inspired_by_train_case_ids",
-        F.filter(F.transform("inspired_by_train_case_ids", F.trim), lambda x: x != ""),
+        F.filter(F.transform("inspired_by_train_case_ids", lambda x: F.trim(x)), lambda x: x != ""),
     )
     parents = clean.select("request_id", F.posexplode_outer("inspired_by_train_case_ids").alias("pos", "case_id"))
     known = cases.select("case_id", "domain", "split", "scenario_fingerprint")

@@ -14,7 +14,7 @@ from plumbline.functions import scalar as S
 
 def _cells(line: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(F.trim(line), r"^\|", ""), r"\|$", "")
-    return F.transform(F.split(inner, r"\|"), F.trim)
+    return F.transform(F.split(inner, r"\|"), lambda c: F.trim(c))
 
 
 def _number(text: Column) -> Column:

@@ -1,0 +1,221 @@
+"""Round reports, deltas, gates, triage, calibration and context checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.operators import joins as J
+from plumbline.operators import rounds as R
+from plumbline.suite.registry import load, query
+
+NL = "chr(10)"
+# One report per month of orders, with its numbers written into markdown.
+REPORTS = f"""
+ select round, concat_ws({NL}, '# Report', concat('- Domain: `d', cast(round % 5 as string), '`'), '- Split: `train`',
+   concat('- Cases attempted: ', cast(count(*) as string)), concat('- Cases scored: ', cast(greatest(count(*) - round % 4, 0) as string)),
+   concat('- Runtime errors: ', cast(round % 4 as string)), case when round % 3 = 0 then '- Judge enabled: yes' when round % 3 = 1 then '- Judge enabled: no' end,
+   '', '| metric | mean | lower | upper |', '| --- | --- | --- | --- |',
+   concat('| deterministic_prqs | ', cast(cast(round % 7 as double) + 80.5 as string), ' | ', cast(cast(round % 5 as double) + 78.25 as string), ' | 91.5 |'),
+   '', '| metric | mean | computed | null |', concat('| M1 | 0.', cast(10 + round % 80 as string), ' | 18 | 0 |'),
+   case when round % 6 = 0 then '| M12 | null | 0 | 18 |' else concat('| M12 | 0.5 | 17 | ', cast(round % 9 as string), ' |') end) as text
+ from fx_round_score group by round"""
+
+
+@query("round_report_headers", """
+ select round, concat('d', cast(round % 5 as string)) as domain, 'train' as split, count(*) as cases_attempted, greatest(count(*) - round % 4, 0) as cases_scored,
+   round % 4 as runtime_errors, case when round % 3 = 0 then true when round % 3 = 1 then false end as judge_enabled from fx_round_score group by round""")
+def report_headers(spark: SparkSession, root: str) -> DataFrame:
+    return R.parse_round_reports(load(spark, root, REPORTS))[0]
+
+
+@query("round_report_metrics", """
+ with r as (select distinct round from fx_round_score)
+ select round, 'deterministic_prqs' as metric, round % 7 + 80.5 as mean, round % 5 + 78.25 as lower, 91.5 as upper, cast(null as double) as null_count from r union all
+ select round, 'M1', (10 + round % 80) / 100.0, null, null, 0 from r union all
+ select round, 'M12', case when round % 6 = 0 then null else 0.5 end, null, null, case when round % 6 = 0 then 18 else round % 9 end from r""")
+def report_metrics(spark: SparkSession, root: str) -> DataFrame:
+    return R.parse_round_reports(load(spark, root, REPORTS))[1]
+
+
+FOLDERS = f"""
+ select concat('round-', lpad(cast(round as string), 3, '0'), case when round % 10 = 0 then '-baseline' else '-fleet' end) as folder,
+   case when round % 4 = 1 then concat_ws({NL}, '# Round', concat('This round: ', cast(cast(60 + round % 30 as double) + 0.25 as string), ' CI95 [55.5, 95.25]'),
+       '- Outcome: accept ', concat(cast(round % 18 as string), '/18 ok count'))
+     when round % 4 = 2 then concat_ws({NL}, '| metric | prior | current | delta | ci |',
+       concat('| deterministic_prqs | 70.5 | ', cast(cast(61 + round % 30 as double) + 0.5 as string), ' | +1 | [50.5, 90.5] |'), 'Recommendation: revert')
+     when round % 4 = 3 then 'Nothing said.' end as summary_md,
+   case when round % 4 in (0, 3) then concat_ws({NL}, '- Cases scored: 17', concat('| deterministic_prqs | ', cast(cast(62 + round % 30 as double) + 0.75 as string), ' |')) end as report_md
+ from (select distinct round from fx_round_score)"""
+
+
+@query("round_listing", """
+ with r as (select distinct round from fx_round_score),
+ v as (select round, concat('round-', lpad(cast(round as string), 3, '0'), case when round % 10 = 0 then '-baseline' else '-fleet' end) as folder,
+   case round % 4 when 1 then 60.25 + round % 30 when 2 then 61.5 + round % 30 when 3 then null else 62.75 + round % 30 end as prqs,
+   case round % 4 when 1 then 55.5 when 2 then 50.5 end as ci_low, case round % 4 when 1 then 95.25 when 2 then 90.5 end as ci_high,
+   case round % 4 when 1 then round % 18 when 2 then null else 17 end as ok_cases,
+   case round % 4 when 1 then 'accept' when 2 then 'revert' when 3 then 'summarized' else case when round % 10 = 0 then 'baseline' else 'report only' end end as status from r),
+ w as (select folder, round, case when round % 4 = 3 then 62.75 + round % 30 else prqs end as prqs, ci_low, ci_high, ok_cases, status from v)
+ select *, floor((prqs - lag(prqs) over (order by round)) * 100 + 0.5) / 100 as delta from w""")
+def round_listing(spark: SparkSession, root: str) -> DataFrame:
+    return R.round_listing(load(spark, root, FOLDERS))
+
+
+@query("round_deltas", """
+ with m as (select domain, round, avg(score) as prqs from fx_round_score group by 1, 2)
+ select domain, round, round(prqs, 6) as prqs, floor((prqs - lag(prqs) over (partition by domain order by round)) * 100 + 0.5) / 100 as delta from m""")
+def round_deltas(spark: SparkSession, root: str) -> DataFrame:
+    """WN1: round over round change of the mean, per domain."""
+    means = load(spark, root, "fx_round_score").groupBy("domain", "round").agg(F.avg("score").alias("prqs"))
+    return R.with_delta(means, "round", "prqs", ["domain"]).withColumn("prqs", F.round("prqs", 6))
+
+
+REPORT_DOCS = """
+ select page_id, case page_id % 5
+   when 0 then concat('{"folder":"round-', lpad(cast(page_id as string), 3, '0'), '-x","prqs":', cast(page_id % 90 as string), '.5,"ci95":[1.5,"2.5"],"okCaseCount":"7"}')
+   when 1 then concat('{"runId":"round-', cast(page_id as string), '","deterministic_prqs":"', cast(page_id % 90 as string), '","metrics":{"ci95Low":3,"ci95_high":4},"status":" done "}')
+   when 2 then concat('{"id":"round-', cast(page_id as string), '-y","roundNumber":"', cast(page_id + 1 as string), '","metrics":{"prqs":12.25,"ci95":[5,6],"ok_case_count":9}}')
+   when 3 then concat('{"folder":"other-', cast(page_id as string), '","prqs":1}')
+   else concat('{"roundFolder":"round-', cast(page_id as string), '","prqs":"n/a","ci95Low":"","ci95_low":0.5}') end as json from pages"""
+
+
+@query("report_documents", """
+ select case page_id % 5 when 0 then concat('round-', lpad(cast(page_id as string), 3, '0'), '-x') when 2 then concat('round-', cast(page_id as string), '-y')
+     else concat('round-', cast(page_id as string)) end as folder,
+   case when page_id % 5 = 2 then page_id + 1 else page_id end as round,
+   case page_id % 5 when 0 then page_id % 90 + 0.5 when 1 then page_id % 90 when 2 then 12.25 end as prqs,
+   case page_id % 5 when 0 then 1.5 when 1 then 3 when 2 then 5 when 4 then 0.5 end as ci_low,
+   case page_id % 5 when 0 then 2.5 when 1 then 4 when 2 then 6 end as ci_high,
+   case page_id % 5 when 0 then 7 when 2 then 9 end as ok_cases, case when page_id % 5 = 1 then 'done' else 'report only' end as status
+ from pages where page_id % 5 <> 3""")
+def report_documents(spark: SparkSession, root: str) -> DataFrame:
+    return R.normalize_report_docs(load(spark, root, REPORT_DOCS))
+
+
+MEANS = """select round, avg(score) as mean, case when round % 9 = 0 then null else avg(score) - 0.02 * (round % 50) end as lower from fx_round_score group by round"""
+
+
+@query("regression_exit", f"""
+ with m as ({MEANS})
+ select c.round, case when c.mean is null or p.lower is null then 2 when c.mean < p.lower then 3 else 0 end as exit_code from m c join m p on p.round = c.round - 1""")
+def regression_exit(spark: SparkSession, root: str) -> DataFrame:
+    return R.regression_exit(load(spark, root, MEANS)).select("round", "exit_code")
+
+
+METRIC_MEANS = """
+ select round, 'M1' as metric, avg(m1) as mean from fx_round_score group by round union all
+ select round, 'M3' as metric, case when round % 10 = 0 then null else avg(m3) end as mean from fx_round_score group by round union all
+ select round, 'M5' as metric, avg(m1 * m3) as mean from fx_round_score group by round union all
+ select round, 'M8' as metric, avg(score) / 100 as mean from fx_round_score group by round union all
+ select round, 'deterministic_prqs' as metric, avg(score) as mean from fx_round_score group by round"""
+
+
+@query("metric_round_deltas", f"""
+ with m as ({METRIC_MEANS})
+ select c.round, c.metric, round(p.mean, 6) as prior, round(c.mean, 6) as current, round(c.mean - p.mean, case when c.metric like 'M%' then 3 else 2 end) as delta
+ from m c left join m p on p.round = c.round - 1 and p.metric = c.metric""")
+def metric_round_deltas(spark: SparkSession, root: str) -> DataFrame:
+    out = R.metric_deltas(load(spark, root, METRIC_MEANS))
+    return out.withColumns({c: F.round(c, 6) for c in ("prior", "current")})
+
+
+@query("round_recommendation", f"""
+ with m as ({METRIC_MEANS}), c as ({MEANS}),
+ f as (select a.round, count_if(coalesce(round(a.mean - b.mean, case when a.metric like 'M%' then 3 else 2 end) < 0, false)) as regressed_metrics
+       from m a left join m b on b.round = a.round - 1 and b.metric = a.metric group by a.round)
+ select a.round, f.regressed_metrics, case when a.mean < b.lower then 'revert' when f.regressed_metrics > 3 then 'escalate' else 'accept' end as recommendation
+ from c a join c b on b.round = a.round - 1 join f on f.round = a.round""")
+def round_recommendation(spark: SparkSession, root: str) -> DataFrame:
+    out = R.recommendation(load(spark, root, METRIC_MEANS), load(spark, root, MEANS))
+    return out.select("round", "regressed_metrics", "recommendation")
+
+
+ERRORS = """select a.agent_id as agent, case when a.seq % 2 = 0 then 'M8' else 'M12' end as metric, concat('k', cast(a.seq % 5 as string)) as error_class,
+   concat('run-', a.run_id) as case_id, a.seq % 4 as severity from fx_agent_event a where a.event_type = 'error'"""
+
+
+@query("error_triage", f"""
+ with e as ({ERRORS}),
+ c as (select agent, metric, error_class, count(distinct case_id) as frequency, max(severity) as severity from e group by 1, 2, 3),
+ s as (select agent, metric, error_class, case_id, row_number() over (partition by agent, metric, error_class order by case_id) as r from (select distinct agent, metric, error_class, case_id from e)),
+ x as (select agent, metric, error_class, string_agg(case_id, ',' order by case_id) as example_cases from s where r <= 5 group by 1, 2, 3)
+ select c.*, x.example_cases, rank() over (partition by agent order by frequency desc) as rank from c join x using (agent, metric, error_class)""")
+def error_triage(spark: SparkSession, root: str) -> DataFrame:
+    return R.triage(load(spark, root, ERRORS))
+
+
+CALIBRATION = """
+ select case when doc_id % 3 = 0 then 'staff' when doc_id % 3 = 1 then 'applicant' else 'redline' end as metric,
+   case when quality = 1 and toxic = 0 then 'good' when quality = 1 or toxic = 0 then 'ok' else 'bad' end as tier,
+   case when doc_id % 97 = 2 then null else case when quality = 1 and toxic = 0 then 2.5 when quality = 1 or toxic = 0 then 1.5 else 0.5 end
+     + cast(doc_id % 4 as double) / 10 end as score from labels"""
+
+
+@query("judge_calibration", f"""
+ with s as ({CALIBRATION}),
+ t as (select metric, min(score) filter (where tier = 'good') as min_good, max(score) filter (where tier = 'bad') as max_bad, avg(score) filter (where tier = 'bad') as mean_bad,
+   avg(score) filter (where tier = 'ok') as mean_ok, avg(score) filter (where tier = 'good') as mean_good, count(*) - count(score) as parse_failures from s group by metric)
+ select metric, min_good, max_bad, round(mean_bad, 6) as mean_bad, round(mean_ok, 6) as mean_ok, round(mean_good, 6) as mean_good, parse_failures,
+   coalesce(min_good > max_bad and mean_ok - mean_bad >= 0.5 and mean_good - mean_ok >= 0.5 and parse_failures = 0, false) as passed from t""")
+def judge_calibration(spark: SparkSession, root: str) -> DataFrame:
+    out = R.judge_calibration(load(spark, root, CALIBRATION), 0.5)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_bad", "mean_ok", "mean_good")})
+
+
+RATIONALES = """select concat('round-', cast(doc_id % 40 as string)) as folder, concat(source, '-', lang) as agent_id,
+   case when doc_id % 6 = 0 then '   ' else concat(' why ', cast(doc_id as string), ' ') end as rationale from documents"""
+
+
+@query("top_rationales", f"""
+ with r as (select folder, agent_id, trim(rationale) as rationale from ({RATIONALES}) where trim(rationale) <> ''),
+ n as (select *, row_number() over (partition by folder order by agent_id, rationale) as place from r)
+ select folder, agent_id, rationale, place from n where place <= 3""")
+def top_rationales(spark: SparkSession, root: str) -> DataFrame:
+    return R.top_rationales(load(spark, root, RATIONALES))
+
+
+@query("run_error_rate", """
+ select count_if(event_type = 'error') as errors, count(*) as attempted, round(count_if(event_type = 'error') * 1.0 / count(*), 9) as error_rate,
+   count_if(event_type = 'error') * 1.0 / count(*) > 0.25 as stop from events""")
+def run_error_rate(spark: SparkSession, root: str) -> DataFrame:
+    out = R.error_rate(load(spark, root, "select event_type <> 'error' as ok from events"))
+    return out.withColumn("error_rate", F.round("error_rate", 9))
+
+
+PATHS = """select page_id, case page_id % 9 when 0 then concat('./notes/', cast(page_id as string), '.md') when 1 then concat('a/../', cast(page_id as string))
+   when 2 then concat('datasets/cases/d', cast(page_id as string), '.holdout.jsonl.age') when 3 then concat('x/datasets/cases/d', cast(page_id as string), '.dev.jsonl')
+   when 4 then 'datasets/policy-corpus/oracle' when 5 then concat('mydatasets/policy-corpus/oracle/', cast(page_id as string))
+   when 6 then concat('datasets/policy-corpus/oracle/', cast(page_id as string)) when 7 then 'datasets/cases/sub/x.dev.jsonl' else '..hidden/file' end as path from pages"""
+
+
+@query("context_path_denials", f"""
+ select page_id, case when starts_with(path, './') then substr(path, 3) else path end as normalized,
+   case page_id % 9 when 1 then 'escapes the repo' when 2 then 'sealed' when 3 then 'dev split' when 4 then 'oracle data' when 6 then 'oracle data' end as reason from ({PATHS})""")
+def context_denials(spark: SparkSession, root: str) -> DataFrame:
+    return R.context_verdicts(load(spark, root, PATHS)).select("page_id", "normalized", "reason")
+
+
+# --- reconciliation and joins of runs -------------------------------------------------------------------------------
+
+PAYLOADS = """select case_id, cast(1 as bigint) as seq, predicted_pathway from fx_runtime where k % 97 <> 5
+   union all select case_id, cast(2 as bigint) as seq, 'out-of-scope' as predicted_pathway from fx_runtime where k % 10 = 3 and k % 97 <> 5
+   union all select concat('extra-', cast(k as string)) as case_id, cast(1 as bigint) as seq, 'heritage' as predicted_pathway from fx_case where k % 101 = 7"""
+
+
+@query("payload_reconciliation", f"""
+ with p as ({PAYLOADS}), m as (select case_id from fx_case where case_id not in (select case_id from p)), x as (select distinct case_id from p where case_id not in (select case_id from fx_case))
+ select (select count(*) from m) as missing_count, (select count(*) from x) as extra_count,
+   (select string_agg(case_id, ',' order by case_id) from (select case_id from m order by case_id limit 3)) as missing_first,
+   (select string_agg(case_id, ',' order by case_id) from (select case_id from x order by case_id limit 3)) as extra_first, false as matched""")
+def payload_reconciliation(spark: SparkSession, root: str) -> DataFrame:
+    """JN1: both sides must hold the same ids."""
+    _, report = J.reconcile(load(spark, root, "fx_case").select("case_id"), load(spark, root, PAYLOADS))
+    return report.withColumns({c: F.array_join(c, ",") for c in ("missing_first", "extra_first")})
+
+
+@query("payload_join_last_wins", f"""
+ with p as ({PAYLOADS}) select c.case_id, max_by(p.predicted_pathway, p.seq) as predicted_pathway from fx_case c join p using (case_id) group by c.case_id""")
+def payload_join(spark: SparkSession, root: str) -> DataFrame:
+    """JN2: unscored cases dropped, the last payload of a case counts."""
+    return J.reconcile(load(spark, root, "fx_case").select("case_id"), load(spark, root, PAYLOADS))[0]
