@@ -12,8 +12,8 @@ from plumbline import values as V
 def read_corpus(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
     """(path, content) of all files below a folder with a name suffix."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-        .text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
+        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
 
@@ -102,11 +102,14 @@ def manifest_split_ids(documents: DataFrame) -> DataFrame:
         F.from_json(F.get_json_object("json", "$.files"), "array<struct<split:string,case_ids:array<string>>>"),
         F.array().cast("array<struct<split:string,case_ids:array<string>>>"),
     )
+    def listed_for(split: str) -> Column:
+        own = F.filter(files, lambda f: f["split"] == split)
+        return F.flatten(F.transform(own, lambda f: F.coalesce(f["case_ids"], none)))
+
     per_split = []
     for split in V.SPLITS:
         shapes = [ids(F.get_json_object("json", f"$['{p}']['{split}']" if p else f"$['{split}']")) for p in ("", "splits", "case_ids")]
-        listed = F.flatten(F.transform(F.filter(files, lambda f, s=split: f["split"] == s), lambda f: F.coalesce(f["case_ids"], none)))
-        found = F.coalesce(*[F.when(F.size(s) > 0, s) for s in shapes], listed)
+        found = F.coalesce(*[F.when(F.size(s) > 0, s) for s in shapes], listed_for(split))
         per_split.append(F.struct(F.lit(split).alias("split"), found.alias("ids")))
     return documents.select("doc", F.inline(F.array(*per_split))).select("doc", "split", F.explode("ids").alias("case_id"))
 

@@ -280,7 +280,7 @@ def seed_receipt(spark: SparkSession, root: str) -> DataFrame:
 
 # --- agreement and sampling ---------------------------------------------------------------------------------------------------
 
-VOTES = "select part.p_brand as case_id, l_returnflag as label from lineitem join part on l_partkey = p_partkey where l_quantity > 49 or p_size = 7"
+VOTES = "select l_partkey as case_id, l_returnflag as label from lineitem"
 
 
 @query("majority_labels", f"""

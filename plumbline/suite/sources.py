@@ -1,0 +1,271 @@
+"""Readers, writers and document normalisation over texts built from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline import values as V
+from plumbline.session import work_dir
+from plumbline.sources import documents as D
+from plumbline.sources import jsonl as JL
+from plumbline.suite.registry import load, query
+
+# Event props as lines of a file: some cut short, some blank.
+DIRTY_LINES = """
+ select event_id, case event_id % 11 when 3 then substr(props, 1, 4) when 5 then '  ' when 7 then concat('note: ', props) else props end as line from events"""
+
+
+@query("jsonl_quarantine", f"""
+ with l as ({DIRTY_LINES})
+ select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, cast(null as string) as bad from events where event_id % 11 not in (3, 5, 7) union all
+ select event_id, null, line from l where event_id % 11 in (3, 7)""")
+def jsonl_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """SRC1: good rows parsed, bad rows kept with their text, blank lines skipped."""
+    good, bad = JL.parse_lines(load(spark, root, DIRTY_LINES), "k bigint")
+    return good.select("event_id", "value.k", F.lit(None).cast("string").alias("bad")).unionByName(
+        bad.select("event_id", F.lit(None).cast("bigint").alias("k"), F.col("line").alias("bad"))
+    )
+
+
+@query("jsonl_written_and_read", """
+ select split, case_id, row_number() over (partition by split order by case_id) as place from fx_case""")
+def jsonl_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """SNK1 then SRC2: sorted lines per split, read back with line numbers."""
+    path = work_dir(spark, "cases")
+    JL.write_jsonl(load(spark, root, "fx_case").select("split", "case_id", "domain"), path, by=("split",))
+    read = JL.read_jsonl_strict(spark, f"{path}/split=*", "case_id string, domain string")
+    split = F.regexp_extract("path", "split=([^/]+)/", 1)
+    # a split may span several files in id order: earlier files shift the line number
+    rows = read.select(split.alias("split"), "path", "line_no", F.col("value.case_id").alias("case_id"))
+    files = rows.groupBy("split", "path").agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("first"))
+    from pyspark.sql import Window as W
+
+    before = F.coalesce(F.sum("n").over(W.partitionBy("split").orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(files.select("split", "path", before.alias("before")), ["split", "path"]).select(
+        "split", "case_id", (F.col("line_no") + F.col("before")).alias("place")
+    )
+
+
+@query("json_document_fields", """
+ select split, count(*) as n from fx_case group by split""")
+def json_documents(spark: SparkSession, root: str) -> DataFrame:
+    """SRC3: whole JSON documents, one per split; an absent path gives no table."""
+    path = work_dir(spark, "docs")
+    rows = load(spark, root, "fx_case").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    rows.select("split", F.concat(F.lit('{\n  "n": '), F.col("n").cast("string"), F.lit("\n}")).alias("value")).write.partitionBy("split").text(path)
+    if JL.read_json_doc(spark, f"{path}/nowhere") is not None:
+        raise ValueError("an absent document must give no table")
+    return JL.read_json_doc(spark, path, "n bigint, split string").select("split", "n")
+
+
+MANIFEST_FILES = """select concat('public/', p_type, '/', p_name) as path, p_partkey, concat('BR-N', substr(p_brand, 7)) as a, concat('BR-S', cast(p_size as string)) as b from part"""
+
+
+@query("corpus_dimension", f"""
+ with f as ({MANIFEST_FILES}), e as (select a as bylaw_id, path from f union all select b, path from f) select bylaw_id, count(*) as n from e group by 1 having count(*) > 1""")
+def corpus_dimension(spark: SparkSession, root: str) -> DataFrame:
+    """SRC4: manifest rows to a dimension; repeated keys are an error."""
+    files = load(spark, root, MANIFEST_FILES).select("path", F.array("a", "b").alias("bylaw_ids"))
+    return D.duplicate_keys(D.corpus_dim(files), "bylaw_id")
+
+
+@query("truth_dimension", """
+ select concat('gap-', cast(p_partkey as string)) as gap_id, concat('f', cast(p_size as string)) as proposed_field, concat('r', cast(p_size as string)) as required_field,
+   p_size / 10.0 as tolerance, 'm' as unit from part""")
+def truth_dimension(spark: SparkSession, root: str) -> DataFrame:
+    docs = load(spark, root, """select concat('{"domain":"d","entries":{"gap-', cast(p_partkey as string), '":{"proposed_field":"f', cast(p_size as string), '","required_field":"r', cast(p_size as string),
+        '","tolerance":', cast(cast(p_size as double) / 10 as string), ',"unit":"m"}}}') as json from part""")
+    return D.truth_dim(docs)
+
+
+@query("evidence_map_shapes", """
+ select concat('d', cast(p_partkey as string)) as domain, 'B-1' as bylaw_id, case p_partkey % 4 when 0 then 'new' when 1 then 'old' when 2 then 'by' else 'by' end as evidence,
+   case p_partkey % 4 when 0 then 'gap-n' when 1 then '' when 2 then '' else 'gap-b' end as gap_ids from part
+ union all select concat('d', cast(p_partkey as string)), concat('S-', cast(p_size as string)), 'x,y', 'g' from part where p_partkey % 4 = 3""")
+def evidence_map_shapes(spark: SparkSession, root: str) -> DataFrame:
+    """SRC5: ``entries`` with old and new names, ``by_bylaw`` wins."""
+    docs = load(spark, root, """select concat('d', cast(p_partkey as string)) as domain, case p_partkey % 4
+        when 0 then '{"entries":{"B-1":{"required_evidence_keys":["new"],"evidence":["old"],"expected_gap_ids":["gap-n"]}}}' when 1 then '{"entries":{"B-1":{"evidence":["old"]}}}'
+        when 2 then '{"by_bylaw":{"B-1":{"evidence":["by"]}}}' else concat('{"entries":{"B-1":{"required_evidence_keys":["lost"]},"S-', cast(p_size as string),
+          '":{"evidence":["x","y"],"gap_ids":["g"]}},"by_bylaw":{"B-1":{"evidence":["by"],"gap_ids":["gap-b"]}}}') end as json from part""")
+    text = {c: F.array_join(c, ",") for c in ("evidence", "gap_ids")}
+    return D.evidence_entries(docs).withColumns(text)
+
+
+CASE_PATHS = """select case page_id % 6 when 0 then concat('cases/dom-', cast(page_id as string), '.train.jsonl') when 1 then concat('cases/dom-', cast(page_id as string), '.gold-holdout.jsonl.age')
+   when 2 then concat('cases/Dom-', cast(page_id as string), '.train.jsonl') when 3 then concat('cases/dom-', cast(page_id as string), '.test.jsonl')
+   when 4 then concat('policy-corpus/oracle/ora-', cast(page_id as string), '/rules.json') else concat('policy-corpus/corpus-manifest.man-', cast(page_id as string), '.json') end as path, page_id from pages"""
+
+
+@query("discovered_domains", """
+ select concat('dom-', cast(page_id as string)) as domain from pages where page_id % 6 in (0, 1) union select concat('ora-', cast(page_id as string)) from pages where page_id % 6 = 4
+ union select concat('man-', cast(page_id as string)) from pages where page_id % 6 = 5""")
+def discovered_domains(spark: SparkSession, root: str) -> DataFrame:
+    """SRC7."""
+    paths = load(spark, root, CASE_PATHS).select("path")
+    return D.discover_domains(paths, paths, paths)
+
+
+@query("url_domains", r"""
+ select regexp_extract(url, '^https?://([^/]+)/([a-z]{2})/', 1) as host, regexp_extract(url, '^https?://([^/]+)/([a-z]{2})/', 2) as lang, count(*) as n from pages group by 1, 2""")
+def url_domains(spark: SparkSession, root: str) -> DataFrame:
+    """Dimensions out of page addresses."""
+    part = lambda i: F.regexp_extract("url", r"^https?://([^/]+)/([a-z]{2})/", i)
+    return load(spark, root, "pages").groupBy(part(1).alias("host"), part(2).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+
+
+TABLE_DOC = """select doc_id as doc, concat_ws(chr(10), text, '| Flag ID | Definition |', '|---|---|', concat('| `flag-', cast(doc_id as string), '` | one |'), concat('| `Flag ', lang, '` | two |'),
+   concat('|`x-', source, '`|'), 'no | `in-text` | table') as text from documents"""
+
+
+@query("markdown_table_ids", """
+ select doc_id as doc, 0 as position, concat('flag-', cast(doc_id as string)) as id, 'strict' as kind from documents union all select doc_id, 1, concat('x-', source), 'strict' from documents union all
+ select doc_id, 0, concat('flag-', cast(doc_id as string)), 'any' from documents union all select doc_id, 1, concat('Flag ', lang), 'any' from documents union all
+ select doc_id, 2, concat('x-', source), 'any' from documents""")
+def markdown_table_ids(spark: SparkSession, root: str) -> DataFrame:
+    """SRC8: both id patterns over whole texts."""
+    docs = load(spark, root, TABLE_DOC)
+    return D.md_table_ids(docs).withColumn("kind", F.lit("strict")).unionByName(D.md_table_ids(docs, any_text=True).withColumn("kind", F.lit("any")))
+
+
+SECTION_DOC = """select doc_id as doc, concat_ws(chr(10), text, '1. `## Early`', '## Staff memo required sections', concat('1. `## Triage ', cast(doc_id as string), '`'), '- 2. `skipped`', '2. `Gaps` - one',
+   case when doc_id % 2 = 0 then '## Notes' end, '3. `## Third`', '## Applicant letter required sections (all)', ' 1. `## Summary`', 'end') as text from documents"""
+
+
+@query("required_sections", """
+ select doc_id as doc, 'memo' as audience, 0 as position, concat('Triage ', cast(doc_id as string)) as heading from documents union all select doc_id, 'memo', 1, 'Gaps' from documents union all
+ select doc_id, 'memo', 2, 'Third' from documents where doc_id % 2 <> 0 union all select doc_id, 'letter', 0, 'Summary' from documents""")
+def required_sections(spark: SparkSession, root: str) -> DataFrame:
+    """SRC9, WN5: the section is carried down the lines of a document."""
+    leads = {"## Staff memo required sections": "memo", "## Applicant letter required sections": "letter"}
+    return D.md_required_sections(load(spark, root, SECTION_DOC), leads)
+
+
+@query("section_ranges", r"""
+ with l as (select doc_id, unnest(str_split(memo_markdown, chr(10))) as line, generate_subscripts(str_split(memo_markdown, chr(10)), 1) as i from fx_doc),
+ o as (select *, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as spot, sum(length(line) + 1) over (partition by doc_id) - 1 as total from l),
+ h as (select doc_id, spot, total, trim(regexp_replace(trim(substr(line, 3)), '\s+#+\s*$', '')) as heading from o where regexp_matches(line, '^##\s+\S'))
+ select doc_id as doc, heading, spot::bigint as first, coalesce(lead(spot) over (partition by doc_id order by spot), total)::bigint as last from h""")
+def section_ranges(spark: SparkSession, root: str) -> DataFrame:
+    """WN6: a section ends where the next one begins."""
+    docs = load(spark, root, "fx_doc").select(F.col("doc_id").alias("doc"), F.col("memo_markdown").alias("text"))
+    return D.section_ranges(docs).drop("n")
+
+
+REGISTER_DOC = """select doc_id as doc, concat_ws(chr(10), text, concat('## Rule: R-', cast(doc_id as string), '.A the first'), '### Rule: NO', ' ## Rule: NO', concat('##  Rule:  ', upper(lang), '_2')) as text,
+   concat('{"rules":[{"id":"R-', cast(doc_id as string), '"},{"id":"X"}]}') as json from documents"""
+
+
+@query("rule_ids", """
+ select doc_id as doc, concat('R-', cast(doc_id as string), '.A') as rule_id, 'register' as origin from documents union all select doc_id, concat(upper(lang), '_2'), 'register' from documents union all
+ select doc_id, concat('R-', cast(doc_id as string)), 'oracle' from documents union all select doc_id, 'X', 'oracle' from documents""")
+def rule_ids(spark: SparkSession, root: str) -> DataFrame:
+    """SRC10."""
+    docs = load(spark, root, REGISTER_DOC)
+    return D.register_rules(docs).withColumn("origin", F.lit("register")).unionByName(D.oracle_rule_ids(docs).withColumn("origin", F.lit("oracle")))
+
+
+@query("reference_outputs", """
+ select concat('memo-', cast(doc_id as string)) as id, length(text) as size from documents where doc_id % 4 <> 3""")
+def reference_outputs(spark: SparkSession, root: str) -> DataFrame:
+    """SRC11: ids are base names of markdown files."""
+    files = load(spark, root, """select concat('/x/reference-outputs/memos/memo-', cast(doc_id as string), case when doc_id % 4 = 3 then '.txt' else '.md' end) as path, text as content from documents""")
+    return D.reference_ids(files).select("id", F.length("body").alias("size"))
+
+
+@query("corpus_scan", "select concat(lang, '/', cast(doc_id as string), '.md') as path, sha256(text) as hash from documents")
+def corpus_scan(spark: SparkSession, root: str) -> DataFrame:
+    """SRC6: a recursive scan of the files written from the documents, with a suffix filter."""
+    path = work_dir(spark, "corpus")
+    docs = load(spark, root, "documents").select("lang", "doc_id", "text")
+    # one whole-text file per document
+    (docs.select("lang", F.concat(F.lit("doc="), F.col("doc_id").cast("string")).alias("f"), "doc_id", F.col("text").alias("value"))
+     .drop("f").repartition("lang", "doc_id").write.partitionBy("lang", "doc_id").option("lineSep", "\x00").text(path))
+    found = D.read_corpus(spark, path, ".txt")
+    piece = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+    body = F.regexp_replace("content", "\x00$", "")
+    return found.select(F.concat(piece("lang"), F.lit("/"), piece("doc_id"), F.lit(".md")).alias("path"), F.sha2(body, 256).alias("hash"))
+
+
+SPLIT_DOCS = """select page_id as doc, case page_id % 5 when 0 then concat('{"train":["a', cast(page_id as string), '"],"dev":{"case_ids":["b"]}}')
+   when 1 then concat('{"splits":{"train":["s', cast(page_id as string), '","t"]},"train":[]}') when 2 then '{"case_ids":{"holdout":["h1","h2"]}}'
+   when 3 then concat('{"files":[{"split":"train","case_ids":["f1"]},{"split":"train","case_ids":["f', cast(page_id as string), '"]},{"split":"dev"}]}') else '{"splits":{"gold-holdout":["g"]}}' end as json from pages"""
+
+
+@query("manifest_split_ids", """
+ select page_id as doc, 'train' as split, concat('a', cast(page_id as string)) as case_id from pages where page_id % 5 = 0 union all select page_id, 'dev', 'b' from pages where page_id % 5 = 0 union all
+ select page_id, 'train', concat('s', cast(page_id as string)) from pages where page_id % 5 = 1 union all select page_id, 'train', 't' from pages where page_id % 5 = 1 union all
+ select page_id, 'holdout', 'h1' from pages where page_id % 5 = 2 union all select page_id, 'holdout', 'h2' from pages where page_id % 5 = 2 union all
+ select page_id, 'train', 'f1' from pages where page_id % 5 = 3 union all select page_id, 'train', concat('f', cast(page_id as string)) from pages where page_id % 5 = 3 union all
+ select page_id, 'gold-holdout', 'g' from pages where page_id % 5 = 4""")
+def manifest_split_ids(spark: SparkSession, root: str) -> DataFrame:
+    """SRC14."""
+    return D.manifest_split_ids(load(spark, root, SPLIT_DOCS))
+
+
+@query("splits_manifest", f"""
+ select domain, {", ".join(f'''count(distinct case_id) filter (where split = '{s}') as "{s}"''' for s in V.SPLITS)}, true as unchanged from fx_case group by domain""")
+def splits_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """SNK2: id rows, counts, and the test that keeps an old timestamp."""
+    cases = load(spark, root, "fx_case")
+    ids, counts = D.build_splits(cases.unionByName(cases.filter("k % 5 = 0")))
+    return counts.withColumn("unchanged", D.splits_unchanged(ids, cases))
+
+
+FEW_SHOT_LINES = """select user_id as doc, event_id as line_no, 'redline-generator' as owner, case event_id % 6 when 0 then '{"agent"' when 1 then '["x"]' when 2 then '{"few_shot_id":1,"agent":"redline-generator"}'
+   when 3 then concat('{"few_shot_id":1,"agent":"bylaw-retriever","inspired_by_train_case_ids":[],"input":{},"output":{},"rationale_note":"","content_fingerprint":"","entity_fingerprint":"","scenario_fingerprint":"","provenance":{}}')
+   when 4 then concat('{"few_shot_id":1,"agent":"redline-generator","inspired_by_train_case_ids":[],"input":{},"output":{},"rationale_note":"","content_fingerprint":"","entity_fingerprint":"","scenario_fingerprint":"","provenance":{}}')
+   else ' ' end as line from events"""
+
+
+@query("few_shot_line_issues", """
+ select user_id as doc, event_id as line_no, case event_id % 6 when 0 then 'invalid JSON' when 1 then 'must be a JSON object'
+   when 2 then 'missing required keys inspired_by_train_case_ids, input, output, rationale_note, content_fingerprint, entity_fingerprint, scenario_fingerprint, provenance' else 'agent is bylaw-retriever' end as issue
+ from events where event_id % 6 < 4""")
+def few_shot_line_issues(spark: SparkSession, root: str) -> DataFrame:
+    """XR1."""
+    return D.few_shot_row_issues(load(spark, root, FEW_SHOT_LINES), "owner")
+
+
+@query("reseal_actions", """
+ select concat('c', cast(page_id as string)) as path, case when page_id % 8 in (0, 1) then 'keep_receipt' when page_id % 8 = 2 then 'missing_clear' when page_id % 8 = 3 then 'reuse'
+   when page_id % 8 in (4, 5) then 'refuse' else 'seal' end as action from pages""")
+def reseal_actions(spark: SparkSession, root: str) -> DataFrame:
+    """XR5."""
+    listing = load(spark, root, """select concat('c', cast(page_id as string)) as path, case when page_id % 8 >= 3 then 'p' end as clear_sha256, case when page_id % 8 < 6 then 's' end as sealed_sha256 from pages""")
+    receipt = load(spark, root, """select concat('c', cast(page_id as string)) as path, case when page_id % 8 = 4 then 'old' else 'p' end as plaintext_sha256, 's' as ciphertext_sha256 from pages where page_id % 8 in (0, 1, 3, 4)""")
+    return D.reseal_actions(listing, receipt)
+
+
+@query("freeze_check", """
+ select concat('doc-', cast(doc_id as string)) as path, case when doc_id % 10 = 9 then 'missing' else 'mismatch' end as problem from documents where doc_id % 10 = 9 or doc_id % 6 = 1""")
+def freeze_check(spark: SparkSession, root: str) -> DataFrame:
+    """XR9: recorded against actual hashes."""
+    from plumbline.operators.governance import receipt_mismatches
+
+    docs = load(spark, root, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    recorded = docs.select("path", F.when(F.col("doc_id") % 6 == 1, "0").otherwise(F.col("sha256")).alias("sha256"))
+    return receipt_mismatches(recorded, docs.filter("doc_id % 10 <> 9").select("path", "sha256")).select("path", "problem")
+
+
+ACCESS = """select event_id, case user_id % 3 when 0 then 'scorer' when 1 then 'author' else 'judge' end as role, case event_type when 'click' then 'train' when 'view' then 'dev' when 'purchase' then 'holdout'
+   when 'error' then 'oracle' else 'prompts' end as source from events"""
+LEAK_MATRIX = [
+    ("scorer", "train", True), ("scorer", "dev", True), ("scorer", "holdout", True), ("scorer", "oracle", True),
+    ("author", "train", True), ("author", "dev", False), ("author", "holdout", False), ("author", "oracle", False), ("author", "prompts", True),
+    ("judge", "train", True), ("judge", "dev", True), ("judge", "holdout", False), ("judge", "oracle", False), ("judge", "prompts", True),
+]
+
+
+@query("leakage_matrix", f"""
+ with m(role, source, allowed) as (values {", ".join(f"('{r}', '{s}', {str(a).lower()})" for r, s, a in LEAK_MATRIX)}), a as ({ACCESS})
+ select a.event_id, case when m.allowed is null then 'unlisted' when m.allowed then 'allowed' else 'denied' end as verdict from a left join m using (role, source)""")
+def leakage_matrix(spark: SparkSession, root: str) -> DataFrame:
+    """XR10: access rows against the allow/deny dimension; a pair without an entry is unlisted."""
+    from plumbline.operators.joins import dim_join
+
+    matrix = spark.createDataFrame(LEAK_MATRIX, "role string, source string, allowed boolean")
+    rows = dim_join(load(spark, root, ACCESS), matrix, ["role", "source"])
+    verdict = F.when(F.col("allowed").isNull(), "unlisted").when(F.col("allowed"), "allowed").otherwise("denied")
+    return rows.select("event_id", verdict.alias("verdict"))
