@@ -32,13 +32,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def dim_join(left: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+def dim_join(
+    left: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "left", small: bool | None = None
+) -> DataFrame:
     """Join a fact table with a dimension: broadcast below the measured limit, salted shuffle above it.
 
-    ``how`` may be inner, left, left_semi or left_anti.
+    ``how`` may be inner, left, left_semi or left_anti; ``small`` is a size check already made.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if is_small(dim):
+    if is_small(dim) if small is None else small:
         return left.join(F.broadcast(dim), keys, how)
     return salted_join(left, dim, keys, how)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plumbline import values as V
 from plumbline.functions import scalar as S
-from plumbline.operators.joins import dim_join
+from plumbline.operators.joins import dim_join, is_small
 
 
 @dataclass
@@ -54,6 +54,13 @@ class Dimensions:
     flags: Sequence[str] = field(default_factory=lambda: V.SUPPORT_FLAGS)
     memo_sections: Sequence[str] = field(default_factory=lambda: V.MEMO_SECTIONS)
     letter_sections: Sequence[str] = field(default_factory=lambda: V.LETTER_SECTIONS)
+    measured: dict[str, bool] = field(default_factory=dict)
+
+    def small(self, name: str) -> bool:
+        """Whether a dimension may be broadcast; measured once per set of dimensions."""
+        if name not in self.measured:
+            self.measured[name] = is_small(getattr(self, name))
+        return self.measured[name]
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -98,7 +105,7 @@ def bylaw_sums(pkg: Package, dims: Dimensions) -> DataFrame:
     items = bylaw_items(pkg)
     if dims.corpus is not None:
         known = dims.corpus.select("bylaw_id").distinct().withColumn("valid", F.lit(1))
-        items = dim_join(items, known, "bylaw_id", "left")
+        items = dim_join(items, known, "bylaw_id", "left", dims.small("corpus"))
     else:
         items = items.withColumn("valid", F.lit(None).cast("int"))
     unknown = F.when(F.col("valid").isNull(), 1).otherwise(0)
@@ -117,7 +124,7 @@ def evidence_sums(pkg: Package, dims: Dimensions) -> DataFrame:
     need = dims.evidence_map.groupBy("bylaw_id", "evidence_key").agg(F.count(F.lit(1)).alias("w"))
     total = dims.evidence_map.groupBy("bylaw_id").agg(F.count(F.lit(1)).alias("required_n"))
     gold = pkg.gold_bylaws.groupBy("case_id", "bylaw_id").agg(F.count(F.lit(1)).alias("m"))
-    wanted = dim_join(gold, need.join(total, "bylaw_id"), "bylaw_id", "left")
+    wanted = dim_join(gold, need.join(total, "bylaw_id"), "bylaw_id", "left", dims.small("evidence_map"))
     required = wanted.filter(F.col("w").isNotNull()).select(
         "case_id", "bylaw_id", "evidence_key", (F.col("m") * F.col("w") / F.col("required_n")).alias("share")
     )
@@ -150,12 +157,12 @@ def gap_items(pkg: Package, dims: Dimensions) -> DataFrame:
     if pkg.packet_numbers is not None and dims.truth is not None:
         for side in ("proposed", "required"):
             lookup = dims.truth.select(c(f"{side}_field").alias("field"), "gap_id")
-            hit = dim_join(pkg.packet_numbers, lookup, "field", "inner")
+            hit = dim_join(pkg.packet_numbers, lookup, "field", "inner", dims.small("truth"))
             parts.append(hit.select("case_id", "gap_id", c("value").alias(f"truth_{side}")))
     if pkg.redlines is not None:
         redlines = pkg.redlines
         known = dims.corpus.select(c("bylaw_id").alias("cited_bylaw_id")).distinct().withColumn("known", F.lit(1))
-        redlines = dim_join(redlines, known, "cited_bylaw_id", "left")
+        redlines = dim_join(redlines, known, "cited_bylaw_id", "left", dims.small("corpus"))
         usable = c("field_exists") & c("known").isNotNull()
         marks = [
             F.lit(1).alias("redline"),
@@ -204,7 +211,7 @@ def gap_verdicts(pkg: Package, dims: Dimensions) -> DataFrame:
             "match": seen,
         })
     rows = dims.truth.groupBy("gap_id").agg(F.first("tolerance").alias("tolerance"))
-    items = dim_join(items, rows, "gap_id", "left")
+    items = dim_join(items, rows, "gap_id", "left", dims.small("truth"))
     off = lambda told, truth: F.abs(told - truth) > c("tolerance")
     reason = (
         F.when(c("reported") == 0, "not_reported")

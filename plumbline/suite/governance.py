@@ -135,7 +135,7 @@ def a07(spark: SparkSession, root: str) -> DataFrame:
 
 
 PAIR_SQL = f"""
- c as (select case_id, domain, split, scenario_fingerprint as fp, {FACTS_SQL} from fx_scenario),
+ c as materialized (select case_id, domain, split, scenario_fingerprint as fp, {FACTS_SQL} from fx_scenario),
  p as (select a.domain, a.case_id as case_a, b.case_id as case_b, a.split as split_a, b.split as split_b, a.fp as fa, b.fp as fb, {CHANGED_SQL} as changed
        from c a join c b on a.domain = b.domain and a.split <> b.split and a.case_id < b.case_id),
  top as (select * from p order by changed, case_a, case_b limit {{k}})"""

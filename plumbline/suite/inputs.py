@@ -82,9 +82,9 @@ INPUTS = {
         select distinct {case_key('l_orderkey')} as case_id, {BRAND} as bylaw_id, concat('key-', cast(l_suppkey % 4 as string)) as evidence_key
         from lineitem join part on l_partkey = p_partkey where l_linenumber <= 5""",
     "fx_truth": f"""
-        select distinct {LINE_GAP} as gap_id, concat('f', cast(l_linenumber as string), '_proposed') as proposed_field,
-               concat('f', cast(l_linenumber as string), '_required') as required_field, cast(0.01 as double) as tolerance, 'm' as unit
-        from lineitem where l_linenumber <= 5""",
+        select {choose('n - 1', GAPS)} as gap_id, concat('f', cast(n as string), '_proposed') as proposed_field,
+               concat('f', cast(n as string), '_required') as required_field, cast(0.01 as double) as tolerance, 'm' as unit
+        from (select distinct p_size % 5 + 1 as n from part) sizes""",
     "fx_gold_gap": f"""
         select distinct {case_key('l_orderkey')} as case_id, {LINE_GAP} as gap_id from lineitem where l_returnflag = 'R'""",
     "fx_gold_gap_repeated": f"""

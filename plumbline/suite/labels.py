@@ -56,7 +56,7 @@ def rules_table(spark: SparkSession) -> DataFrame:
 def grid_cases(spark: SparkSession, root: str) -> DataFrame:
     entry = [F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in GRID_FACTS]
     chosen = lambda *pairs: F.array_compact(F.array(*[F.when(test, name) for test, name in pairs]))
-    return load(spark, root, GRID).withColumns({
+    return load(spark, root, GRID, heavy="orders").withColumns({
         "facts": F.map_from_entries(F.filter(F.array(*entry), lambda e: e["value"].isNotNull())),
         "missing_documents": chosen((F.col("no_tree"), "tree-assessment"), (F.col("no_notice"), "neighbour-notification")),
         "submitted_kinds": chosen((F.col("has_report"), "energy-compliance-report"), (F.col("has_set"), "architectural-set")),
@@ -140,7 +140,7 @@ SCENARIO_SQL = f"""concat('vec:zone=', zoning_district, '|units=', cast(units_pr
 
 def scenario_rows(spark: SparkSession, root: str) -> DataFrame:
     missing = F.array_compact(F.array(F.when(F.col("no_tree"), "tree-assessment"), F.when(F.col("no_notice"), "neighbour-notification")))
-    return load(spark, root, SCENARIO_ROWS).withColumn("missing_documents", missing)
+    return load(spark, root, SCENARIO_ROWS, heavy="orders").withColumn("missing_documents", missing)
 
 
 @query("scenario_fingerprints", f"with r as ({SCENARIO_ROWS}) select case_id, {SCENARIO_SQL} as scenario_fingerprint from r")

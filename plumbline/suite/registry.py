@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.session import TABLES, read_table
+from plumbline.session import TABLES, read_table, spread
 from plumbline.suite.inputs import INPUTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,10 +48,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def load(spark: SparkSession, root: str, statement: str) -> DataFrame:
-    """A shared input (by name) or a SELECT over tables and inputs."""
+_SCANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def table_scan(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A given table; its schema is read once per application."""
+    key = (spark.sparkContext.applicationId, root, name)
+    if key not in _SCANS:
+        _SCANS[key] = read_table(spark, root, name)
+    return _SCANS[key]
+
+
+def load(spark: SparkSession, root: str, statement: str, heavy: str | None = None) -> DataFrame:
+    """A shared input (by name) or a SELECT over tables and inputs.
+
+    ``heavy`` names the table whose rows feed a CPU-heavy projection.
+    """
     text = with_inputs(f"select * from {statement}" if re.fullmatch(r"\w+", statement) else statement)
     for table in TABLES:
         if re.search(rf"\b{table}\b", text):
-            read_table(spark, root, table).createOrReplaceTempView(table)
+            rows = table_scan(spark, root, table)
+            (spread(rows) if table == heavy else rows).createOrReplaceTempView(table)
     return spark.sql(text)

@@ -62,7 +62,7 @@ JUDGE_OUT = """select event_id, case event_id % 8
    case event_id % 8 when 0 then 'r' when 1 then 'direct' when 2 then 'deep' when 3 then 'second' when 4 then 'top level' end as rationale from events""")
 def judge_responses(spark: SparkSession, root: str) -> DataFrame:
     """EXT2."""
-    rows = load(spark, root, JUDGE_OUT).select("event_id", R.parsed_judgement(F.col("stdout")).alias("p"))
+    rows = load(spark, root, JUDGE_OUT, heavy="events").select("event_id", R.parsed_judgement(F.col("stdout")).alias("p"))
     return rows.select("event_id", "p.score", "p.rationale")
 
 
@@ -75,7 +75,7 @@ STAGE_SQL = "case event_id % 9 when 4 then 'timeout' when 6 then 'spawn' when 2
 @query("attempt_stages", f"""select request_id, attempt, {STAGE_SQL} as stage, event_id % 9 in (0, 1, 2) as retry from fx_attempt""")
 def attempt_stages(spark: SparkSession, root: str) -> DataFrame:
     """EXT3: error class of each attempt."""
-    return R.classify_attempts(load(spark, root, ATTEMPTS)).select("request_id", "attempt", "stage", "retry")
+    return R.classify_attempts(load(spark, root, ATTEMPTS, heavy="events")).select("request_id", "attempt", "stage", "retry")
 
 
 @query("resolved_attempts", f"""
@@ -84,7 +84,7 @@ def attempt_stages(spark: SparkSession, root: str) -> DataFrame:
  select request_id, stage = 'ok' as ok, stage, attempt as attempts, case when stage = 'ok' then props end as payload from p where n = 1""")
 def resolved_attempts(spark: SparkSession, root: str) -> DataFrame:
     """WN4: first attempt that may not be retried, else the last one."""
-    return R.resolve_attempts(R.classify_attempts(load(spark, root, ATTEMPTS)))
+    return R.resolve_attempts(R.classify_attempts(load(spark, root, ATTEMPTS, heavy="events")))
 
 
 @query("last_replies", """
@@ -187,7 +187,7 @@ LETTERS = """select cast(doc_id as string) as case_id, doc_id, concat_ws(chr(10)
    not (contains(letter, concat('1.', cast(doc_id % 7 as string))) and contains(letter, case when doc_id % 2 = 0 then '1.5' else '9.87654' end)) as unquantified from l""")
 def letter_flags(spark: SparkSession, root: str) -> DataFrame:
     """EXT5: the detectors with a countable rule, over whole letters."""
-    letters = load(spark, root, LETTERS)
+    letters = load(spark, root, LETTERS, heavy="documents")
     gaps = letters.select("case_id", F.concat(F.lit("1."), (F.col("doc_id") % 7).cast("string")).alias("proposed"),
                           F.when(F.col("doc_id") % 2 == 0, "1.5").otherwise("9.87654").alias("required"))
     out = R.letter_flags(letters.select("case_id", "letter"), gaps)

@@ -18,7 +18,7 @@ DOCUMENT_FLAGS = {
 def packets(spark: SparkSession, root: str) -> DataFrame:
     have = F.array_compact(F.array(*[F.when(F.col(c) == 1, d) for c, d in DOCUMENT_FLAGS.items()]))
     gone = F.array_compact(F.array(*[F.when(F.col(c) == 0, d) for c, d in DOCUMENT_FLAGS.items()]))
-    return load(spark, root, "fx_packet").withColumns({"submitted_documents": have, "missing_documents": gone})
+    return load(spark, root, "fx_packet", heavy="orders").withColumns({"submitted_documents": have, "missing_documents": gone})
 
 
 PATHWAY_SQL = """case when heritage_overlay then 'heritage' when floodplain_overlay then 'floodplain' when tod_overlay then 'tod-overlap'
