@@ -259,13 +259,25 @@ def build_few_shots(requests: DataFrame, cases: DataFrame, existing: DataFrame |
 
 # --- corpus hashes ------------------------------------------------------------------------------------
 
-def corpus_hash(files: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
-    """Hash of all contents in path order per corpus (a corpus is one bounded text by definition)."""
+def corpus_hash(files: DataFrame, by: Sequence[str] = ("domain",), max_chars: int = 512 << 20) -> DataFrame:
+    """Hash of all contents in path order per corpus.
+
+    The hash runs over one concatenated text, so a corpus must fit in a row: its size is measured first and a
+    larger one is refused (``corpus_file_hashes`` gives the per-file form).
+    """
+    largest = files.groupBy(*by).agg(F.sum(F.length("content").cast("bigint")).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > max_chars:
+        raise ValueError(f"a corpus holds {largest} characters; hash its files with corpus_file_hashes instead")
     ordered = F.array_sort(F.collect_list(F.struct("path", "content")))
     text = F.array_join(F.transform(ordered, lambda f: f["content"]), "")
     return files.groupBy(*by).agg(S.prefixed_sha256(text).alias("corpus_hash"), F.count(F.lit(1)).alias("files"))
 
 
+def corpus_file_hashes(files: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
+    """(corpus, path, sha256) rows: the same content evidence without a size limit."""
+    return files.select(*by, "path", S.prefixed_sha256(F.col("content")).alias("sha256"))
+
+
 def refreshed_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest entries with new content hashes: status changed, same, no_entry (error) or no_file (kept)."""
     now = files.select("path", S.prefixed_sha256(F.col("content")).alias("new_hash"))
@@ -332,12 +344,12 @@ def stratified_sample(df: DataFrame, key: str, strata: Sequence[str], share: flo
 def ranked_in_strata(df: DataFrame, key: str, strata: Sequence[str], seed: int) -> DataFrame:
     """Rank by hash order inside each stratum, computed per hash bucket plus bucket offsets.
 
-    The leading two hex digits of the order value cut a stratum in 256 even buckets: the window runs inside
+    The leading three hex digits of the order value cut a stratum in 4096 even buckets: the window runs inside
     a bucket and earlier buckets only contribute their counts.
     """
     from pyspark.sql import Window as W
 
-    rows = df.withColumn("_order", hash_order(F.col(key), seed)).withColumn("_bucket", F.substring("_order", 1, 2))
+    rows = df.withColumn("_order", hash_order(F.col(key), seed)).withColumn("_bucket", F.substring("_order", 1, 3))
     counts = rows.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole = W.partitionBy(*strata)
     offsets = counts.withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbline import values as V
 from plumbline.functions import scalar as S
+from plumbline.operators.joins import salted_join
 
 EVENT = "struct<agent_id:string,agentId:string,status:string,payload:string>"
 
@@ -23,7 +24,7 @@ def event_lines(lines: DataFrame, by: tuple[str, ...] = ("run_id",), seq: str =
     kept = lines.withColumn("data", data).filter((F.col("data") != "") & ~F.col("data").startswith(":"))
     if not lines.isStreaming:
         ends = kept.filter(F.col("data") == "[DONE]").groupBy(*by).agg(F.min(seq).alias("end_seq"))
-        kept = kept.join(ends, list(by), "left").filter(F.coalesce(F.col(seq) < F.col("end_seq"), F.lit(True)))
+        kept = salted_join(kept, ends, list(by), "left").filter(F.coalesce(F.col(seq) < F.col("end_seq"), F.lit(True)))
     kept = kept.filter(F.col("data") != "[DONE]")
     several = F.coalesce(
         F.from_json(F.when(F.col("data").startswith("["), F.col("data")), f"array<{EVENT}>"),
@@ -126,7 +127,7 @@ def snapshot_then_increments(snapshot: DataFrame, events: DataFrame) -> DataFram
     """
     first = snapshot.select("run_id", F.lit("snapshot").alias("kind"), F.col("last_seq").alias("seq"), "agent_id", "status")
     open_runs = snapshot.filter(~F.col("run_status").isin("done", "failed")).groupBy("run_id").agg(F.max("last_seq").alias("upto"))
-    later = events.join(open_runs, "run_id").filter(F.col("seq") > F.col("upto"))
+    later = salted_join(events, open_runs, ["run_id"], "inner").filter(F.col("seq") > F.col("upto"))
     return first.unionByName(later.select(
         "run_id", F.lit("increment").alias("kind"), "seq", "agent_id", S.agent_status(F.col("status")).alias("status")
     ))

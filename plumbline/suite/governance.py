@@ -377,7 +377,8 @@ def a15(spark: SparkSession, root: str) -> DataFrame:
  select case_id as subject, concat('unknown ', bylaw_id) as message from r where domain <> 'household' and bylaw_id not in (select bylaw_id from known)
  union all select case_id, concat('domain ', domain, ' has no entries') from fx_case where domain = 'household'""")
 def a16(spark: SparkSession, root: str) -> DataFrame:
-    known = load(spark, root, "select distinct c.domain, m.bylaw_id from (select distinct domain from fx_case where domain <> 'household') c join fx_evidence_map m on true")
+    known = load(spark, root, """select distinct c.domain, m.bylaw_id from fx_cited x join fx_case c on c.case_id = x.case_id
+        join fx_evidence_map m on m.bylaw_id = x.bylaw_id where c.domain <> 'household'""")
     return found(G.unknown_in_domain(load(spark, root, "fx_case"), load(spark, root, CITED_IN_DOMAIN), known, "bylaw_id", "A16"))
 
 
@@ -389,7 +390,8 @@ GAPS_IN_DOMAIN = "select g.case_id, c.domain, g.gap_id from fx_gold_gap g join f
  select case_id as subject, concat('unknown ', gap_id) as message from r where domain <> 'building' and gap_id not in (select gap_id from fx_truth)
  union all select distinct case_id, concat('domain ', domain, ' has no entries') from r where domain = 'building'""")
 def a18(spark: SparkSession, root: str) -> DataFrame:
-    known = load(spark, root, "select c.domain, t.gap_id from (select distinct domain from fx_case where domain <> 'building') c join fx_truth t on true")
+    known = load(spark, root, """select distinct c.domain, t.gap_id from fx_reported_gap r join fx_case c on c.case_id = r.case_id
+        join fx_truth t on t.gap_id = r.gap_id where c.domain <> 'building'""")
     return found(G.unknown_in_domain(load(spark, root, "fx_case"), load(spark, root, GAPS_IN_DOMAIN), known, "gap_id", "A18", "referencing"))
 
 
