@@ -34,19 +34,19 @@ RULE_FORMS = [
 
 def typed_rules(rules: DataFrame) -> DataFrame:
     """Rule texts (rule_id, condition, ...) to typed predicates; unknown texts get kind null and never match."""
-    text = F.lower(F.coalesce("condition", F.lit("")))
-
-    def pick(index: int, cast: str) -> Column:
-        out = F.lit(None).cast(cast)
-        for form in reversed(RULE_FORMS):
-            out = F.when(text.contains(form[0]), F.lit(form[index]).cast(cast)).otherwise(out)
-        return out
-
-    return rules.withColumns({
-        "kind": pick(1, "string"), "fact": pick(2, "string"), "comparison": pick(3, "string"),
-        "operand": pick(5, "string"),
-        "threshold": F.when(pick(1, "string").isin("number", "optional"), S.rule_threshold(text, pick(4, "double"))).otherwise(pick(4, "double")),
-    })
+    def value(item: str | float | None, kind: str) -> str:
+        return f"cast({'null' if item is None else repr(item)} as {kind})"
+
+    branches = " ".join(
+        f"when contains(lower(condition), {marker!r}) then named_struct('kind', {value(kind, 'string')}, 'fact', {value(fact, 'string')}, "
+        f"'comparison', {value(sign, 'string')}, 'fallback', {value(limit, 'double')}, 'operand', {value(other, 'string')})"
+        for marker, kind, fact, sign, limit, other in RULE_FORMS
+    )
+    stated = S.rule_threshold(F.lower("condition"), F.col("form.fallback"))
+    return rules.withColumn("form", F.expr(f"case {branches} end")).select(
+        *rules.columns, "form.kind", "form.fact", "form.comparison", "form.operand",
+        F.when(F.col("form.kind").isin("number", "optional"), stated).otherwise(F.col("form.fallback")).alias("threshold"),
+    )
 
 
 def matched_rules(cases: DataFrame, rules: DataFrame) -> DataFrame:
