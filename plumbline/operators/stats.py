@@ -208,6 +208,10 @@ def split_aggregate(scores: DataFrame, metrics: Sequence[str], strict: bool = Fa
         stacked = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("raw")) for c in composites])
         composite_rows = scores.select("domain", "split", "case_id", F.inline(stacked)).withColumn("branch", F.lit("standard"))
         rows = metric_rows.unionByName(composite_rows.select(metric_rows.columns))
+    # scored once, then read by every aggregate below
+    path = work_dir(scores.sparkSession, "split-rows")
+    rows.write.parquet(path)
+    rows = scores.sparkSession.read.parquet(path)
     ci = bootstrap_ci(rows, keys, "raw", ["case_id"], **options).select(*keys, "lower", "upper")
     counts = missingness(rows, keys).select(
         *keys, F.create_map(*[x for b in V.BRANCHES for x in (F.lit(b), F.col(b))]).alias("missingness")
