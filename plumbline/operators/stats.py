@@ -100,7 +100,8 @@ def bootstrap_ci(
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
     rows = df.filter(F.col(value).isNotNull()).select(
-        F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")).alias("g"),
+        # without groups the single key must not be a literal, or the joins on it turn into products
+        F.struct(*([F.col(c) for c in by] or [F.pmod(F.xxhash64(F.col(value)), F.lit(1)).alias("_")])).alias("g"),
         F.col(value).cast("double").alias("v"),
         F.struct(*order).alias("o"),
     )
