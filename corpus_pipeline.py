@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import documents, written
-from plumbline.llm.stages import near_duplicates
+from plumbline.llm.stages import coded, known_language, mixed, near_duplicates, without_benchmark
 
 STAGES = [
+    ("language_id", known_language),
     ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("token_files", coded),
 ]
 
 #: No stage can be stated in SQL: hashes, models and codecs are tested against brute force instead.

@@ -37,7 +37,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def map_arrow(frame: DataFrame, schema: str, function, *args) -> DataFrame:
+def map_arrow(frame: DataFrame, schema, function, *args) -> DataFrame:
     """``mapInArrow`` with bound arguments; functions are pickled by name, so workers import this package."""
     return frame.mapInArrow(functools.partial(_call, function, args), schema)
 

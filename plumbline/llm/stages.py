@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
+from plumbline.llm.decontaminate import contaminated
+from plumbline.llm.language_id import UNKNOWN, fit, held_out, predict
+from plumbline.llm.mixing import mix
 from plumbline.llm.simhash import simhash_components
+from plumbline.llm.token_files import token_files
+from plumbline.session import read_table
 
 
 def without(docs: DataFrame, ids: DataFrame, purpose: str) -> DataFrame:
@@ -28,3 +33,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each SimHash component, that with the smallest id. Rows without an id pass."""
     found = simhash_components(docs)
     return one_row_per_id(without(docs, found.where("doc_id <> component_id"), "near-duplicates"))
+
+
+#: Least share of a text's n-grams that its language must explain.
+EXPLAINED = 0.3
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised: not ``und``, and with enough of the n-grams explained."""
+    learn = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("doc_id").isNotNull())
+    found = predict(docs, fit(learn))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= EXPLAINED)).select("row.*")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item. Rows without an id pass."""
+    return without(docs, contaminated(docs, read_table(spark, sf_dir, "benchmark")), "contaminated")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them: a document of a small source may come several times or, of a large one, not."""
+    return mix(docs).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files of the mixture and reads them back: (doc_id, start, n_tokens, ids_crc32)."""
+    return token_files(docs)

@@ -17,7 +17,7 @@ from plumbline.llm.common import map_arrow, text_columns, texts_of
 FREQUENT = 1 << 16
 #: Pieces a task reports as its most frequent, and how many it holds while counting.
 REPORT, HOLD = 1 << 13, 1 << 18
-_WORKER: dict[tuple, tokenizer.Lengths] = {}
+_WORKER: dict[tuple, tokenizer.Pieces] = {}
 
 
 def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,11 +49,11 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str, shared, limit: int) ->
     if key not in _WORKER:
         words, lengths = shared.value
         _WORKER.clear()
-        _WORKER[key] = tokenizer.Lengths(path, dict(zip(words.split(" "), lengths)) if lengths else {})
-    look = _WORKER[key].__getitem__
+        _WORKER[key] = tokenizer.Pieces(path, False, dict(zip(words.split(" "), lengths)) if lengths else {})
+    lengths_of = _WORKER[key].lengths
     for batch in batches:
         texts = texts_of(batch)
-        counts = np.fromiter((sum(map(look, tokenizer.pieces(t))) for t in texts), np.int64, len(texts))
+        counts = lengths_of(texts)
         sizes = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), np.int64, len(texts))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]

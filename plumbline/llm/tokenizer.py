@@ -8,13 +8,16 @@ inside a piece and is left to the tokenizer.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 #: Entries of a worker's cache before it starts anew.
-CACHE = 400_000
-#: Longer pieces are encoded each time.
-LONG = 80
+CACHE = 800_000
+#: Longer pieces are encoded one by one, the others in runs of RUN with a rare control character between.
+LONG, RUN, SEPARATOR = 80, 256, "\x01"
+#: Stands for the end id behind a text; holds a space, so it is no piece.
+END = " end"
 _CUTS = str.maketrans("\n\t\r", "   ")
 
 
@@ -35,58 +38,89 @@ def pieces(text: str) -> list[str]:
     return text.translate(_CUTS).split(" ") if text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-class Lengths(dict):
-    """Piece to number of ids: frequent pieces for good, others as they come, up to CACHE."""
+class Pieces(dict):
+    """Numbers of pieces, their lengths in ids and, where ``keep``, the ids: a cache that starts anew beyond CACHE entries.
 
-    def __init__(self, path: str, frequent: dict[str, int]):
-        super().__init__(frequent)
-        self.frequent, self.encode, self[""] = frequent, load(path).encode, 0
+    Unknown pieces of a batch get numbers first and are encoded together afterwards, in runs with a separator between.
+    """
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.encode(piece, add_special_tokens=False))
-        if len(piece) <= LONG:
-            if len(self) > CACHE + len(self.frequent):
-                self.clear()
-                self.update(self.frequent, **{"": 0})
-            self[piece] = n
-        return n
-
-
-class Ids(dict):
-    """Piece to a number; ``spans`` and ``pool`` give the ids of numbers. ``renew`` keeps it bounded between batches."""
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: bool, frequent: dict[str, int] | None = None):
         super().__init__()
-        self.encode = load(path).encode
+        self.tokenizer, self.keep, self.frequent = load(path), keep, frequent or {}
+        self.mark = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.renew(0)
 
     def renew(self, limit: int = CACHE) -> None:
-        if len(self) > limit or not limit:
+        if len(self) > limit + len(self.frequent) or not limit:
             self.clear()
-            self.pool, self.starts, self[""] = [], [0, 0], 0
+            self.update(zip(self.frequent, range(len(self.frequent))))
+            self.sizes, self.pool, self.new = array("q", self.frequent.values()), array("I"), []
+            self[""]
+            self.settle()
 
     def __missing__(self, piece: str) -> int:
-        self.pool += self.encode(piece, add_special_tokens=False).ids
-        self.starts.append(len(self.pool))
-        self[piece] = number = len(self.starts) - 2
+        self[piece] = number = len(self.sizes) + len(self.new)
+        self.new.append(piece)
         return number
 
+    def add(self, ids) -> None:
+        self.sizes.append(len(ids))
+        if self.keep:
+            self.pool.extend(ids)
+
+    def settle(self) -> None:
+        """Encodes the new pieces, in the order of their numbers."""
+        for at in range(0, len(self.new), RUN):
+            run = self.new[at:at + RUN]
+            plain = [p for p in run if len(p) <= LONG and SEPARATOR not in p]
+            ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join(plain), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark[0])
+            whole = len(self.mark) == 1 and len(plain) > 0 and len(ends) == len(plain) - 1
+            parts = iter(np.split(ids, ends) if whole else ())
+            first = True
+            for p in run:
+                if whole and len(p) <= LONG and SEPARATOR not in p:
+                    self.add((part := next(parts))[0 if first else 1:].tolist())
+                    first = False
+                else:
+                    self.add(self.tokenizer.encode(p, add_special_tokens=False).ids)
+        self.new = []
+
+    def numbers(self, texts: list[str], *end: str) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces of the texts, each text followed by ``end``, and the pieces per text."""
+        parts, counts = [], np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            found = pieces(text)
+            found += end
+            counts[i] = len(found)
+            parts.append(np.fromiter(map(self.__getitem__, found), np.int32, len(found)))
+        self.settle()
+        return np.concatenate(parts) if parts else np.empty(0, np.int32), counts
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """Ids per text."""
+        self.renew()
+        picked, counts = self.numbers(texts)
+        return np.add.reduceat(np.array(self.sizes)[picked], np.cumsum(counts) - counts) if len(texts) else counts
+
+
+class Ids(Pieces):
+    """As Pieces, with the ids of whole texts."""
+
+    def __init__(self, path: str):
+        super().__init__(path, True)
+
     def rows(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, each text followed by ``end``, and the number of ids per text."""
         self.renew()
-        if "\0end" not in self:
-            self.pool.append(end)
-            self.starts.append(len(self.pool))
-            self["\0end"] = len(self.starts) - 2
-        last, numbers, counts = self["\0end"], [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            found = list(map(self.__getitem__, pieces(text)))
-            found.append(last)
-            counts[i] = len(found)
-            numbers.append(np.array(found, np.int32))
-        picked = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
-        starts, pool = np.array(self.starts, np.int64), np.array(self.pool, np.uint32)
-        sizes = (starts[1:] - starts[:-1])[picked]
-        offsets = np.cumsum(sizes) - sizes
-        ids = pool[np.repeat(starts[picked] - offsets, sizes) + np.arange(int(sizes.sum()))]
-        return ids, np.add.reduceat(sizes, np.cumsum(counts) - counts) if len(texts) else counts
+        if END not in self:
+            self[END] = len(self.sizes)
+            self.add([end])
+        picked, counts = self.numbers(texts, END)
+        if not len(picked):
+            return np.empty(0, np.uint32), counts
+        all_sizes, pool = np.array(self.sizes), np.array(self.pool, np.uint32)
+        sizes = all_sizes[picked]
+        starts = (np.cumsum(all_sizes) - all_sizes)[picked]
+        ids = pool[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        return ids, np.add.reduceat(sizes, np.cumsum(counts) - counts)
