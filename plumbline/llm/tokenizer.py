@@ -8,6 +8,7 @@ inside a piece and is left to the tokenizer.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -18,6 +19,8 @@ CACHE = 800_000
 LONG, RUN, SEPARATOR = 80, 256, "\x01"
 #: Stands for the end id behind a text; holds a space, so it is no piece.
 END = " end"
+#: A stop or comma between a letter or digit and a space.
+_STOP = re.compile(r"[.,](?<=[a-z0-9ß-öø-ÿ].)(?= )")
 _CUTS = str.maketrans("\n\t\r", "   ")
 
 
@@ -35,7 +38,18 @@ def load(path: str):
 
 
 def pieces(text: str) -> list[str]:
-    return text.translate(_CUTS).split(" ") if text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    """The pieces of a text, in order; pieces may be empty.
+
+    Texts of Latin-1 characters hold no combining marks, so lower-casing them first is safe (but for special strings, which
+    are matched as they stand), and so is parting a single full stop or comma from the letter before it: fewer pieces differ.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    if "<|" in text:
+        return text.translate(_CUTS).split(" ")
+    return _STOP.sub(r" \g<0>", text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")).split(" ")
 
 
 class Pieces(dict):
