@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents
 from plumbline.llm.decontaminate import contaminated
+from plumbline.llm.kneser_ney import quality
 from plumbline.llm.language_id import language_id
+from plumbline.llm.line_dedup import without_boilerplate
 from plumbline.llm.mixing import mix
 from plumbline.llm.simhash import simhash_components
+from plumbline.llm.surrogates import with_surrogates
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.token_files import token_files
+from plumbline.llm.weighted_sampling import weighted_fingerprints
 from plumbline.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +29,35 @@ def query(function):
     return function
 
 
+#: Key of the surrogates in the registered query; a real run takes its own from its secrets.
+SURROGATE_KEY = "registered query"
+
+BOILERPLATE_SQL = """
+with lines as (
+  select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as place
+  from documents),
+spread as (select trim(line, ' ') as line from lines where trim(line, ' ') <> '' group by 1 having count(distinct source) >= 5)
+select doc_id, count(*) as n_lines, count(spread.line) as n_removed,
+  sha256(coalesce(string_agg(lines.line, chr(10) order by place) filter (where spread.line is null), '')) as kept_sha256
+from lines left join spread on trim(lines.line, ' ') = spread.line
+group by doc_id
+"""
+
+
+@query
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(documents(spark, sf_dir), SURROGATE_KEY).select("row.doc_id", "n_found", F.col("clean_text").alias("text"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_boilerplate(documents(spark, sf_dir))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_line_dedup"] = BOILERPLATE_SQL
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("row.doc_id", "row.source", "tokens", "weight", "copies")
@@ -39,11 +73,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+@query
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_fingerprints(documents(spark, sf_dir))
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir))
