@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -50,12 +52,14 @@ def spread(scan: DataFrame) -> DataFrame:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written intermediate tables and stream checkpoints.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. A machine-local folder is used
-    only in local mode, where driver and executors are the same process.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Where that is unset, a session in local mode, whose
+    driver and executors are one process, sets it to a folder of its own that goes with the process; others are refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder before using this operator")
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
