@@ -3,31 +3,22 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import read_table
+from plumbline.session import read_table, work_dir
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The rows of a frame, written once to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(frame.sparkSession, purpose)
+    path = work_dir(frame.sparkSession, purpose)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

@@ -15,9 +15,9 @@ from plumbline.session import read_table
 
 
 def without(docs: DataFrame, ids: DataFrame, purpose: str) -> DataFrame:
-    """Documents whose id is not listed. The list is written first, so its size decides how Spark joins."""
+    """Documents whose id is not listed. The list grows with the documents, so they are joined one way at every size."""
     listed = written(ids.select(F.col("doc_id").cast("long").alias("dropped_id")).where("dropped_id is not null").distinct(), purpose)
-    return docs.join(listed, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    return docs.join(listed.hint("merge"), F.col("doc_id") == F.col("dropped_id"), "left_anti")
 
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:

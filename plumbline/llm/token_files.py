@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm import range_coder, tokenizer
-from plumbline.llm.common import map_arrow, shared_dir, text_columns, texts_of, written
+from plumbline.llm.common import map_arrow, text_columns, texts_of, written
+from plumbline.session import work_dir
 
 #: Ids after which a file is closed, at the next end of a document; texts encoded at a time, in characters.
 FILE_IDS, CHUNK = 1 << 23, 1 << 22
@@ -121,6 +122,6 @@ def token_files(docs: DataFrame, path: str | None = None, end: int = 2, folder:
     empty token table. Damaged files raise when they are read.
     """
     spark = docs.sparkSession
-    folder = folder or shared_dir(spark, "token-files")
+    folder = folder or work_dir(spark, "token-files")
     write_token_files(docs, folder, path or tokenizer.vocabulary_path(), end)
     return read_token_digests(spark, folder)
