@@ -296,19 +296,22 @@ def receipt_mismatches(receipt: DataFrame, actual: DataFrame) -> DataFrame:
 
 # --- roll-up ----------------------------------------------------------------------------------------------------
 
-def summarize(violations: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(assertion, status, violations) for every assertion in ``inputs`` (assertion, input_rows).
+def summarize(checks: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(assertion, status, violations) for every assertion that ran.
 
+    ``checks`` gives each assertion its own violations and the input it ran over, so none is reported that was not run.
     No input rows and no violations: skipped.
     """
-    counts = violations.groupBy("assertion").agg(F.count(F.lit(1)).alias("violations"))
+    counts = [
+        rows.agg(F.lit(name).alias("assertion"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+        for name, pair in checks.items() for kind, rows in zip(("violations", "input_rows"), pair)
+    ]
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")))
+    both = union_all(counts).groupBy("assertion").agg(of("violations").alias("violations"), of("input_rows").alias("input_rows"))
     status = (
         F.when(F.col("violations") > 0, "failed").when(F.col("input_rows") == 0, "skipped").otherwise("passed")
     )
-    return (
-        inputs.join(counts, "assertion", "left").fillna(0, subset=["violations"])
-        .select("assertion", status.alias("status"), "violations")
-    )
+    return both.select("assertion", status.alias("status"), "violations")
 
 
 def status_counts(summary: DataFrame) -> DataFrame:

@@ -161,22 +161,20 @@ def recommendation(metric_rows: DataFrame, composite_rows: DataFrame, most_regre
     return codes.join(falls, "round", "left").withColumn("recommendation", verdict)
 
 
-def triage(errors: DataFrame, sample: int = 5) -> DataFrame:
-    """Error classes ranked by frequency inside an agent, with severity and the first case ids.
+def triage_cases(errors: DataFrame) -> DataFrame:
+    """All cases of every error class, in long form: agent, metric, error_class, case_id."""
+    return errors.select("agent", "metric", "error_class", "case_id").distinct()
 
-    ``errors``: agent, metric, error_class, case_id, severity. Frequencies are whole; only the ids shown as
-    examples are the lowest ``sample`` per class.
+
+def triage(errors: DataFrame) -> DataFrame:
+    """Error classes ranked by frequency inside an agent, with severity; ``triage_cases`` lists their cases.
+
+    ``errors``: agent, metric, error_class, case_id, severity.
     """
     keys = ["agent", "metric", "error_class"]
-    distinct = errors.select(*keys, "case_id", "severity").distinct()
-    counts = distinct.groupBy(*keys).agg(F.count_distinct("case_id").alias("frequency"), F.max("severity").alias("severity"))
-    lowest = F.row_number().over(W.partitionBy(*keys).orderBy("case_id"))
-    shown = (
-        distinct.select(*keys, "case_id").distinct().withColumn("r", lowest).filter(F.col("r") <= sample)
-        .groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("case_id")), ",").alias("example_cases"))
-    )
-    rank = F.rank().over(W.partitionBy("agent").orderBy(F.desc("frequency")))
-    return counts.join(shown, keys).withColumn("rank", rank)
+    worst = errors.groupBy(*keys, "case_id").agg(F.max("severity").alias("severity"))
+    counts = worst.groupBy(*keys).agg(F.count("case_id").alias("frequency"), F.max("severity").alias("severity"))
+    return counts.withColumn("rank", F.rank().over(W.partitionBy("agent").orderBy(F.desc("frequency"))))
 
 
 def judge_calibration(scores: DataFrame, gap_limit: float, tiers: Sequence[str] = ("bad", "ok", "good")) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -147,55 +150,62 @@ def valid_agent_row() -> Column:
 class RunStateTable:
     """Keyed agent state as versioned parquet in the shared folder.
 
-    ``upsert`` folds a batch into the newest version: the latest ``last_seq`` per key wins, so replaying a
-    batch after a lost executor or driver changes nothing. Only rows of touched hash buckets are rewritten; the other
-    buckets are carried by reference through the version's bucket list.
+    ``upsert`` folds rows into the newest version: the latest ``last_seq`` per key wins, so replaying a batch after a
+    lost executor or driver changes nothing. Versions are counted by the table, whatever stream or restart the rows come
+    from, and each goes to a fresh folder; it counts once its entries are in the index. Only rows of touched hash buckets
+    are rewritten; the other buckets are carried by reference. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: tuple[str, ...] = ("run_id", "agent_id"), buckets: int = 64):
         self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys, buckets
 
-    def _versions(self) -> dict[int, str]:
-        """Bucket to the folder that holds it now."""
+    def _versions(self) -> tuple[dict[int, str], int]:
+        """Bucket to the folder that holds it now, and the newest version."""
         path = f"{self.root}/index"
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            return {}
-        index = self.spark.read.parquet(path).groupBy("bucket").agg(F.max_by("folder", "batch").alias("folder"))
-        return {row["bucket"]: row["folder"] for row in index.collect()}
+            return {}, 0
+        index = self.spark.read.parquet(path).groupBy("bucket").agg(F.max_by("folder", "version").alias("folder"), F.max("version").alias("version"))
+        rows = index.collect()
+        return {row["bucket"]: row["folder"] for row in rows}, max(row["version"] for row in rows)
 
     def read(self) -> DataFrame | None:
-        folders = self._versions()
+        folders, _ = self._versions()
         if not folders:
             return None
         paths = [f"{folder}/bucket={bucket}" for bucket, folder in folders.items()]
         return self.spark.read.parquet(*paths)
 
-    def upsert(self, rows: DataFrame, batch: int) -> None:
+    def upsert(self, rows: DataFrame) -> None:
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         rows = rows.withColumn("bucket", bucket)
         touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
         if not touched:
             return
-        folders = self._versions()
+        folders, newest = self._versions()
         old = [f"{folders[b]}/bucket={b}" for b in touched if b in folders]
         merged = rows
         if old:
             merged = merged.unionByName(self.spark.read.parquet(*old).withColumn("bucket", bucket), allowMissingColumns=True)
         body = [c for c in rows.columns if c not in (*self.keys, "bucket")]
         latest = merged.groupBy("bucket", *self.keys).agg(F.max_by(F.struct(*body), "last_seq").alias("s")).select("bucket", *self.keys, "s.*")
-        folder = f"{self.root}/batch-{batch}"
-        latest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        entries = self.spark.createDataFrame([(b, folder, batch) for b in touched], "bucket int, folder string, batch bigint")
+        folder = f"{self.root}/version-{newest + 1}-{uuid.uuid4().hex}"
+        latest.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        entries = self.spark.createDataFrame([(b, folder, newest + 1) for b in touched], "bucket int, folder string, version bigint")
         entries.coalesce(1).write.mode("append").parquet(f"{self.root}/index")
 
 
 def stream_run_state(events: DataFrame, table: RunStateTable, quarantine: str, checkpoint: str) -> StreamingQuery:
-    """Streams events into the state table: fold, schema gate, keyed upsert; bad rows go to ``quarantine``."""
+    """Streams events into the state table: fold, schema gate, keyed upsert; bad rows go to ``quarantine``.
+
+    Quarantined rows are kept per stream and batch, so a replayed batch does not double them.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, batch_id: int) -> None:
         ok = valid_agent_row()
-        table.upsert(batch.filter(ok), batch_id)
-        batch.filter(~ok).write.mode("append").parquet(quarantine)
+        table.upsert(batch.filter(ok))
+        batch.filter(~ok).write.mode("overwrite").parquet(f"{quarantine}/stream={stream}/batch={batch_id}")
 
     return (
         fold_agents(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -203,6 +213,23 @@ def stream_run_state(events: DataFrame, table: RunStateTable, quarantine: str, c
     )
 
 
+def stream_event_lines(lines: DataFrame, ends: RunStateTable, out: str, checkpoint: str, by: tuple[str, ...] = ("run_id",), seq: str = "seq") -> StreamingQuery:
+    """Streams response lines to events below ``out``; the end mark of a run holds for all later batches too.
+
+    ``ends`` keeps the lowest position of ``[DONE]`` per run. Output is kept per batch, so a replayed batch overwrites its own.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        mark = F.regexp_replace(F.trim("line"), r"^data:\s*", "") == "[DONE]"
+        ends.upsert(batch.filter(mark).groupBy(*by).agg((-F.min(seq)).alias("last_seq")))
+        known = ends.read()
+        if known is not None:
+            over = known.select(*by, (-F.col("last_seq")).alias("over_at"))
+            batch = batch.join(over, list(by), "left").filter(F.coalesce(F.col(seq) < F.col("over_at"), F.lit(True))).drop("over_at")
+        event_lines(batch, by, seq).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 # --- extensions on event time --------------------------------------------------------------------------------
 
 def status_counts(events: DataFrame, time: str = "ts", delay: str = "1 hour", width: str = "10 minutes") -> DataFrame:

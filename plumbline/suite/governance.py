@@ -443,18 +443,34 @@ def a23(spark: SparkSession, root: str) -> DataFrame:
     return G.receipt_mismatches(receipt, actual).select("path", "problem")
 
 
-@query("validation_summary", """
- select 'A09' as assertion, 'failed' as status, count(*) as violations from fx_case where split <> 'train' and label_review_status <> 'human-verified' union all
- select 'A19', 'failed', count(*) from fx_flag where flag = 'tone-odd' union all select 'A11', 'skipped', 0 union all select 'A14', 'passed', 0""")
-def validation_summary(spark: SparkSession, root: str) -> DataFrame:
-    """AG12: status per assertion out of violations and input sizes."""
-    cases, flags, parts = load(spark, root, "fx_case"), load(spark, root, "fx_flag"), load(spark, root, "part")
-    n = lambda df, a: df.agg(F.lit(a).alias("assertion"), F.count(F.lit(1)).alias("input_rows"))
-    inputs = G.union_all([n(cases, "A09"), n(flags, "A19"), n(cases.filter("false"), "A11"), n(parts, "A14")])
-    return G.summarize(G.union_all([G.unreviewed_labels(cases), G.unknown_flags(flags)]), inputs)
+CHECKED_SQL = """
+ select 'A09' as assertion, (select count(*) from fx_case where split <> 'train' and label_review_status <> 'human-verified') as violations, (select count(*) from fx_case) as input_rows
+ union all select 'A11', 0, 0
+ union all select 'A14', (select count(*) from (select lower(p_type), p_brand from part group by 1, 2 having max(p_size) <= 48)), (select count(*) from part)
+ union all select 'A19', (select count(*) from fx_flag where flag = 'tone-odd'), (select count(*) from fx_flag)
+ union all select 'A20', (select count(*) from (select split from ({m}) m where split = 'dev' group by split)) + (select count(*) from (select case_id from ({m}) m group by case_id having count(*) > 1)),
+   (select count(*) from ({m}) m)""".format(m=MANIFEST_SQL)
+STATUS_OF = "case when violations > 0 then 'failed' when input_rows = 0 then 'skipped' else 'passed' end"
 
 
-@query("validation_status_counts", "select 1 as passed, 2 as failed, 1 as skipped from (select count(*) from orders)")
+@query("validation_summary", f"select assertion, {STATUS_OF} as status, violations from ({CHECKED_SQL})")
+def validation_summary(spark: SparkSession, root: str) -> DataFrame:
+    """AG12: status per assertion out of the violations and the input of its own run."""
+    cases, flags = load(spark, root, "fx_case"), load(spark, root, "fx_flag")
+    rules = load(spark, root, "select distinct lower(p_type) as domain, concat('RULE-', p_brand) as rule_id from part")
+    have = load(spark, root, "select distinct lower(p_type) as domain, concat('RULE-', p_brand) as rule_id from part where p_size > 48")
+    receipts = spark.createDataFrame([], "domain string, indexed_paths array<string>")
+    manifest = load(spark, root, MANIFEST_SQL)
+    return G.summarize({
+        "A09": (G.unreviewed_labels(cases), cases), "A11": (G.indexed_oracle_paths(receipts), receipts),
+        "A14": (G.unregistered_rules(rules, have), load(spark, root, "part")), "A19": (G.unknown_flags(flags), flags),
+        "A20": (G.manifest_violations(manifest, load(spark, root, COUNTS_SQL)), manifest),
+    })
+
+
+@query("validation_status_counts", f"""
+ select count(*) filter (where s = 'passed') as passed, count(*) filter (where s = 'failed') as failed, count(*) filter (where s = 'skipped') as skipped
+ from (select {STATUS_OF} as s from ({CHECKED_SQL}))""")
 def validation_status_counts(spark: SparkSession, root: str) -> DataFrame:
     return G.status_counts(validation_summary(spark, root))
 

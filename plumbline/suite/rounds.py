@@ -137,14 +137,17 @@ ERRORS = """select a.agent_id as agent, case when a.seq % 2 = 0 then 'M8' else '
 
 @query("error_triage", f"""
  with e as ({ERRORS}),
- c as (select agent, metric, error_class, count(distinct case_id) as frequency, max(severity) as severity from e group by 1, 2, 3),
- s as (select agent, metric, error_class, case_id, row_number() over (partition by agent, metric, error_class order by case_id) as r from (select distinct agent, metric, error_class, case_id from e)),
- x as (select agent, metric, error_class, string_agg(case_id, ',' order by case_id) as example_cases from s where r <= 5 group by 1, 2, 3)
- select c.*, x.example_cases, rank() over (partition by agent order by frequency desc) as rank from c join x using (agent, metric, error_class)""")
+ c as (select agent, metric, error_class, count(distinct case_id) as frequency, max(severity) as severity from e group by 1, 2, 3)
+ select c.*, rank() over (partition by agent order by frequency desc) as rank from c""")
 def error_triage(spark: SparkSession, root: str) -> DataFrame:
     return R.triage(load(spark, root, ERRORS))
 
 
+@query("error_triage_cases", f"select distinct agent, metric, error_class, case_id from ({ERRORS})")
+def error_triage_cases(spark: SparkSession, root: str) -> DataFrame:
+    return R.triage_cases(load(spark, root, ERRORS))
+
+
 CALIBRATION = """
  select case when doc_id % 3 = 0 then 'staff' when doc_id % 3 = 1 then 'applicant' else 'redline' end as metric,
    case when quality = 1 and toxic = 0 then 'good' when quality = 1 or toxic = 0 then 'ok' else 'bad' end as tier,

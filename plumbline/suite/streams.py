@@ -17,16 +17,29 @@ LINES = """select run_id, seq, concat('e', cast(seq as string)) as eid, case seq
    when 6 then 'data: [DONE]' when 7 then 'garbage' else concat('{"agent_id":"', agent_id, '"}') end as line from fx_agent_event"""
 
 
-@query("event_lines", f"""
+EVENT_LINES_SQL = f"""
  with ends as (select run_id, min(seq) as e from fx_agent_event where seq % 10 = 6 group by 1), k as (select a.* from fx_agent_event a left join ends using (run_id) where e is null or a.seq < e)
  select run_id, seq, 0 as part, agent_id, status from k where seq % 10 = 2 union all select run_id, seq, 0, agent_id, 'running' from k where seq % 10 = 3 union all
  select run_id, seq, 2, 'extra', 'ok' from k where seq % 10 = 3 union all select run_id, seq, 0, agent_id, 'done' from k where seq % 10 = 4 union all
- select run_id, seq, 0, 'orchestrator', 'done' from k where seq % 10 = 5 union all select run_id, seq, 0, agent_id, 'running' from k where seq % 10 in (8, 9)""")
+ select run_id, seq, 0, 'orchestrator', 'done' from k where seq % 10 = 5 union all select run_id, seq, 0, agent_id, 'running' from k where seq % 10 in (8, 9)"""
+
+
+@query("event_lines", EVENT_LINES_SQL)
 def event_lines(spark: SparkSession, root: str) -> DataFrame:
     """SM1."""
     return A.event_lines(load(spark, root, LINES)).select("run_id", "seq", "part", "agent_id", "status")
 
 
+@query("event_lines_stream", EVENT_LINES_SQL)
+def event_lines_stream(spark: SparkSession, root: str) -> DataFrame:
+    """SM1 as a stream: the lines as files, end marks kept across batches."""
+    source, out = work_dir(spark, "lines"), work_dir(spark, "events")
+    load(spark, root, LINES).write.parquet(source)
+    lines = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    A.stream_event_lines(lines, A.RunStateTable(spark, work_dir(spark, "ends"), ("run_id",)), out, work_dir(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out).select("run_id", "seq", "part", "agent_id", "status")
+
+
 STATUS_SQL = "case when status in ('Completed', 'ok', 'success') then 'done' when status = 'ERRORED' then 'failed' when status = 'pending' then 'queued' else 'running' end"
 FOLD_SQL = f"""
  s as (select run_id, agent_id, seq, {STATUS_SQL} as st, json_extract_string(payload, '$.label') as label, cast(json_extract_string(payload, '$.elapsedSeconds') as double) as elapsed,
@@ -42,11 +55,11 @@ def run_state_fold(spark: SparkSession, root: str) -> DataFrame:
     return A.fold_agents(load(spark, root, "fx_agent_event")).select(*FOLDED)
 
 
-def event_stream(spark: SparkSession, root: str, per_trigger: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, root: str) -> DataFrame:
     """The events table as a file stream, with the same run, agent, status and payload columns as the batch input."""
     schema = read_table(spark, root, "events").schema
     raw = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "events.parquet").parquet(root)
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
     )
     return raw.selectExpr(
         "cast(user_id as string) as run_id", "event_id as seq", "event_id", f"{choose('event_id % 6', AGENTS)} as agent_id",
@@ -68,6 +81,16 @@ def run_state_stream(spark: SparkSession, root: str) -> DataFrame:
     return table.read().select(*FOLDED)
 
 
+@query("run_state_after_restart", f"with {FOLD_SQL} select run_id, agent_id, status, last_seq from f")
+def run_state_after_restart(spark: SparkSession, root: str) -> DataFrame:
+    """SNK4: a second stream, with a new checkpoint and so with batch numbers from zero, goes on with the table of the first."""
+    table, quarantine = A.RunStateTable(spark, work_dir(spark, "runs")), work_dir(spark, "quarantine")
+    events = event_stream(spark, root)
+    for part in (events.filter("seq % 3 <> 0"), events):
+        A.stream_run_state(part, table, quarantine, work_dir(spark, "checkpoint")).awaitTermination()
+    return table.read().select("run_id", "agent_id", "status", "last_seq")
+
+
 RUN_SQL = f"""
  with {FOLD_SQL}
  select run_id, case when bool_or(status = 'failed') then 'failed' when bool_and(status = 'done') and count(*) = 6 then 'done' when bool_or(status in ('running', 'done')) then 'running' else 'queued' end as run_status,

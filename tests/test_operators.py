@@ -322,12 +322,25 @@ def test_state_table_upsert_is_idempotent_and_keeps_the_newest(spark):
     schema = "run_id string, agent_id string, status string, last_seq long"
     first = spark.createDataFrame([row("r1", "a", "queued", 1), row("r2", "a", "done", 5)], schema)
     second = spark.createDataFrame([row("r1", "a", "done", 3), row("r1", "b", "failed", 2)], schema)
-    for batch, rows in ((0, first), (1, second), (1, second), (2, first)):
-        table.upsert(rows, batch)
+    for rows in (first, second, second, first):
+        E.RunStateTable(spark, table.root, buckets=4).upsert(rows)
     got = {(r["run_id"], r["agent_id"]): r["status"] for r in table.read().collect()}
     assert got == {("r1", "a"): "done", ("r1", "b"): "failed", ("r2", "a"): "done"}
 
 
+def test_end_mark_holds_for_later_batches(spark, tmp_path):
+    lines = lambda rows: spark.createDataFrame(rows, "run_id string, seq long, line string")
+    event = lambda agent: f'{{"agent_id":"{agent}","status":"ok"}}'
+    source, out, checkpoint = (str(tmp_path / n) for n in ("lines", "out", "checkpoint"))
+    ends = E.RunStateTable(spark, str(tmp_path / "ends"), ("run_id",), buckets=2)
+    for rows in ([("r", 1, event("a")), ("r", 2, "data: [DONE]"), ("q", 1, event("c"))], [("r", 3, event("b")), ("q", 2, event("d"))]):
+        lines(rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("run_id string, seq long, line string").parquet(source)
+        E.stream_event_lines(stream, ends, out, checkpoint).awaitTermination()
+    got = {(r["run_id"], r["agent_id"]) for r in spark.read.parquet(out).collect()}
+    assert got == {("r", "a"), ("q", "c"), ("q", "d")}
+
+
 def test_run_status_needs_every_known_agent(spark):
     rows = [("one", V.AGENTS[0], "done", 1)] + [("all", a, "done", 1) for a in V.AGENTS] + [("bad", a, "failed" if i == 0 else "done", 1) for i, a in enumerate(V.AGENTS)] + [("idle", V.AGENTS[0], "queued", 1)]
     agents = spark.createDataFrame(rows, "run_id string, agent_id string, status string, last_seq long")
