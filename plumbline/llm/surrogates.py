@@ -168,7 +168,8 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     ready = written(per_row.select("row_key", F.col("list.replacement").alias("replacements")), "row-replacements")
     gaps = F.split("row.text", PATTERN, -1)
     sewn = F.array_join(F.zip_with(gaps, F.concat("replacements", F.array(F.lit(""))), lambda gap, put: F.concat(gap, put)), "")
-    return keyed.join(ready, "row_key", "left").select(
+    # the list grows with the texts: one way of joining at every size
+    return keyed.join(ready.hint("merge"), "row_key", "left").select(
         "row", F.when(F.col("replacements").isNull(), 0).otherwise(F.size("replacements")).cast("long").alias("n_found"),
         F.when(F.col("replacements").isNull(), F.col("row.text")).otherwise(sewn).alias("clean_text"),
     )
