@@ -54,7 +54,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     removed = written(lines.join(spread, "line").groupBy("row_key").agg(F.collect_set("place").alias("places")), "removed-lines")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     keyed = packed.withColumn("row_key", F.xxhash64("row.doc_id", "row.text"))
-    joined = keyed.join(removed, "row_key", "left").withColumn("parts", F.split("row.text", "\n"))
+    # the list grows with the texts: one way of joining at every size
+    joined = keyed.join(removed.hint("merge"), "row_key", "left").withColumn("parts", F.split("row.text", "\n"))
     kept = F.array_join(F.filter("parts", lambda part, place: ~F.array_contains("places", place)), "\n")
     return joined.select(
         "row", F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts")).cast("long").alias("n_lines"),
