@@ -28,7 +28,7 @@ FREQUENT, MAP_LOG2 = 1 << 20, 22
 #: A document passes up to this quantile of the perplexities of its language's trusted documents.
 QUANTILE, ACCURACY = 0.995, 10_000
 #: Bigrams a task holds while counting; characters scored at a time.
-HOLD, CHUNK = 1 << 23, 1 << 21
+HOLD, CHUNK = 1 << 21, 1 << 21
 _TOKENS: dict[str, tokenizer.Ids] = {}
 
 
@@ -188,7 +188,7 @@ def _listed(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     bits[table.column("word").to_numpy()] = table.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     marked = docs.select("doc_id", "text", spot.alias("spot"))
-    return map_arrow(marked, "doc_id long, text string", _in_map, shared).join(trusted_ids, "doc_id", "left_semi")
+    return map_arrow(marked, "doc_id long, text string", _in_map, shared).join(trusted_ids.hint("merge"), "doc_id", "left_semi")
 
 
 def _in_map(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
