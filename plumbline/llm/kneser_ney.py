@@ -28,7 +28,7 @@ FREQUENT, MAP_LOG2 = 1 << 20, 22
 #: A document passes up to this quantile of the perplexities of its language's trusted documents.
 QUANTILE, ACCURACY = 0.995, 10_000
 #: Bigrams a task holds while counting; characters scored at a time.
-HOLD, CHUNK = 1 << 21, 1 << 21
+HOLD, CHUNK = 1 << 20, 1 << 20
 _TOKENS: dict[str, tokenizer.Ids] = {}
 
 
