@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline import values as V
-from plumbline.operators.joins import dim_join, is_small, salted_join, unknown_references
+from plumbline.operators.joins import dim_join, salted_join, unknown_references
 
 
 def _say(*parts: Column | str) -> Column:
@@ -320,19 +320,20 @@ def status_counts(summary: DataFrame) -> DataFrame:
 
 # --- report tables ----------------------------------------------------------------------------------------------------
 
+FAMILY_BLOCKS = 64
+
+
 def coverage_matrix(cases: DataFrame) -> DataFrame:
     """Cases per (domain, family) and split; every domain appears with every family of the pool.
 
-    The family list is measured before it is attached to the domains as one small array.
+    Families are dealt to blocks by hash and every domain meets each block once, so the grid is built in many tasks.
     """
     family = F.coalesce("edge_case_family", F.lit("_none_"))
     rows = cases.select("domain", "split", family.alias("family"))
     counted = rows.groupBy("domain", "family").agg(*[F.count_if(F.col("split") == s).alias(s) for s in V.SPLITS])
-    listed = rows.select("family").distinct()
-    if not is_small(listed, max_rows=10_000):
-        raise ValueError("edge_case_family holds too many values for a coverage matrix")
-    families = listed.agg(F.array_sort(F.collect_list("family"))).scalar()
-    grid = rows.select("domain").distinct().withColumn("family", F.explode(families))
+    families = counted.select("family").distinct().withColumn("block", F.pmod(F.xxhash64("family"), F.lit(FAMILY_BLOCKS)).cast("int"))
+    domains = counted.select("domain").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_BLOCKS - 1))))
+    grid = domains.join(families, "block").drop("block")
     return grid.join(counted, ["domain", "family"], "left").fillna(0, subset=V.SPLITS)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 DIM_MAX_ROWS = 200_000
 DIM_MAX_BYTES = 64 << 20
 SALTS = 32
+HEAVY, HEAVY_ROWS = 256, 10_000
 
 
 def is_small(dim: DataFrame, max_rows: int = DIM_MAX_ROWS, max_bytes: int = DIM_MAX_BYTES) -> bool:
@@ -23,12 +26,21 @@ def is_small(dim: DataFrame, max_rows: int = DIM_MAX_ROWS, max_bytes: int = DIM_
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, salts: int = SALTS) -> DataFrame:
-    """Equi-join that spreads a hot key of ``left`` over ``salts`` tasks by replicating ``right``.
+    """Equi-join that spreads the heavy keys of ``left`` over ``salts`` tasks and copies only their rows of ``right``.
 
-    The salt is a hash of the whole left row, so a recomputed task salts its rows the same way.
+    A key is heavy if it holds more than HEAVY_ROWS rows and more than one in HEAVY of all rows of ``left``. So there are fewer
+    than HEAVY heavy keys and their list can always be broadcast. Rows with a null key have no partner; they are spread too. The
+    salt is a hash of the whole left row, so a recomputed task salts its rows the same way.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keys = [F.col(f"`{c}`") for c in on]
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = counts.agg(F.sum("_n") / HEAVY).scalar()
+    heavy = F.broadcast(counts.filter((F.col("_n") > HEAVY_ROWS) & (F.col("_n") > share)).select(*keys, F.lit(True).alias("_heavy")))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    loose = reduce(or_, [k.isNull() for k in keys], F.coalesce("_heavy", F.lit(False)))
+    salted = left.join(heavy, list(on), "left").withColumn("_salt", F.when(loose, spread).otherwise(0)).drop("_heavy")
+    numbers = F.sequence(F.lit(0), F.when(F.col("_heavy"), salts - 1).otherwise(0))
+    copies = right.join(heavy, list(on), "left").withColumn("_salt", F.explode(numbers)).drop("_heavy")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
@@ -78,13 +90,3 @@ def _first_ids(ids: DataFrame, n: int = 3) -> Column:
 def unknown_references(references: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFrame:
     """References without a partner in the known pool."""
     return dim_join(references, known.select(*on).distinct(), on, "left_anti")
-
-
-def match_rules(facts: DataFrame, rules: DataFrame, predicate: Column) -> DataFrame:
-    """Every (row, rule) for which the predicate holds.
-
-    A theta join: rules are attached as one checked, broadcast dimension, so the facts are never shuffled.
-    """
-    if not is_small(rules, max_rows=10_000):
-        raise ValueError("rules must be a small dimension; split the rule set and union the results")
-    return facts.join(F.broadcast(rules), predicate, "inner")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import values as V
 from plumbline.functions import documents as D
 from plumbline.functions import scalar as S
-from plumbline.operators.joins import dim_join, match_rules, salted_join
+from plumbline.operators.joins import salted_join
 
 # The comparators of the decision rules. A rule text is recognised by its marker; the first
 # marker found decides. ``other`` compares with a second fact, ``missing``/``absent`` look at document sets.
@@ -38,13 +38,13 @@ def typed_rules(rules: DataFrame) -> DataFrame:
         return f"cast({'null' if item is None else repr(item)} as {kind})"
 
     branches = " ".join(
-        f"when contains(lower(condition), {marker!r}) then named_struct('kind', {value(kind, 'string')}, 'fact', {value(fact, 'string')}, "
+        f"when contains(lower(condition), {marker!r}) then named_struct('number', {number}, 'kind', {value(kind, 'string')}, 'fact', {value(fact, 'string')}, "
         f"'comparison', {value(sign, 'string')}, 'fallback', {value(limit, 'double')}, 'operand', {value(other, 'string')})"
-        for marker, kind, fact, sign, limit, other in RULE_FORMS
+        for number, (marker, kind, fact, sign, limit, other) in enumerate(RULE_FORMS)
     )
     stated = S.rule_threshold(F.lower("condition"), F.col("form.fallback"))
     return rules.withColumn("form", F.expr(f"case {branches} end")).select(
-        *rules.columns, "form.kind", "form.fact", "form.comparison", "form.operand",
+        *rules.columns, F.col("form.number").alias("_form"), "form.kind", "form.fact", "form.comparison", "form.operand",
         F.when(F.col("form.kind").isin("number", "optional"), stated).otherwise(F.col("form.fallback")).alias("threshold"),
     )
 
@@ -52,46 +52,51 @@ def typed_rules(rules: DataFrame) -> DataFrame:
 def matched_rules(cases: DataFrame, rules: DataFrame) -> DataFrame:
     """(case columns, rule columns) for every rule that holds.
 
-    ``cases``: facts map<string,double> (a missing fact reads as 0), missing_documents, submitted_kinds.
+    ``cases``: facts map<string,double> (a missing fact reads as 0), missing_documents, submitted_kinds. A case gets one row for
+    each form of condition that it can meet, with the values to compare, and meets only the rules of that form: an equi-join
+    whose strategy is left to Spark, so the number of rules has no limit.
     """
-    given = F.try_element_at("facts", F.col("fact"))
-    value = F.coalesce(given, F.lit(0.0))
-    second = F.coalesce(F.try_element_at("facts", F.col("operand")), F.lit(0.0))
-    bound = F.when(F.col("kind") == "other", second).otherwise(F.col("threshold"))
-    compared = F.when(F.col("comparison") == ">", value > bound).otherwise(value < bound)
-    in_missing = F.array_contains("missing_documents", F.col("operand"))
+    forms = []
+    for number, (_, kind, fact, _, _, other) in enumerate(RULE_FORMS):
+        given = F.try_element_at("facts", F.lit(fact)) if fact else F.lit(None).cast("double")
+        second = F.try_element_at("facts", F.lit(other)) if kind == "other" else F.lit(None).cast("double")
+        possible = {
+            "optional": given.isNotNull(),
+            "missing": F.array_contains("missing_documents", F.lit(other)),
+            "missing_with": F.array_contains("missing_documents", F.lit(other)),
+            "absent": ~F.array_contains("submitted_kinds", F.lit(other)),
+        }.get(kind, F.lit(True))
+        forms.append(F.struct(
+            F.lit(number).alias("_form"), F.coalesce(given, F.lit(0.0)).alias("_value"), F.coalesce(second, F.lit(0.0)).alias("_second"),
+            possible.alias("_possible"),
+        ))
+    bound = F.when(F.col("kind") == "other", F.col("_second")).otherwise(F.col("threshold"))
     holds = (
-        F.when(F.col("kind").isin("number", "other"), compared)
-        .when(F.col("kind") == "optional", given.isNotNull() & compared)
-        .when(F.col("kind") == "missing", in_missing)
-        .when(F.col("kind") == "missing_with", in_missing & compared)
-        .when(F.col("kind") == "absent", ~F.array_contains("submitted_kinds", F.col("operand")))
-        .otherwise(False)
+        F.when(F.col("kind").isin("missing", "absent"), True)
+        .when(F.col("comparison") == ">", F.col("_value") > bound).otherwise(F.col("_value") < bound)
     )
-    return match_rules(cases, typed_rules(rules), holds)
+    met = cases.select("*", F.inline(F.array(*forms))).filter("_possible")
+    return met.join(typed_rules(rules), "_form").filter(holds).drop("_form", "_value", "_second", "_possible")
 
 
 def derive_labels(cases: DataFrame, rules: DataFrame, evidence_map: DataFrame) -> DataFrame:
     """Gold labels per case: sorted unique gaps, citations, evidence, redline range, stage-1 flags, source.
 
     Labels given with the row (``given_*`` arrays, when present) win if they are not empty. Lists are
-    bounded by the rule set, not by the data.
+    bounded by the rule set, not by the data. Evidence is joined to the rules, so the cases are matched once.
     """
-    hits = matched_rules(cases, rules)
-    evidence = evidence_map.groupBy("bylaw_id").agg(F.collect_set("evidence_key").alias("required"))
-    bylaws = dim_join(
-        hits.select("case_id", F.explode("bylaw_ids").alias("bylaw_id")), evidence, "bylaw_id", "left"
-    ).groupBy("case_id").agg(
-        F.array_sort(F.collect_set("bylaw_id")).alias("rule_bylaws"),
-        F.array_distinct(F.flatten(F.collect_set("required"))).alias("bylaw_evidence"),
-    )
+    listed = rules.select("bylaw_ids").distinct().withColumn("bylaw_id", F.explode("bylaw_ids"))
+    evidence = listed.join(evidence_map, "bylaw_id").groupBy("bylaw_ids").agg(F.collect_set("evidence_key").alias("required"))
+    hits = matched_rules(cases, rules.join(evidence, "bylaw_ids", "left"))
     per_case = hits.groupBy("case_id").agg(
         S.sorted_unique(F.collect_set("emits_gap")).alias("rule_gaps"),
         F.array_distinct(F.flatten(F.collect_set("evidence_keys"))).alias("rule_evidence"),
         F.array_sort(F.collect_set("rule_id")).alias("rule_ids"),
+        S.sorted_unique(F.array_compact(F.flatten(F.collect_set("bylaw_ids")))).alias("rule_bylaws"),
+        F.array_distinct(F.flatten(F.collect_set("required"))).alias("bylaw_evidence"),
     )
     none = F.array().cast("array<string>")
-    joined = cases.join(per_case, "case_id", "left").join(bylaws, "case_id", "left")
+    joined = cases.join(per_case, "case_id", "left")
     for name in ("rule_gaps", "rule_evidence", "rule_ids", "rule_bylaws", "bylaw_evidence"):
         joined = joined.withColumn(name, F.coalesce(name, none))
 
@@ -259,18 +264,26 @@ def build_few_shots(requests: DataFrame, cases: DataFrame, existing: DataFrame |
 
 # --- corpus hashes ------------------------------------------------------------------------------------
 
-def corpus_hash(files: DataFrame, by: Sequence[str] = ("domain",), max_chars: int = 512 << 20) -> DataFrame:
-    """Hash of all contents in path order per corpus.
+def corpus_hash(files: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
+    """Digest of all files per corpus and their number, for a corpus of any size.
 
-    The hash runs over one concatenated text, so a corpus must fit in a row: its size is measured first and a
-    larger one is refused (``corpus_file_hashes`` gives the per-file form).
+    A tree of fixed depth over the files' own hashes. The first six hex digits of the sha256 of a path name its leaf; a leaf's
+    digest is taken over the lines "hash path" of its files in path order, a node's (the first three digits) over the lines of
+    its leaves, and the corpus's over those of its nodes. No text is collected. It is another digest than one over all contents
+    as a single text, which ``corpus_file_hashes`` doesn't give either; compare it only with digests made here. A null path or
+    content counts as an empty one.
     """
-    largest = files.groupBy(*by).agg(F.sum(F.length("content").cast("bigint")).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > max_chars:
-        raise ValueError(f"a corpus holds {largest} characters; hash its files with corpus_file_hashes instead")
-    ordered = F.array_sort(F.collect_list(F.struct("path", "content")))
-    text = F.array_join(F.transform(ordered, lambda f: f["content"]), "")
-    return files.groupBy(*by).agg(S.prefixed_sha256(text).alias("corpus_hash"), F.count(F.lit(1)).alias("files"))
+    path = F.coalesce("path", F.lit(""))
+    own = S.prefixed_sha256(F.coalesce("content", F.lit("")))
+    rows = files.select(*by, F.substring(F.sha2(path, 256), 1, 6).alias("place"), path.alias("name"), own.alias("digest"), F.lit(1).cast("bigint").alias("files"))
+    for digits in (6, 3, 0):
+        lines = F.transform(
+            F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda f: F.concat(f["digest"], F.lit(" "), f["name"])
+        )
+        rows = rows.groupBy(*by, F.substring("place", 1, digits).alias("place")).agg(
+            S.prefixed_sha256(F.array_join(lines, "\n")).alias("digest"), F.sum("files").alias("files")
+        ).withColumn("name", F.col("place"))
+    return rows.select(*by, F.col("digest").alias("corpus_hash"), "files")
 
 
 def corpus_file_hashes(files: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:

@@ -16,8 +16,8 @@ from plumbline import values as V
 from plumbline.functions.draws import draw_positions
 from plumbline.session import work_dir
 
-VECTOR_LIMIT = 4_000_000       # doubles per group that may travel as one array (32 MB)
-DRAWS_PER_TASK = 20_000_000
+CHUNK = 1_000_000              # values that travel as one array (8 MB)
+DRAWS_PER_TASK, DRAWS = 20_000_000, 4_000_000
 
 
 def metric_summary(long_scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -36,8 +36,22 @@ def missingness(long_scores: DataFrame, by: Sequence[str], branches: Sequence[st
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation on n-1."""
-    return df.groupBy(*by).agg(*[F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in points.items()])
+    """Exact quantiles with linear interpolation on n-1; null for a group without values.
+
+    Read off at their positions in the sorted group, which no task holds as a whole.
+    """
+    rows = df.select(F.struct(*([F.col(c) for c in by] or [F.pmod(F.xxhash64(F.col(value)), F.lit(1)).alias("_")])).alias("g"), F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy("g").agg(F.count("v").alias("n"))
+    placed = with_positions(rows.filter(F.col("v").isNotNull()), ["g"], "v").join(sizes, "g")
+    at, found = {n: F.lit(p) * (F.col("n") - 1) for n, p in points.items()}, []
+    for name, place in at.items():
+        for end, rounded in (("low", F.floor(place)), ("high", F.ceil(place))):
+            found.append(F.max(F.when(F.col("p") == rounded, F.col("v"))).alias(f"{name}_{end}"))
+    picked = placed.groupBy("g", "n").agg(*found).drop("n")
+    share = {n: place - F.floor(place) for n, place in at.items()}
+    return sizes.join(picked, "g", "left").select(*[F.col(f"g.`{c}`").alias(c) for c in by], *[
+        ((1 - share[n]) * F.col(f"`{n}_low`") + share[n] * F.col(f"`{n}_high`")).alias(n) for n in points
+    ])
 
 
 def spread(df: DataFrame, by: Sequence[str], value: str, threshold: float = V.ACCEPTANCE_GAIN) -> DataFrame:
@@ -87,13 +101,13 @@ def bootstrap_ci(
     resamples: int = V.BOOTSTRAP_RESAMPLES,
     seed: int = V.BOOTSTRAP_SEED,
     alpha: float = V.BOOTSTRAP_ALPHA,
-    vector_limit: int = VECTOR_LIMIT,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Percentile interval of the mean per group: ``mean, lower, upper, n``.
 
-    Draw number d depends on seed and d alone, so any task can make any slice of the stream. A group
-    whose measured size stays under ``vector_limit`` travels as one array next to slices of resamples;
-    a larger one is joined to its draws by position, which has no size bound.
+    Draw number d depends on seed and d alone, so any task can make any slice of the stream. The sorted values of a group are
+    cut into chunks by position; each chunk meets slices of resamples, makes their draws and sums the values it holds. The sums
+    of a resample are added in the order of its chunks, so the interval does not depend on partitions.
     """
     if not (isinstance(resamples, int) and resamples > 0):
         raise ValueError("resamples must be a positive integer")
@@ -103,14 +117,10 @@ def bootstrap_ci(
         # without groups the single key must not be a literal, or the joins on it turn into products
         F.struct(*([F.col(c) for c in by] or [F.pmod(F.xxhash64(F.col(value)), F.lit(1)).alias("_")])).alias("g"),
         F.col(value).cast("double").alias("v"),
-        F.struct(*order).alias("o"),
+        F.struct(*order, F.col(value).cast("double").alias("_value")).alias("o"),
     )
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= vector_limit:
-        means = _means_by_vector(rows, resamples, seed)
-    else:
-        means = _means_by_position(rows, sizes, resamples, seed)
+    means = _means(rows, sizes, resamples, seed, chunk)
     edges = means.groupBy("g").agg(
         F.percentile("m", F.lit(alpha / 2)).alias("lower"),
         F.percentile("m", F.lit(1 - alpha / 2)).alias("upper"),
@@ -118,57 +128,44 @@ def bootstrap_ci(
     return sizes.join(edges, "g").select(*[F.col(f"g.{c}").alias(c) for c in by], "mean", "lower", "upper", "n")
 
 
-def _means_by_vector(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
+def _means(rows: DataFrame, sizes: DataFrame, resamples: int, seed: int, chunk: int) -> DataFrame:
+    """(g, m): the mean of every resample of every group."""
     vectors = (
-        rows.groupBy("g")
-        .agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("s"))
-        .select("g", F.col("s.v").alias("vector"))
+        with_positions(rows, ["g"], "o").groupBy("g", F.floor(F.col("p") / chunk).alias("c"))
+        .agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("s"))
+        .select("g", "c", F.col("s.v").alias("vector")).join(sizes.select("g", "n"), "g")
     )
-    per_slice = F.greatest(F.lit(1), F.least(F.lit(ceil(resamples / 8)), (F.lit(DRAWS_PER_TASK) / F.size("vector")).cast("int")))
+    per_slice = F.greatest(F.lit(1), F.least(F.lit(ceil(resamples / 8)), (F.lit(DRAWS_PER_TASK) / F.col("n")).cast("int")))
     slices = (
         vectors.withColumn("k", per_slice)
-        .select("g", "vector", "k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("k"))).alias("first"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("k"))).alias("first"))
         .withColumn("last", F.least(F.col("first") + F.col("k"), F.lit(resamples)))
         .drop("k")
-        .repartition("g", "first")
+        .repartition("g", "c", "first")
     )
-    schema = T.StructType([slices.schema["g"], T.StructField("m", T.DoubleType())])
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for g, vector, first, last in batch[["g", "vector", "first", "last"]].itertuples(index=False):
-                x = np.asarray(vector, dtype=np.float64)
-                n = len(x)
-                means = [x[draw_positions(seed, r * n, n, n)].sum() / n for r in range(first, last)]
-                yield pd.DataFrame({"g": [g] * len(means), "m": means})
-
-    return slices.mapInPandas(resample, schema)
-
-
-def _means_by_position(rows: DataFrame, sizes: DataFrame, resamples: int, seed: int) -> DataFrame:
-    slice_rows = 1_000_000
-    slices = sizes.select(
-        "g", "n",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples) * F.col("n") - 1, F.lit(slice_rows).cast("bigint"))).alias("first"),
-    ).repartition("g", "first")
     schema = T.StructType([
-        slices.schema["g"], T.StructField("r", T.LongType()), T.StructField("p", T.LongType()), T.StructField("k", T.LongType()),
+        slices.schema["g"], T.StructField("c", T.LongType()), T.StructField("r", T.LongType()), T.StructField("s", T.DoubleType()),
     ])
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for g, n, first in batch[["g", "n", "first"]].itertuples(index=False):
-                count = min(slice_rows, resamples * n - first)
-                r = np.arange(first, first + count) // n
-                cell, times = np.unique(r * n + draw_positions(seed, first, count, n), return_counts=True)
-                yield pd.DataFrame({"g": [g] * len(cell), "r": cell // n, "p": cell % n, "k": times})
-
-    draws = slices.mapInPandas(draw, schema)
-    return (
-        draws.join(with_positions(rows, ["g"], "o"), ["g", "p"])
-        .groupBy("g", "r")
-        .agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("m"))
+            for g, c, vector, n, first, last in batch[["g", "c", "vector", "n", "first", "last"]].itertuples(index=False):
+                x, sums = np.asarray(vector, dtype=np.float64), []
+                for r in range(first, last):
+                    total = 0.0
+                    for at in range(0, n, DRAWS):
+                        p = draw_positions(seed, r * n + at, min(DRAWS, n - at), n)
+                        if len(x) < n:
+                            p = p[p // chunk == c] - c * chunk
+                        total += x[p].sum()
+                    sums.append(total)
+                yield pd.DataFrame({"g": [g] * len(sums), "c": c, "r": np.arange(first, last), "s": sums})
+
+    partial = F.transform(F.array_sort(F.collect_list(F.struct("c", "s"))), lambda x: x["s"])
+    summed = slices.mapInPandas(resample, schema).groupBy("g", "r").agg(
+        F.aggregate(partial, F.lit(0.0), lambda a, x: a + x).alias("s")
     )
+    return summed.join(sizes.select("g", "n"), "g").select("g", (F.col("s") / F.col("n")).alias("m"))
 
 
 def with_positions(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:

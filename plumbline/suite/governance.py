@@ -55,14 +55,14 @@ def a02(spark: SparkSession, root: str) -> DataFrame:
 
 @query("a03_duplicate_ids", """
  with p as (select concat('line-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as id, concat('part-', cast(l_partkey % 3 as string)) as path,
-     row_number() over (partition by l_partkey % 3 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as line from lineitem),
+     l_orderkey * 1000 + row_number() over (partition by l_partkey % 3, l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as line from lineitem),
  r as (select id, path, line, row_number() over (partition by id order by path, line) as n,
      first_value(path) over (partition by id order by path, line) as fp, first_value(line) over (partition by id order by path, line) as fl from p)
  select id as subject, concat('duplicate at ', path, ':', cast(line as string), ' (first seen ', fp, ':', cast(fl as string), ')') as message from r where n > 1""")
 def a03(spark: SparkSession, root: str) -> DataFrame:
     pool = load(spark, root, """
         select concat('line-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as id, concat('part-', cast(l_partkey % 3 as string)) as path,
-          row_number() over (partition by l_partkey % 3 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as line
+          l_orderkey * 1000 + row_number() over (partition by l_partkey % 3, l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as line
         from lineitem""")
     return found(G.duplicate_ids(pool, "id"))
 

@@ -245,13 +245,16 @@ def few_shots_built(spark: SparkSession, root: str) -> DataFrame:
 
 # --- corpus hashes --------------------------------------------------------------------------------------------------------
 
-CORPUS = """select concat(source, '/', lang, '/', cast(cast(floor(doc_id / 50) as bigint) as string)) as domain, concat('p', lpad(cast(doc_id as string), 12, '0')) as path, text as content from documents"""
+CORPUS = """select concat(source, '/', lang) as domain, concat('p', lpad(cast(doc_id as string), 12, '0')) as path, text as content from documents"""
 
 
 @query("corpus_hashes", f"""
- with c as ({CORPUS}) select domain, concat('sha256:', sha256(string_agg(content, '' order by path))) as corpus_hash, count(*) as files from c group by domain""")
+ with c as ({CORPUS}), f as (select domain, sha256(path)[1:6] as place, path as name, concat('sha256:', sha256(coalesce(content, ''))) as digest from c),
+ leaves as (select domain, place, concat('sha256:', sha256(string_agg(concat(digest, ' ', name), chr(10) order by name, digest))) as digest, count(*) as files from f group by domain, place),
+ nodes as (select domain, place[1:3] as place, concat('sha256:', sha256(string_agg(concat(digest, ' ', place), chr(10) order by place))) as digest, sum(files) as files from leaves group by domain, place[1:3])
+ select domain, concat('sha256:', sha256(string_agg(concat(digest, ' ', place), chr(10) order by place))) as corpus_hash, cast(sum(files) as bigint) as files from nodes group by domain""")
 def corpus_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """AG13: one hash per corpus folder of at most fifty files."""
+    """AG13: one digest per source and language."""
     return L.corpus_hash(load(spark, root, CORPUS))
 
 

@@ -52,12 +52,12 @@ def brute_interval(values: list[float], resamples: int) -> tuple[float, float]:
     return tuple(np.quantile(means, [0.025, 0.975]))
 
 
-def test_bootstrap_by_vector_and_by_position_equal_brute_force(spark):
+def test_bootstrap_in_one_and_in_many_chunks_equals_brute_force(spark):
     rng = random.Random(1)
     rows = [(g, f"c{i:04d}", rng.random()) for g, n in (("a", 40), ("b", 75)) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, case_id string, v double").repartition(7)
-    for limit in (10**6, 0):
-        out = {r["g"]: r for r in A.bootstrap_ci(df, ["g"], "v", ["case_id"], resamples=60, vector_limit=limit).collect()}
+    for chunk in (10**6, 7):
+        out = {r["g"]: r for r in A.bootstrap_ci(df, ["g"], "v", ["case_id"], resamples=60, chunk=chunk).collect()}
         for g in "ab":
             values = [v for k, _, v in sorted(rows) if k == g]
             assert (out[g]["lower"], out[g]["upper"]) == pytest.approx(brute_interval(values, 60), abs=1e-12)
@@ -175,12 +175,22 @@ def test_distances_with_missing_facts(spark):
 # --- joins, ids, sampling ----------------------------------------------------------------------------------
 
 def test_salted_join_equals_plain_join_on_a_hot_key(spark):
-    left = spark.createDataFrame([("hot", i) for i in range(2000)] + [("cold", 1), ("none", 2)], "k string, v int")
-    right = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("cold", "z")], "k string, w string")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        salted = J.salted_join(left, right, ["k"], how)
-        plain = left.join(right, "k", how)
-        assert sorted(map(str, salted.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    flat = spark.createDataFrame([("hot", 0), ("cold", 1), ("none", 2), (None, 3)], "k string, v int")
+    hot = flat.union(spark.range(J.HEAVY_ROWS + 1).selectExpr("'hot'", "cast(id as int)"))
+    right = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("cold", "z"), (None, "n")], "k string, w string")
+    for left in (flat, hot):
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            salted = J.salted_join(left, right, ["k"], how)
+            plain = left.join(right, "k", how)
+            assert sorted(map(str, salted.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_only_heavy_keys_are_copied(spark):
+    rows = spark.range(3 * J.HEAVY_ROWS).selectExpr("if(id % 3 < 2, -1, id) as k", "id as v")
+    copies = spark.createDataFrame([(-1,), (2,), (5,)], "k long").withColumn("w", F.lit(1))
+    joined = J.salted_join(rows, copies, ["k"], "left")
+    assert joined.count() == rows.count() and joined.filter("w = 1").count() == 2 * J.HEAVY_ROWS + 2
+    assert "BroadcastNestedLoopJoin" not in joined._jdf.queryExecution().toString()
 
 
 def test_dimension_above_the_limit_is_not_broadcast(spark, monkeypatch):
