@@ -19,8 +19,9 @@ CACHE = 800_000
 LONG, RUN, SEPARATOR = 80, 256, "\x01"
 #: Stands for the end id behind a text; holds a space, so it is no piece.
 END = " end"
-#: A stop or comma between a letter or digit and a space.
-_STOP = re.compile(r"[.,](?<=[a-z0-9ß-öø-ÿ].)(?= )")
+#: A run of signs between a letter or digit and a space; one word of lower-case Latin-1 letters.
+_SIGNS = re.compile(r"[!-/:-@\[-`{-~](?<=[a-z0-9ß-öø-ÿ].)[!-/:-@\[-`{-~]*(?= )")
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 _CUTS = str.maketrans("\n\t\r", "   ")
 
 
@@ -37,11 +38,19 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def _letters() -> dict[int, str]:
+    """The letters of ``_WORD`` as byte-level vocabularies write them."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    signs = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {c: signs.pre_tokenize_str(chr(c))[0][0] for c in range(0x61, 0x100) if _WORD.fullmatch(chr(c))}
+
+
 def pieces(text: str) -> list[str]:
     """The pieces of a text, in order; pieces may be empty.
 
     Texts of Latin-1 characters hold no combining marks, so lower-casing them first is safe (but for special strings, which
-    are matched as they stand), and so is parting a single full stop or comma from the letter before it: fewer pieces differ.
+    are matched as they stand), and so is parting the signs at the end of a piece from the letter before: fewer pieces differ.
     """
     try:
         text.encode("latin-1")
@@ -49,21 +58,33 @@ def pieces(text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
     if "<|" in text:
         return text.translate(_CUTS).split(" ")
-    return _STOP.sub(r" \g<0>", text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")).split(" ")
+    return _SIGNS.sub(r" \g<0>", text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")).split(" ")
 
 
 class Pieces(dict):
     """Numbers of pieces, their lengths in ids and, where ``keep``, the ids: a cache that starts anew beyond CACHE entries.
 
-    Unknown pieces of a batch get numbers first and are encoded together afterwards, in runs with a separator between.
+    Unknown pieces of a batch get numbers first and are encoded together afterwards, in runs with a separator between. A word
+    of plain letters, which the tokenizer leaves whole, goes to its model at once.
     """
 
     def __init__(self, path: str, keep: bool, frequent: dict[str, int] | None = None):
         super().__init__()
         self.tokenizer, self.keep, self.frequent = load(path), keep, frequent or {}
         self.mark = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.model, self.letters = self.tokenizer.model, _letters()
+        self.direct = self._takes_words()
         self.renew(0)
 
+    def word(self, piece: str) -> list[int]:
+        return [token.id for token in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+
+    def _takes_words(self) -> bool:
+        """Whether the model alone gives the tokenizer's ids for words of the letters that ``word`` is used for."""
+        alphabet = "".join(map(chr, self.letters))
+        probes = [*alphabet, *(a + b for a, b in zip(alphabet, alphabet[7:])), alphabet, alphabet[::-1]]
+        return all(self.word(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
+
     def renew(self, limit: int = CACHE) -> None:
         if len(self) > limit + len(self.frequent) or not limit:
             self.clear()
@@ -84,22 +105,31 @@ class Pieces(dict):
 
     def settle(self) -> None:
         """Encodes the new pieces, in the order of their numbers."""
-        for at in range(0, len(self.new), RUN):
-            run = self.new[at:at + RUN]
-            plain = [p for p in run if len(p) <= LONG and SEPARATOR not in p]
-            ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join(plain), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark[0])
-            whole = len(self.mark) == 1 and len(plain) > 0 and len(ends) == len(plain) - 1
-            parts = iter(np.split(ids, ends) if whole else ())
-            first = True
-            for p in run:
-                if whole and len(p) <= LONG and SEPARATOR not in p:
-                    self.add((part := next(parts))[0 if first else 1:].tolist())
-                    first = False
-                else:
-                    self.add(self.tokenizer.encode(p, add_special_tokens=False).ids)
+        found: list = [None] * len(self.new)
+        others = []
+        for i, p in enumerate(self.new):
+            if self.direct and len(p) <= LONG and _WORD.fullmatch(p):
+                found[i] = self.word(p)
+            elif len(p) <= LONG and SEPARATOR not in p:
+                others.append(i)
+            else:
+                found[i] = self.tokenizer.encode(p, add_special_tokens=False).ids
+        for at in range(0, len(others), RUN):
+            run = others[at:at + RUN]
+            for i, ids in zip(run, self._run([self.new[i] for i in run])):
+                found[i] = ids
+        for ids in found:
+            self.add(ids)
         self.new = []
 
+    def _run(self, run: list[str]) -> list[list[int]]:
+        """The ids of pieces without the separator, encoded as one text."""
+        ids = self.tokenizer.encode(f" {SEPARATOR} ".join(run), add_special_tokens=False).ids
+        if len(self.mark) == 1 and ids.count(self.mark[0]) == len(run) - 1:
+            cuts = [-1, *(i for i, n in enumerate(ids) if n == self.mark[0]), len(ids)]
+            return [ids[a + 1:b] for a, b in zip(cuts, cuts[1:])]
+        return [self.tokenizer.encode(p, add_special_tokens=False).ids for p in run]
+
     def numbers(self, texts: list[str], *end: str) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces of the texts, each text followed by ``end``, and the pieces per text."""
         parts, counts = [], np.empty(len(texts), np.int64)
