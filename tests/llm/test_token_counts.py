@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokenizer
@@ -29,3 +31,17 @@ def test_ids_of_pieces_are_the_ids_of_the_text(odd_rows):
     want = [encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert counts.tolist() == [len(w) for w in want]
     assert ids.tolist() == sum(want, [])
+
+
+def test_words_and_signs_of_latin_letters_give_the_ids_of_the_library():
+    path = tokenizer.vocabulary_path()
+    ids, plain = tokenizer.Ids(path), tokenizer.load(path)
+    rng = random.Random(11)
+    signs = "azéßÿñQÀ×÷ªµ²½09 \n\t .,!'<|>*-&s t's're\x01"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(0, 60))) for _ in range(3000)]
+    texts += ["it's don't. we'll, 's 'S x'. y!!'s z' (a) b</w> ć. d­ e", "<|endoftext|>. <|ENDOFTEXT|>!", "a" * 500 + ". " + "é" * 90]
+    assert ids.direct
+    got, counts = ids.rows(texts, 2)
+    want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert counts.tolist() == list(map(len, want))
+    assert got.tolist() == [i for w in want for i in w]
