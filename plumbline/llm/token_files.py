@@ -23,6 +23,8 @@ from plumbline.session import work_dir
 
 #: Ids after which a file is closed, at the next end of a document; texts encoded at a time, in characters.
 FILE_IDS, CHUNK = 1 << 23, 1 << 22
+#: Characters of a partition that fills a file or nearly so: the coder's cost of a step is shared by all blocks of a file.
+FILE_CHARS = FILE_IDS * 9 // 4
 FILES = "part int, seq int, n_ids long, doc_ids array<bigint>, sizes array<bigint>, data binary"
 _WORKER: dict[str, tokenizer.Ids] = {}
 
@@ -65,13 +67,20 @@ def _files(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[p
         yield close()
 
 
+def _partitions(texts: DataFrame) -> int:
+    """As many as fill their files, but a task for every core and never more than the session's shuffle partitions."""
+    spark = texts.sparkSession
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(-(-chars // FILE_CHARS), spark.sparkContext.defaultParallelism))
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, end: int, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encodes every text, appends ``end`` to it and writes a token table to ``folder``.
 
     Rows are put in ascending order of id, then text; rows without an id come first.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = text_columns(docs, id_column, text_column).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = text_columns(docs, id_column, text_column)
+    ordered = texts.repartitionByRange(_partitions(texts), "doc_id").sortWithinPartitions("doc_id", "text")
     map_arrow(ordered, FILES, _files, path, end).write.parquet(folder)
 
 
