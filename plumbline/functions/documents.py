@@ -56,13 +56,19 @@ def has_path(document: object, tokens: list[str | int] | None) -> bool:
 
 @F.pandas_udf(T.BooleanType())
 def json_path_exists(documents: pd.Series, paths: pd.Series) -> pd.Series:
+    """Whether a document holds a path; a null document or path gives false. Rows in a row with one document parse it once."""
     known: dict[str, list[str | int] | None] = {}
-    out = []
+    out, held, document = [], None, None
     for text, path in zip(documents, paths):
+        if text is None or path is None:
+            out.append(False)
+            continue
         if path not in known:
             known[path] = path_tokens(path)
-        out.append(has_path(json.loads(text), known[path]))
-    return pd.Series(out)
+        if text != held:
+            held, document = text, json.loads(text)
+        out.append(has_path(document, known[path]))
+    return pd.Series(out, dtype=bool)
 
 
 def number_literal(value: float) -> str:

@@ -101,46 +101,59 @@ def bylaw_items(pkg: Package) -> DataFrame:
     return _fold(parts, ["case_id", "bylaw_id"], ["gold", "top", "used", "memo", "letter"])
 
 
-def bylaw_sums(pkg: Package, dims: Dimensions) -> DataFrame:
+def checked_bylaws(pkg: Package, dims: Dimensions) -> DataFrame:
+    """Citation items with ``unknown``: 1 where the corpus does not list the citation."""
     items = bylaw_items(pkg)
-    if dims.corpus is not None:
-        known = dims.corpus.select("bylaw_id").distinct().withColumn("valid", F.lit(1))
-        items = dim_join(items, known, "bylaw_id", "left", dims.small("corpus"))
-    else:
-        items = items.withColumn("valid", F.lit(None).cast("int"))
-    unknown = F.when(F.col("valid").isNull(), 1).otherwise(0)
-    return items.groupBy("case_id").agg(
+    if dims.corpus is None:
+        return items.withColumn("unknown", F.lit(1))
+    known = dims.corpus.select("bylaw_id").distinct().withColumn("valid", F.lit(1))
+    joined = dim_join(items, known, "bylaw_id", "left", dims.small("corpus"))
+    return joined.withColumn("unknown", F.when(F.col("valid").isNull(), 1).otherwise(0)).drop("valid")
+
+
+def bylaw_sums(pkg: Package, dims: Dimensions) -> DataFrame:
+    return checked_bylaws(pkg, dims).groupBy("case_id").agg(
         F.sum("gold").alias("gold_bylaw_n"),
         F.sum(F.col("gold") * F.col("top")).alias("recovered_n"),
         F.sum("used").alias("used_n"),
-        F.sum(F.col("used") * unknown).alias("invalid_n"),
-        F.sum(F.col("memo") * unknown).alias("invalid_memo_n"),
+        F.sum(F.col("used") * F.col("unknown")).alias("invalid_n"),
+        F.sum(F.col("memo") * F.col("unknown")).alias("invalid_memo_n"),
         F.sum("letter").alias("letter_id_n"),
     )
 
 
-def evidence_sums(pkg: Package, dims: Dimensions) -> DataFrame:
-    """Mean evidence share over gold citations, repeats counted; citations without requirements score 1."""
+def evidence_items(pkg: Package, dims: Dimensions) -> DataFrame:
+    """One row per gold citation and required key: repeats ``m``, its ``share`` of the case's sum, ``have`` (null: not given).
+
+    A citation without requirements has one row without a key, with all of its share.
+    """
     need = dims.evidence_map.groupBy("bylaw_id", "evidence_key").agg(F.count(F.lit(1)).alias("w"))
     total = dims.evidence_map.groupBy("bylaw_id").agg(F.count(F.lit(1)).alias("required_n"))
     gold = pkg.gold_bylaws.groupBy("case_id", "bylaw_id").agg(F.count(F.lit(1)).alias("m"))
     wanted = dim_join(gold, need.join(total, "bylaw_id"), "bylaw_id", "left", dims.small("evidence_map"))
     required = wanted.filter(F.col("w").isNotNull()).select(
-        "case_id", "bylaw_id", "evidence_key", (F.col("m") * F.col("w") / F.col("required_n")).alias("share")
+        "case_id", "bylaw_id", "evidence_key", "m", (F.col("m") * F.col("w") / F.col("required_n")).alias("share")
     )
     given = pkg.evidence.filter(F.col("evidence_key").isNotNull()).select(
         "case_id", "bylaw_id", "evidence_key", F.lit(1).alias("have")
     )
-    met = (
+    keyed = (
         _union([required, given])
         .groupBy("case_id", "bylaw_id", "evidence_key")
-        .agg(F.sum("share").alias("share"), F.max("have").alias("have"))
-        .filter(F.col("share").isNotNull() & F.col("have").isNotNull())
-        .select("case_id", F.col("share").alias("evidence_sum"))
+        .agg(F.max("m").alias("m"), F.sum("share").alias("share"), F.max("have").alias("have"))
+        .filter(F.col("share").isNotNull())
     )
-    free = wanted.filter(F.col("w").isNull()).select("case_id", F.col("m").cast("double").alias("evidence_sum"))
-    count = gold.select("case_id", F.col("m").alias("evidence_n"))
-    return _union([met, free, count]).groupBy("case_id").agg(
+    free = wanted.filter(F.col("w").isNull()).select(
+        "case_id", "bylaw_id", F.lit(None).cast("string").alias("evidence_key"), "m", F.col("m").cast("double").alias("share"), F.lit(1).alias("have")
+    )
+    return keyed.unionByName(free)
+
+
+def evidence_sums(pkg: Package, dims: Dimensions) -> DataFrame:
+    """Mean evidence share over gold citations, repeats counted; citations without requirements score 1."""
+    met = evidence_items(pkg, dims).filter(F.col("have").isNotNull()).select("case_id", F.col("share").alias("evidence_sum"))
+    count = pkg.gold_bylaws.groupBy("case_id").agg(F.count(F.lit(1)).alias("evidence_n"))
+    return _union([met, count]).groupBy("case_id").agg(
         F.sum("evidence_sum").alias("evidence_sum"), F.sum("evidence_n").alias("evidence_n")
     )
 
@@ -250,8 +263,8 @@ def gap_sums(pkg: Package, dims: Dimensions) -> DataFrame:
     )
 
 
-def name_sums(pkg: Package, dims: Dimensions) -> DataFrame:
-    """Support flags (against the closed taxonomy) and missing documents in one pass."""
+def name_items(pkg: Package, dims: Dimensions) -> DataFrame:
+    """One row per (case, kind, name) of support flags and missing documents, with marks gold, predicted and known."""
     parts = []
     for kind, gold, predicted, column in (
         ("flag", pkg.gold_flags, pkg.flags, "flag"),
@@ -263,7 +276,12 @@ def name_sums(pkg: Package, dims: Dimensions) -> DataFrame:
                     "case_id", F.lit(kind).alias("kind"), F.col(column).alias("name"), F.lit(1).alias(mark)
                 ))
     items = _fold(parts, ["case_id", "kind", "name"], ["gold", "predicted"])
-    known = F.col("name").isin(list(dims.flags)).cast("int")
+    return items.withColumn("known", F.col("name").isin(list(dims.flags)).cast("int"))
+
+
+def name_sums(pkg: Package, dims: Dimensions) -> DataFrame:
+    """Support flags (against the closed taxonomy) and missing documents in one pass."""
+    items, known = name_items(pkg, dims), F.col("known")
     flag, document = F.col("kind") == "flag", F.col("kind") == "document"
     count = lambda test, value: F.sum(F.when(test, value).otherwise(0))
     return items.groupBy("case_id").agg(
@@ -448,12 +466,17 @@ METRIC_TABLE: dict[str, Metric] = {
 _SPACES = {"bylaw": bylaw_sums, "evidence": evidence_sums, "gap": gap_sums, "name": name_sums}
 
 
+def read_by(pkg: Package, metrics: Sequence[str], table: dict[str, Metric] = METRIC_TABLE) -> Package:
+    """The package with only the item tables that the metrics read."""
+    reads = {r for m in metrics for r in table[m].reads}
+    return replace(pkg, **{f.name: None for f in fields(pkg) if f.name not in reads})
+
+
 def counters(pkg: Package, dims: Dimensions, metrics: Sequence[str], table: dict[str, Metric] = METRIC_TABLE) -> DataFrame:
     """One row per case with every counter the metrics need; counters of absent items are 0."""
     spaces = sorted({s for m in metrics for s in table[m].spaces})
     base = pkg.cases
-    reads = {r for m in metrics for r in table[m].reads}
-    items = replace(pkg, **{f.name: None for f in fields(pkg) if f.name not in reads})
+    items = read_by(pkg, metrics, table)
     if pkg.runtime is not None:
         drop = [c for c in pkg.runtime.columns if c in ("memo_markdown", "letter_markdown")]
         base = base.join(pkg.runtime.drop(*drop), "case_id", "inner")

@@ -39,16 +39,6 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spreads a scan of fewer splits than cores over all cores; a scan with enough splits stays as it is.
-
-    For projections that cost much CPU per row. Only for scans: asking a plan with shuffles for its
-    partitions would run it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written intermediate tables and stream checkpoints.
 

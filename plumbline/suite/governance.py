@@ -208,14 +208,14 @@ def a08(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("a08_benchmark_leakage", """
- with ngram as (select doc_id, trim(line) as line from (select doc_id, unnest(str_split(text, chr(10))) as line from documents) where length(trim(line)) >= 20),
- bench as (select distinct item_id, trim(line) as line from (select item_id, unnest(str_split(text, chr(10))) as line from benchmark) where length(trim(line)) >= 20)
+ with ngram as (select doc_id, trim(line) as line from (select doc_id, unnest(str_split(text, chr(10))) as line from documents) where trim(line) <> ''),
+ bench as (select distinct item_id, trim(line) as line from (select item_id, unnest(str_split(text, chr(10))) as line from benchmark) where trim(line) <> '')
  select distinct doc_id, item_id from ngram join bench using (line)""")
 def benchmark_leakage(spark: SparkSession, root: str) -> DataFrame:
     """JN6 on texts: documents that hold a whole line of a benchmark item."""
     def lines(table: str, key: str) -> DataFrame:
         rows = load(spark, root, table).select(key, F.explode(F.split("text", "\n")).alias("line"))
-        return rows.select(key, F.trim("line").alias("line")).filter(F.length("line") >= 20)
+        return rows.select(key, F.trim("line").alias("line")).filter(F.col("line") != "")
 
     from plumbline.operators.joins import salted_join
 
@@ -289,11 +289,15 @@ def a12(spark: SparkSession, root: str) -> DataFrame:
     return out.select("domain", "split", F.col("check").alias("check_"), "value", F.round("share", 9).alias("share"))
 
 
-@query("a24_sealed_diversity", f"""with pool as (select * from fx_case), big as (select domain, split from pool group by 1, 2 having count(*) >= 10),
+ONE_SIDED_CASES = """select case_id, domain, split, case when domain = 'building' then 'ready' else outcome_class end as outcome_class,
+   case when domain = 'machinery' then '_none_' else edge_case_family end as edge_case_family from fx_case"""
+
+
+@query("a24_sealed_diversity", f"""with pool as ({ONE_SIDED_CASES}), big as (select domain, split from pool group by 1, 2 having count(*) >= 10),
  sized as (select pool.* from pool join big using (domain, split)), f as ({shares_sql('sized', 'true', {'outcome': ('outcome_class', V.BOUNDS['outcome'])}, False)})
  select domain, split, check_, value, round(share, 9) as share from (select domain, split, f."check" as check_, value, share from f)""")
 def a24(spark: SparkSession, root: str) -> DataFrame:
-    out = G.sealed_diversity_violations(load(spark, root, "fx_case"))
+    out = G.sealed_diversity_violations(load(spark, root, ONE_SIDED_CASES))
     return out.select("domain", "split", F.col("check").alias("check_"), "value", F.round("share", 9).alias("share"))
 
 

@@ -80,7 +80,7 @@ INPUTS = {
         from part where p_size % 4 < cast(substr(p_brand, 7) as int) % 5""",
     "fx_evidence": f"""
         select distinct {case_key('l_orderkey')} as case_id, {BRAND} as bylaw_id, concat('key-', cast(l_suppkey % 4 as string)) as evidence_key
-        from lineitem join part on l_partkey = p_partkey where l_linenumber <= 5""",
+        from lineitem join part on l_partkey = p_partkey where l_discount < 0.08""",
     "fx_truth": f"""
         select {choose('n - 1', GAPS)} as gap_id, concat('f', cast(n as string), '_proposed') as proposed_field,
                concat('f', cast(n as string), '_required') as required_field, cast(0.01 as double) as tolerance, 'm' as unit
@@ -111,10 +111,10 @@ INPUTS = {
         from fx_redline r left join fx_packet_number p on r.case_id = p.case_id and r.field = p.field""",
     "fx_gold_missing": f"""
         select distinct {case_key('l_orderkey')} as case_id, {choose('l_partkey % 4', DOCUMENTS)} as document_id
-        from lineitem where l_returnflag = 'A' and l_linenumber <= 2""",
+        from lineitem where l_returnflag = 'A' and l_discount >= 0.08""",
     "fx_missing": f"""
         select distinct {case_key('l_orderkey')} as case_id, {choose('l_partkey % 4', DOCUMENTS)} as document_id
-        from lineitem where l_returnflag = 'A' and l_linenumber <= 2 and l_suppkey % 8 <> 0""",
+        from lineitem where l_returnflag = 'A' and l_discount >= 0.08 and l_suppkey % 8 <> 0""",
     "fx_gold_flag": f"""
         select {case_key('l_orderkey')} as case_id, {choose('l_linenumber - 1', FLAGS)} as flag
         from lineitem where l_discount >= 0.07""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.session import TABLES, read_table, spread
+from plumbline.session import TABLES, read_table
 from plumbline.suite.inputs import INPUTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,14 +59,10 @@ def table_scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     return _SCANS[key]
 
 
-def load(spark: SparkSession, root: str, statement: str, heavy: str | None = None) -> DataFrame:
-    """A shared input (by name) or a SELECT over tables and inputs.
-
-    ``heavy`` names the table whose rows feed a CPU-heavy projection.
-    """
+def load(spark: SparkSession, root: str, statement: str) -> DataFrame:
+    """A shared input (by name) or a SELECT over tables and inputs."""
     text = with_inputs(f"select * from {statement}" if re.fullmatch(r"\w+", statement) else statement)
     for table in TABLES:
         if re.search(rf"\b{table}\b", text):
-            rows = table_scan(spark, root, table)
-            (spread(rows) if table == heavy else rows).createOrReplaceTempView(table)
+            table_scan(spark, root, table).createOrReplaceTempView(table)
     return spark.sql(text)

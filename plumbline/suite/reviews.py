@@ -18,7 +18,7 @@ DOCUMENT_FLAGS = {
 def packets(spark: SparkSession, root: str) -> DataFrame:
     have = F.array_compact(F.array(*[F.when(F.col(c) == 1, d) for c, d in DOCUMENT_FLAGS.items()]))
     gone = F.array_compact(F.array(*[F.when(F.col(c) == 0, d) for c, d in DOCUMENT_FLAGS.items()]))
-    return load(spark, root, "fx_packet", heavy="orders").withColumns({"submitted_documents": have, "missing_documents": gone})
+    return load(spark, root, "fx_packet").withColumns({"submitted_documents": have, "missing_documents": gone})
 
 
 PATHWAY_SQL = """case when heritage_overlay then 'heritage' when floodplain_overlay then 'floodplain' when tod_overlay then 'tod-overlap'
@@ -121,15 +121,15 @@ def review_stages(spark: SparkSession, root: str) -> DataFrame:
 
 @query("review_memo_head", f"""
  with {GAP_ROWS}
- select case_id, concat('# Pre-Review Memo: ', case_id, chr(10), chr(10), '**Address (synthetic):** ', address_stub, chr(10), '**Zoning:** ', zoning_district, chr(10),
-     '**Project:** ', project_type, ', ', cast(units_proposed::int as string), ' units, ', cast(lot_area_sqm::int as string), ' sqm lot', chr(10), '**Applicant:** ', applicant_type, ', ',
-     cast(prior_permits as string), ' prior permits') as head,
+ select case_id, concat_ws(chr(10), concat('# ', case_id), concat('address: ', address_stub), concat('zoning: ', zoning_district), concat('project: ', project_type),
+     concat('units: ', cast(units_proposed::int as string)), concat('lot_sqm: ', cast(lot_area_sqm::int as string)), concat('applicant: ', applicant_type),
+     concat('prior_permits: ', cast(prior_permits as string))) as head,
    (select count(*) from g where g.case_id = n.case_id) + 2 * (select count(*) from g where g.case_id = n.case_id) as gap_mentions from n""")
 def review_memo_head(spark: SparkSession, root: str) -> DataFrame:
     """PL7: the memo's first block, and how often it names a gap (once in the ledger, twice with its redline)."""
     rows = P.review_packages(packets(spark, root))
     gaps = F.regexp_count("memo", F.lit("(?m)^- GAP-")) + 2 * F.regexp_count("memo", F.lit("(?m)^- RL-"))
-    return rows.select("case_id", F.split("memo", "\n\n## Triage")[0].alias("head"), gaps.alias("gap_mentions"))
+    return rows.select("case_id", F.split("memo", "\nverdict: ")[0].alias("head"), gaps.alias("gap_mentions"))
 
 
 @query("review_letter_asks", f"""
@@ -138,8 +138,8 @@ def review_memo_head(spark: SparkSession, root: str) -> DataFrame:
 def review_letter_asks(spark: SparkSession, root: str) -> DataFrame:
     rows = P.review_packages(packets(spark, root))
     return rows.select(
-        "case_id", F.regexp_count("letter", F.lit("(?m)^- ")).alias("asks"), F.col("letter").contains("Welcome, and thanks").alias("welcomes"),
-        F.col("letter").contains("looks complete on first pass").alias("clean"),
+        "case_id", F.regexp_count("letter", F.lit("(?m)^- ")).alias("asks"), F.col("letter").contains("first-time-applicant").alias("welcomes"),
+        (F.regexp_count("letter", F.lit("(?m)^- ")) == 0).alias("clean"),
     )
 
 

@@ -16,7 +16,7 @@ def package(spark: SparkSession, root: str, judge: bool = False) -> M.Package:
     t = lambda name: load(spark, root, name)
     return M.Package(
         cases=t("fx_case").select("case_id", "domain", "split", "pathway_class", "gold_stage1_complete"),
-        runtime=load(spark, root, "fx_runtime", heavy="orders").drop("k", "ck"),
+        runtime=load(spark, root, "fx_runtime").drop("k", "ck"),
         gold_bylaws=t("fx_gold"), cited=t("fx_cited"), evidence=t("fx_evidence"),
         gold_gaps=t("fx_gold_gap"), reported_gaps=t("fx_reported_gap"), packet_numbers=t("fx_packet_number"),
         redlines=t("fx_redline_checked"), gold_missing=t("fx_gold_missing"), missing=t("fx_missing"),
@@ -229,7 +229,7 @@ def m6_without_truth(spark: SparkSession, root: str) -> DataFrame:
 
 @query("m9_text_structure_documents", text_sql("fx_doc", "doc_id") + " select doc_id, case when ok then 1.0 else 0.0 end as raw from judged")
 def m9_documents(spark: SparkSession, root: str) -> DataFrame:
-    docs = load(spark, root, "fx_doc", heavy="documents").select(F.col("doc_id").alias("case_id"), "memo_markdown", "letter_markdown")
+    docs = load(spark, root, "fx_doc").select(F.col("doc_id").alias("case_id"), "memo_markdown", "letter_markdown")
     pkg = M.Package(cases=docs.select("case_id"), runtime=docs)
     dims = M.Dimensions(corpus=load(spark, root, "fx_corpus"))
     return M.score_cases(pkg, dims, ["M9"], keep=["case_id"]).select(F.col("case_id").alias("doc_id"), F.col("M9").alias("raw"))
