@@ -6,7 +6,7 @@ status table. Pools are long or nested tables of cases and few-shots; nothing is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +54,43 @@ def case_rules() -> dict[str, Column]:
     }
 
 
+def _document_rules(required: Sequence[str], lists: Sequence[str], values: dict[str, Sequence[str]], numbers: dict[str, tuple[str, Callable]]) -> dict[str, Column]:
+    """Rules of a nested document. Only ``required`` fields may not be null; the other rules hold where there is a value.
+
+    Decoding options are asked for only where the document names any.
+    """
+    absent = lambda path: F.col("provenance.decoding").isNull() if path.startswith("provenance.decoding.") else F.lit(False)
+    rules = {f"{p}: required": absent(p) | F.col(p).isNotNull() for p in required}
+    rules |= {f"{p}: null item": F.coalesce(~F.exists(p, lambda x: x.isNull()), F.lit(True)) for p in lists}
+    rules |= {f"{p}: unknown value": F.coalesce(F.col(p).isin(list(v)), F.lit(True)) for p, v in values.items()}
+    return rules | {f"{p}: {word}": F.coalesce(test(F.col(p)), F.lit(True)) for p, (word, test) in numbers.items()}
+
+
+def _provenance_fields() -> list[str]:
+    return [f"provenance.{f}" for f in V.PROVENANCE_FIELDS] + [f"provenance.decoding.{f}" for f in V.DECODING_FIELDS]
+
+
+MAX_TOKENS = {"provenance.decoding.max_tokens": ("not positive", lambda c: c > 0)}
+
+
+def case_document_rules() -> dict[str, Column]:
+    """A01 over whole case documents, with ``gold_labels`` and ``provenance`` as structs."""
+    count = ("not a count", lambda c: c >= 0)
+    return _document_rules(
+        [*V.CASE_FIELDS, *[f"gold_labels.{f}" for f in V.GOLD_FIELDS], *_provenance_fields()],
+        ["document_stub_fingerprints", *[f"gold_labels.{f}" for f in V.GOLD_LISTS]],
+        {"split": V.SPLITS, "outcome_class": V.OUTCOMES, "pathway_class": V.PATHWAYS, "gap_severity_bucket": V.GAP_SEVERITIES,
+         "gold_labels.label_review_status": V.REVIEW_STATUSES},
+        {"gold_labels.expected_redlines_min": count, "gold_labels.expected_redlines_max": count,
+         "gold_labels.label_confidence": ("outside 0..1", lambda c: c.between(0, 1)), **MAX_TOKENS},
+    )
+
+
+def few_shot_document_rules() -> dict[str, Column]:
+    """A02 over whole few-shot documents."""
+    return _document_rules([*V.FEW_SHOT_FIELDS, *_provenance_fields()], ["inspired_by_train_case_ids"], {}, MAX_TOKENS)
+
+
 # --- A03: ids -------------------------------------------------------------------------------------------
 
 def duplicate_ids(pool: DataFrame, id_column: str, assertion: str = "A03") -> DataFrame:

@@ -245,3 +245,19 @@ def run_sessions(events: DataFrame, time: str = "ts", delay: str = "1 hour", gap
     return (
         events.withWatermark(time, delay).groupBy("run_id", F.session_window(time, gap)).agg(F.count(F.lit(1)).alias("events"))
     )
+
+
+def stream_status_counts(events: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
+    """Streams window counts to ``out`` as they change, open windows too; kept per batch, so a replayed batch overwrites its own."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select(F.col("window.start").alias("window_start"), "status", "events").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        status_counts(events, **options).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).foreachBatch(write).start()
+    )
+
+
+def latest_counts(updates: DataFrame) -> DataFrame:
+    """The newest count per window and status out of the updates of one stream."""
+    return updates.groupBy("window_start", "status").agg(F.max_by("events", "batch").alias("events"))

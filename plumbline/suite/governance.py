@@ -53,6 +53,61 @@ def a02(spark: SparkSession, root: str) -> DataFrame:
     return found(G.constraint_errors(rows, "A02", "few_shot_id", rules))
 
 
+COUNTS, LISTS = ("expected_redlines_min", "expected_redlines_max", "seed", "max_tokens"), (*V.GOLD_LISTS, "document_stub_fingerprints", "inspired_by_train_case_ids")
+
+
+def dirty_document(groups: dict[str, list[str]], source: str, subject: str) -> tuple[str, str]:
+    """A document with every field null in some rows, and the rows that break a rule; field i is null where (k + i) % 83 is 0."""
+    known = {"split": "train", "outcome_class": "ready", "pathway_class": "tod", "gap_severity_bucket": "none", "label_review_status": "spot-checked"}
+    columns, broken = [], []
+
+    def found_row(message: str, where: str) -> str:
+        return f"select {subject} as subject, '{path}: {message}' as message from d where {where}"
+
+    for i, (group, field) in enumerate((g, f) for g, fs in groups.items() for f in fs):
+        path, off = f"{group}.{field}" if group else field, f"(k + {i}) % 83 = 0"
+        if field in LISTS:
+            value = f"array('a', case when (k + {i}) % 89 = 0 then null else 'b' end)"
+            broken.append(found_row("null item", f"(k + {i}) % 89 = 0 and not ({off})"))
+        elif field in COUNTS:
+            value = f"k % 7 - {2 if field == 'max_tokens' else 0}"
+            broken += [found_row("not positive", f"k % 7 <= 2 and not ({off}) and k % 5 <> 0")] if field == "max_tokens" else []
+        elif field in ("label_confidence", "temperature", "top_p"):
+            value = "k % 11 / 10.0D + 0.15D" if field == "label_confidence" else "0.5D"
+            broken += [found_row("outside 0..1", f"k % 11 >= 9 and not ({off})")] if field == "label_confidence" else []
+        elif field in ("stage1_complete", "human_reviewed"):
+            value = "k % 2 = 0"
+        else:
+            value = subject if path in ("case_id", "few_shot_id") else f"'{known.get(field, 'text')}'"
+            broken += [found_row("unknown value", f"not ({off})")] if field == "pathway_class" else []
+        if path not in ("case_id", "few_shot_id"):
+            there = " and k % 5 <> 0" if group == "provenance.decoding" else ""
+            broken.append(found_row("required", f"{off}{there}"))
+            value = f"case when not ({off}) then {value} end"
+        columns.append((group, field, value))
+    struct = lambda g: "named_struct(" + ", ".join(f"'{f}', {v}" for h, f, v in columns if h == g)
+    decoding = f"'decoding', case when k % 5 <> 0 then {struct('provenance.decoding')}) end)"
+    flat = ", ".join(f"{v} as {f}" for g, f, v in columns if not g)
+    nested = ", ".join(f"{struct(g)}{', ' + decoding if g == 'provenance' else ')'} as {g}" for g in groups if g and "." not in g)
+    return f"with d as ({source}) select {flat}, {nested} from d", f"with d as ({source}) " + " union all ".join(broken)
+
+
+PROVENANCE = {"provenance": V.PROVENANCE_FIELDS, "provenance.decoding": V.DECODING_FIELDS}
+CASE_DOCUMENTS = dirty_document({"": V.CASE_FIELDS, "gold_labels": V.GOLD_FIELDS, **PROVENANCE}, "select case_id, k from fx_case", "case_id")
+FEW_SHOT_DOCUMENTS = dirty_document({"": V.FEW_SHOT_FIELDS, **PROVENANCE}, "select few_shot_id, pos as k from fx_few_shot", "few_shot_id")
+
+
+@query("a01_case_documents", CASE_DOCUMENTS[1])
+def a01_documents(spark: SparkSession, root: str) -> DataFrame:
+    """A01 on whole documents: required fields at every depth, list items, enumerations, numbers."""
+    return found(G.constraint_errors(load(spark, root, CASE_DOCUMENTS[0]), "A01", "case_id", G.case_document_rules()))
+
+
+@query("a02_few_shot_documents", FEW_SHOT_DOCUMENTS[1])
+def a02_documents(spark: SparkSession, root: str) -> DataFrame:
+    return found(G.constraint_errors(load(spark, root, FEW_SHOT_DOCUMENTS[0]), "A02", "few_shot_id", G.few_shot_document_rules()))
+
+
 @query("a03_duplicate_ids", """
  with p as (select concat('line-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as id, concat('part-', cast(l_partkey % 3 as string)) as path,
      l_orderkey * 1000 + row_number() over (partition by l_partkey % 3, l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as line from lineitem),

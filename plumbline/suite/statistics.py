@@ -11,7 +11,7 @@ from plumbline.operators import stats as A
 from plumbline.suite.registry import load, query
 from plumbline.suite.scoring import METRIC_SQL, dimensions, nested, package
 
-SHOWN = ["M3", "M6", "M8", "M10"]
+SHOWN = V.NON_JUDGE
 LONG_SQL = " union all ".join(f"select '{m}' as metric, case_id, raw, branch from {nested(METRIC_SQL[m])}" for m in SHOWN)
 
 
@@ -114,7 +114,7 @@ METRIC_ROWS = """(select domain, case_id, metric, x from (
 
 
 @query("bootstrap_metric_ci", f"""
- with rows_ as {METRIC_ROWS}, {bootstrap_sql("rows_", "domain, metric", "x", 200)}
+ with rows_ as {METRIC_ROWS}, {bootstrap_sql("rows_", "domain, metric", "x", V.BOOTSTRAP_RESAMPLES)}
  select domain, metric, round(mean, 6) as mean, round(lower, 6) as lower, round(upper, 6) as upper, n from sizes join edges using (domain, metric)""")
 def bootstrap_metrics(spark: SparkSession, root: str) -> DataFrame:
     """BS3: non-null values only, the draw stream restarts per group."""
@@ -123,7 +123,7 @@ def bootstrap_metrics(spark: SparkSession, root: str) -> DataFrame:
         F.struct(F.lit("m1").alias("metric"), F.col("m1").alias("x")),
         F.struct(F.lit("m3").alias("metric"), F.when(F.col("k") % 3 != 0, F.col("m3")).alias("x")),
     )))
-    out = A.bootstrap_ci(long, ["domain", "metric"], "x", ["case_id"], resamples=200)
+    out = A.bootstrap_ci(long, ["domain", "metric"], "x", ["case_id"])
     return out.select("domain", "metric", *[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")], "n")
 
 
@@ -131,12 +131,12 @@ PAIR_SQL = "(select case_id, m3 * 100 - score as delta from fx_round_score)"
 
 
 @query("paired_delta_gate", f"""
- with p as {PAIR_SQL}, {bootstrap_sql("p", "", "delta", 200)}
+ with p as {PAIR_SQL}, {bootstrap_sql("p", "", "delta", V.BOOTSTRAP_RESAMPLES)}
  select round(mean, 6) as mean_delta, round(lower, 6) as lower, round(upper, 6) as upper, n, mean >= 1.5 and lower > 0 as accepted from sizes, edges""")
 def paired_delta(spark: SparkSession, root: str) -> DataFrame:
     rows = load(spark, root, "fx_round_score")
     current = rows.select("case_id", (F.col("m3") * 100).alias("v"))
-    ci = A.paired_delta_ci(rows.select("case_id", F.col("score").alias("v")), current, "v", resamples=200)
+    ci = A.paired_delta_ci(rows.select("case_id", F.col("score").alias("v")), current, "v")
     out = A.patch_gate(ci)
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean_delta", "lower", "upper")], "n", "accepted")
 

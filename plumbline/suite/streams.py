@@ -162,26 +162,14 @@ def schema_gate(spark: SparkSession, root: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(A.valid_agent_row()).alias("rows_ok"))
 
 
-def run_to_table(stream: DataFrame, purpose: str) -> DataFrame:
-    """Runs an append stream over all available input and reads its output table."""
-    spark = stream.sparkSession
-    path = work_dir(spark, purpose)
-    started = (
-        stream.writeStream.outputMode("append").option("checkpointLocation", work_dir(spark, f"{purpose}-state"))
-        .trigger(availableNow=True).format("parquet").start(path)
-    )
-    started.awaitTermination()
-    return spark.read.parquet(path)
-
-
 @query("windowed_status_counts", f"""
- with b as (select time_bucket(interval '10 minutes', ts) as w, {STATUS_SQL} as status, count(*) as events from fx_agent_event group by 1, 2)
- select w as window_start, status, events from b where w + interval '10 minutes' <= (select max(ts) - interval '1 hour' from events)""")
+ select time_bucket(interval '10 minutes', ts) as window_start, {STATUS_SQL} as status, count(*) as events from fx_agent_event group by 1, 2""")
 def windowed_status_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Extension: tumbling counts with a watermark; windows still open at the end are not written."""
+    """Extension: tumbling counts with a watermark; windows still open at the end have their counts so far."""
     events = event_stream(spark, root).withColumn("status", S.agent_status(F.col("status")))
-    out = run_to_table(A.status_counts(events), "windows")
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "status", "events")
+    out = work_dir(spark, "windows")
+    A.stream_status_counts(events, out, work_dir(spark, "checkpoint")).awaitTermination()
+    return A.latest_counts(spark.read.parquet(out)).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "status", "events")
 
 
 @query("run_sessions", """

@@ -30,6 +30,30 @@ AGENT_LABELS = {
 }
 RUN_STATUSES = ["queued", "running", "done", "failed"]
 
+# --- fields of case and few-shot documents that must be there ---------------------------------
+GOLD_FIELDS = [
+    "bylaws_to_cite", "evidence_to_surface", "expected_gap_ids", "expected_redlines_min", "expected_redlines_max",
+    "stage1_complete", "stage1_missing", "expected_applicant_support_flags", "reference_memo_ids", "reference_letter_ids",
+    "derivation_source", "label_confidence", "label_review_status",
+]
+GOLD_LISTS = [
+    "bylaws_to_cite", "evidence_to_surface", "expected_gap_ids", "stage1_missing", "expected_applicant_support_flags",
+    "reference_memo_ids", "reference_letter_ids",
+]
+PROVENANCE_FIELDS = [
+    "generator_id", "provider", "model_snapshot", "api_version", "system_prompt_hash", "generator_few_shots_hash",
+    "policy_corpus_hash_at_gen_time", "case_schema_version", "raw_request_hash", "raw_response_hash", "package_lockfile_hash",
+    "generated_at", "reviewer", "human_reviewed", "review_notes",
+]
+DECODING_FIELDS = ["temperature", "top_p", "max_tokens", "seed"]
+CASE_FIELDS = [
+    "case_id", "domain", "split", "address_stub", "outcome_class", "pathway_class", "gap_severity_bucket",
+    "content_fingerprint", "entity_fingerprint", "document_stub_fingerprints", "scenario_fingerprint",
+]
+FEW_SHOT_FIELDS = [
+    "few_shot_id", "agent", "inspired_by_train_case_ids", "rationale_note", "content_fingerprint", "entity_fingerprint", "scenario_fingerprint",
+]
+
 # --- scoring ----------------------------------------------------------------------------------
 WEIGHTS = {
     "M1": 9, "M2": 4, "M3": 13, "M4": 8, "M5": 11, "M6": 8, "M7": 8,

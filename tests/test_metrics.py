@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import values as V
 from plumbline.operators import metrics as M
+from plumbline.operators.details import metric_details
 
 BYLAW = "case_id string, bylaw_id string"
 CITED = "case_id string, seq int, bylaw_id string"
@@ -226,3 +227,25 @@ def test_row_order_and_hot_case_do_not_matter(spark):
     got = score(spark, "M3", **tables)
     tables["gold_bylaws"], tables["cited"] = gold[::-1], ranked[::-1]
     assert got == score(spark, "M3", **tables) == {"hot": (round(10 / 3000, 6), "standard"), "cold": (1.0, "standard")}
+
+
+def test_details_name_what_the_scores_count(spark):
+    tables = {
+        "cases": cases("a", "b"), "runtime": runtime("a", "b", memo="## Triage\nsee Gaps and ZZ-9"),
+        "gold_bylaws": [("a", "A"), ("a", "A"), ("a", "B")], "cited": [("a", 0, "A"), ("a", 1, "X")], "evidence": [("a", "A", "x")],
+        "flags": [("a", "odd"), ("a", V.SUPPORT_FLAGS[0])], "gold_flags": [("a", V.SUPPORT_FLAGS[0])],
+        "gold_missing": [("a", "d1")], "missing": [("a", "d2")],
+    }
+    d = dims(spark, evidence=[("A", "x"), ("A", "y")])
+    rows = metric_details(package(spark, **tables), d, ["M3", "M4", "M5", "M7", "M9", "M10"]).collect()
+    got = {(r["case_id"], r["metric"], r["kind"], r["item"], r["part"], r["value"]) for r in rows}
+    assert len(got) == len(rows)
+    assert got >= {
+        ("a", "M3", "missing_bylaw_ids", "B", None, None), ("a", "M3", "gold_count", None, None, 2.0), ("b", "M3", "gold_count", None, None, 0.0),
+        ("a", "M4", "invalid_ids", "X", None, None), ("a", "M4", "invalid_ids", "ZZ-9", None, None), ("a", "M5", "per_bylaw_scores", "A", None, 0.5),
+        ("a", "M5", "per_bylaw_scores", "B", None, 1.0), ("a", "M5", "missing_evidence", "A", "y", None), ("a", "M5", "gold_bylaw_count", None, None, 3.0),
+        ("a", "M7", "omitted_missing", "d1", None, None), ("a", "M7", "unexpected_missing", "d2", None, None), ("a", "M7", "set_match", None, None, 0.0),
+        ("a", "M9", "broken_cross_refs", "Gaps", None, None), ("b", "M9", "memo_sections_missing", "Evidence", None, None),
+        ("a", "M9", "invalid_memo_bylaw_ids", "ZZ-9", None, None), ("a", "M10", "dropped_for_taxonomy", "odd", None, None),
+        ("a", "M10", "intersection_count", None, None, 1.0),
+    }
