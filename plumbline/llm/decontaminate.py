@@ -1,9 +1,10 @@
-"""Training documents that hold benchmark items: rare n-gram seeds find candidates, local alignment scores them.
+"""Training documents that hold benchmark items: shared n-grams find candidates, local alignment scores them.
 
 Words are white-space delimited, lower-cased and stripped of punctuation at both ends. All word n-grams of the documents that
-may occur in an item pass a bit map of fixed size in the tasks; those that do are counted over all documents. In every window
-of WINDOW consecutive n-grams of an item the rarest is a seed, so any five words in a row that a copy left unedited hold one,
-however frequent the words are. Documents that hold a seed are aligned with the item by Smith-Waterman over words around the seed's place.
+may occur in an item pass a bit map of fixed size in the tasks. Every n-gram of an item is a seed, so any GRAM words in a row
+that a copy left unedited hold one, however frequent they are; frequent n-grams are salted in the join, not left out. An item
+of fewer words is one n-gram, looked up as a whole. Documents that hold a seed are aligned with the item by Smith-Waterman over
+words around the seed's place.
 """
 
 from __future__ import annotations
@@ -16,18 +17,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.llm.common import map_arrow, text_columns, texts_of, written
+from plumbline.operators.joins import salted_join
 
-GRAM, WINDOW, MAP_LOG2 = 3, 3, 22
+#: Every window of WINDOW consecutive n-grams of an item holds a seed.
+GRAM, WINDOW, MAP_LOG2 = 3, 1, 22
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds whose places in document and item differ by about the same are aligned together.
 BAND = 64
 #: A document holds an item if the alignment reaches this share of the item's own score, or this many matched words.
 SHARE, MATCHED = 0.5, 50
 STRIP = string.punctuation + "“”„‘’«»¿¡…–—"
-CACHE, CHUNK = 500_000, 1 << 22
+CACHE, ITEMS, CHUNK = 500_000, 10_000, 1 << 22
 _U = np.uint64
 
 
@@ -53,10 +55,10 @@ def word_hashes(text: str) -> np.ndarray:
     return hashes[hashes != 0]
 
 
-def gram_hashes(words: np.ndarray) -> np.ndarray:
-    n = max(0, len(words) - GRAM + 1)
-    mixed = np.zeros(n, _U)
-    for i, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+def gram_hashes(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    n = max(0, len(words) - size + 1)
+    mixed = np.full(n, GRAM - size, _U)
+    for i, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[:size]):
         mixed += (words[i:n + i] ^ words[i:n + i] >> _U(31)) * _U(factor)
     mixed ^= mixed >> _U(29)
     mixed *= _U(0xBF58476D1CE4E5B9)
@@ -72,19 +74,29 @@ def _rows(keys: list, places: list[np.ndarray], grams: list[np.ndarray]) -> pa.R
 
 def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grams = [gram_hashes(word_hashes(t)) for t in texts_of(batch)]
+        grams = [gram_hashes(w, min(GRAM, len(w)) or GRAM) for w in map(word_hashes, texts_of(batch))]
         yield _rows(batch.column(0).to_pylist(), [np.arange(len(g)) for g in grams], grams)
 
 
-def _listed_grams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _short_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = {len(word_hashes(t)) for t in texts_of(batch)} & set(range(1, GRAM))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(sizes), pa.int32())], ["size"])
+
+
+def _listed_grams(batches: Iterator[pa.RecordBatch], shared, sizes: list[int]) -> Iterator[pa.RecordBatch]:
     listed = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
     for batch in batches:
         places, kept = [], []
         for text in texts_of(batch):
-            grams = gram_hashes(word_hashes(text))
-            found = np.flatnonzero(listed.take((grams >> _U(64 - MAP_LOG2)).astype(np.int64))) if len(grams) else np.empty(0, np.int64)
-            places.append(found)
-            kept.append(grams[found])
+            words = word_hashes(text)
+            found, held = [], []
+            for size in sizes:
+                grams = gram_hashes(words, size)
+                found.append(np.flatnonzero(listed.take((grams >> _U(64 - MAP_LOG2)).astype(np.int64))) if len(grams) else np.empty(0, np.int64))
+                held.append(grams[found[-1]])
+            places.append(np.concatenate(found))
+            kept.append(np.concatenate(held))
         yield _rows(batch.column(0).to_pylist(), places, kept)
 
 
@@ -116,18 +128,27 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def _align_rows(batches: Iterator[pa.RecordBatch], share: float, matched: int) -> Iterator[pa.RecordBatch]:
+    items = {}
     for batch in batches:
         rows, last = [], (None, None)
         columns = [batch.column(i).to_pylist() for i in range(5)]
         for doc_id, text, item_key, item_text, shift in zip(*columns):
             if last[0] != text:
                 last = (text, word_hashes(text))
-            words, item = last[1], word_hashes(item_text)
+            if item_key not in items:
+                if len(items) >= ITEMS:
+                    items.clear()
+                items[item_key] = word_hashes(item_text)
+            words, item = last[1], items[item_key]
             reach = BAND + len(item) // 2
             lo = max(0, shift * BAND - reach)
             passage = words[lo:max(0, shift * BAND + BAND + len(item) + reach)]
+            least = min(share * MATCH * len(item), MATCH * matched)
+            # no alignment scores more than a match of every item word that occurs in the passage
+            if MATCH * np.count_nonzero(np.isin(item, passage)) < least:
+                continue
             score, end = align(item, passage)
-            if score >= min(share * MATCH * len(item), MATCH * matched):
+            if score >= least:
                 start = end - align(item[::-1], passage[:end][::-1])[1]
                 rows.append((doc_id, item_key, score / (MATCH * len(item)), lo + start, lo + end))
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
@@ -140,28 +161,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, ma
 
     ``score`` is the best alignment's share of the item's score with itself; first_word and end_word count the document's
     words that are more than punctuation. Null and empty texts hold nothing; rows without an id are left out; rows that
-    repeat an id are taken for one document. Items of under three words make no seed and are never found; items that repeat
-    an id are one item if their texts are equal and else report the best. Empty tables give an empty table.
+    repeat an id are taken for one document. A copy is found if any three words in a row are unedited; items of under three
+    words only as a whole, items without words never. Items that repeat an id are one item if their texts are equal and else
+    report the best. Empty tables give an empty table.
     """
     rows = text_columns(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
     items = written(items.distinct().select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text"), "items")
     item_grams = written(map_arrow(items.select("item_key", "text"), "key long, place int, gram long", _all_grams), "item-grams")
     shared = docs.sparkSession.sparkContext.broadcast(_bit_map(item_grams.select("gram")))
-    found = map_arrow(rows, "key long, place int, gram long", _listed_grams, shared)
+    short = map_arrow(items.select("text"), "size int", _short_sizes).distinct().collect()
+    found = map_arrow(rows, "key long, place int, gram long", _listed_grams, shared, [GRAM, *(r["size"] for r in short)])
     hits = written(found.withColumnsRenamed({"key": "doc_id", "place": "doc_place"}), "hits")
-    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("key").orderBy("place").rowsBetween(0, WINDOW - 1)
-    rated = item_grams.join(counts, "gram").select("key", "place", "gram", F.min(F.struct("n", "gram")).over(ahead).alias("rarest"))
-    seeds = written(rated.join(rated.select("key", F.col("rarest.gram").alias("gram")).distinct(), ["key", "gram"], "left_semi").select("key", "place", "gram"), "seeds")
-    pairs = hits.join(seeds, "gram").select("doc_id", F.col("key").alias("item_key"), F.floor((F.col("doc_place") - F.col("place")) / BAND).cast("int").alias("shift"))
+    shift = F.floor((F.col("doc_place") - F.col("place")) / BAND).cast("int").alias("shift")
+    pairs = salted_join(hits, item_grams, ["gram"], "inner").select("doc_id", F.col("key").alias("item_key"), shift)
     candidates = written(pairs.distinct(), "candidates")
-    wanted = written(candidates.select("doc_id").distinct(), "wanted")
-    texts = rows.join(wanted, "doc_id", "left_semi")
-    compared = (
-        texts.join(candidates, "doc_id").join(items.select("item_key", F.col("text").alias("item_text")), "item_key")
-        .select("doc_id", "text", "item_key", "item_text", "shift")
-    )
+    # the items' texts are joined first, so a document's text is shuffled once, one way at every size, and copied only behind the join
+    listed = candidates.join(items.select("item_key", F.col("text").alias("item_text")), "item_key")
+    compared = rows.join(listed.hint("merge"), "doc_id").select("doc_id", "text", "item_key", "item_text", "shift")
     scored = map_arrow(compared, "doc_id long, item_key long, score double, first_word int, end_word int", _align_rows, share, matched)
     best = F.max(F.struct("score", F.negate("first_word").alias("back"), "end_word")).alias("best")
     named = scored.join(items.select("item_key", "item_id"), "item_key").groupBy("doc_id", "item_id").agg(best)

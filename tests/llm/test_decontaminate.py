@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import decontaminate
 from plumbline.llm.decontaminate import GAP, MATCH, MISMATCH, align, contaminated, gram_hashes, word_hashes
 from plumbline.llm.stages import without_benchmark
+from plumbline.operators import joins
 
 
 def brute_align(a, b):
@@ -73,6 +74,31 @@ def test_against_brute_force(table, prose, bench):
     assert len(seeded) > 20 and seeded <= got <= aligned
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_edited_copies_beside_exact_copies(table, prose, bench, every):
+    """The exact copies make every n-gram that an edited copy kept more frequent than those it broke."""
+    frame, items = bench
+    texts = [f"{prose(i, 40)} {kind} {prose(i + 500, 40)}" for i, item in items.items() for kind in (item, item, edited(item, every))]
+    aligned = {(d, i) for d, text in enumerate(texts) for i, item in items.items()
+               if brute_align(a := word_hashes(item), word_hashes(text)) >= decontaminate.SHARE * MATCH * len(a)}
+    assert len(aligned) >= 3 * len(items)
+    assert {(r.doc_id, r.item_id) for r in contaminated(table(texts), frame).collect()} == aligned
+
+
+def test_items_of_under_three_words(spark, table, prose):
+    items = spark.createDataFrame([(0, "Quokka"), (1, "blue quokka"), (2, "-- !"), (3, "")], "item_id long, text string")
+    got = contaminated(table([prose(1) + " Blue, quokka. " + prose(2), "quokka", "blue", prose(3)]), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0)]
+
+
+def test_hot_grams_are_salted(table, prose, bench, monkeypatch):
+    monkeypatch.setattr(joins, "HEAVY_ROWS", 10)
+    monkeypatch.setattr(joins, "HEAVY", 1 << 20)
+    frame, items = bench
+    got = contaminated(table([f"{prose(i, 20)} {items[i % 2]}" for i in range(60)]), frame).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(i, i % 2, 1.0) for i in range(60)]
+
+
 def test_odd_rows(spark, table, odd_rows, bench):
     frame, items = bench
     rows, ids = odd_rows
