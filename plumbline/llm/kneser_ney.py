@@ -6,6 +6,9 @@ distribution. So the log probability of a text is a sum: log g(v) + log p1(w) of
 bonus, its log p(w | v) less that. The first two are arrays over the vocabulary, whose size is fixed. The bonuses are the
 model's long table, sharded by bigram: the FREQUENT most frequent are broadcast and looked up where the text is; all other
 bigrams of a document are counted and joined with the shards, and the bonuses are summed per document.
+
+With folds, trusted documents are scored by a model that has not seen them: their texts are dealt to folds by hash, and the model
+of a fold is trained on the others. The bigrams are counted once, per fold; each table has a value per model.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokenizer
@@ -27,6 +30,8 @@ from plumbline.llm.common import map_arrow, texts_of, written
 FREQUENT, MAP_LOG2 = 1 << 20, 22
 #: A document passes up to this quantile of the perplexities of its language's trusted documents.
 QUANTILE, ACCURACY = 0.995, 10_000
+#: Folds of the registered query. A key holds its fold above bit FOLD_AT while it is counted.
+FOLDS, FOLD_AT = 5, 56
 #: Bigrams a task holds while counting; characters scored at a time.
 HOLD, CHUNK = 1 << 20, 1 << 20
 _TOKENS: dict[str, tokenizer.Ids] = {}
@@ -71,17 +76,23 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return unique, np.bincount(back, counts, len(unique)).astype(np.int64)
 
 
+def fold_of(text: str, folds: int) -> Column:
+    """The fold of a text; equal texts share one."""
+    return (F.pmod(F.xxhash64(text), F.lit(folds)) if folds else F.lit(0)).cast("int").alias("fold")
+
+
 def _count_bigrams(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
         keys, counts = _counted(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(keys & (1 << FOLD_AT) - 1), pa.array((keys >> FOLD_AT).astype(np.int32)), pa.array(counts)], ["key", "fold", "n"])
 
     for batch in batches:
-        texts = texts_of(batch)
+        texts, folds = texts_of(batch), batch.column(2).to_numpy().astype(np.int64)
         for lo, hi in _spans(texts):
-            keys = bigram_keys(*_ids(path, texts[lo:hi]))[0]
+            keys, owner = bigram_keys(*_ids(path, texts[lo:hi]))
+            keys |= folds[lo:hi][owner] << FOLD_AT
             held.append(_counted(keys, np.ones(len(keys))))
             size += len(held[-1][0])
             if size > HOLD:
@@ -102,12 +113,13 @@ def _discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
 
 
 def _discount(count, d: tuple[float, float, float]):
-    return F.when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
+    return F.when(count == 0, 0.0).when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
 
 
 @dataclass(frozen=True)
 class Model:
-    """log g by first token, log p1 by second, the frequent bigrams with their bonuses, and the table of all bonuses."""
+    """log g by model and first token, log p1 by model and second, the frequent bigrams with their bonuses by model, and the
+    table of all bonuses. The last model has seen all trusted texts, the others, one per fold, all but those of the fold."""
 
     back_off: np.ndarray
     unigram: np.ndarray
@@ -116,53 +128,67 @@ class Model:
     shards: DataFrame | None
 
 
-def train(trusted: DataFrame, path: str) -> Model:
-    """The model of all texts of ``trusted`` (column text)."""
-    size = vocabulary_size(path)
-    counted = map_arrow(trusted.select(F.lit(0).cast("long").alias("doc_id"), "text"), "key long, n long", _count_bigrams, path)
+def train(trusted: DataFrame, path: str, folds: int = 0) -> Model:
+    """The models of all texts of ``trusted`` (column text)."""
+    size, models = vocabulary_size(path), range(folds + 1)
+    rows = trusted.select(F.lit(0).cast("long").alias("doc_id"), "text", fold_of("text", folds))
+    counted = map_arrow(rows, "key long, fold int, n long", _count_bigrams, path)
     first, second = F.shiftright("key", 32).cast("int"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    bigrams = written(counted.groupBy("key").agg(F.sum("n").alias("c")).select("key", first.alias("v"), second.alias("w"), "c"), "bigrams")
-
-    def counts_of_counts(frame: DataFrame, column: str) -> dict[int, int]:
-        return {r[0]: r[1] for r in frame.where(F.col(column) <= 4).groupBy(column).count().collect()}
-
-    d2 = _discounts(counts_of_counts(bigrams, "c"))
-    contexts = bigrams.groupBy("v").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d2)).alias("taken"))
-    followers = written(bigrams.groupBy("w").agg(F.count("*").alias("n")), "followers")
-    d1 = _discounts(counts_of_counts(followers, "n"))
-    sums = followers.agg(F.sum("n").alias("n"), F.sum(_discount(F.col("n"), d1)).alias("taken")).first()
+    # a model's count is that of all texts without its fold; the last model has none
+    seen = [F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0) if k < folds else F.col("n")).alias(f"c{k}") for k in models]
+    bigrams = written(counted.groupBy("key").agg(*seen).select("key", first.alias("v"), second.alias("w"), *[f"c{k}" for k in models]), "bigrams")
+
+    def discounts(frame: DataFrame, column: str) -> list[tuple[float, float, float]]:
+        found = frame.agg(*[F.count_if(F.col(f"{column}{k}") == i).alias(f"n{k}_{i}") for k in models for i in range(1, 5)]).first()
+        return [_discounts({i: found[f"n{k}_{i}"] for i in range(1, 5)}) for k in models]
+
+    d2 = discounts(bigrams, "c")
+    c_less = [_discount(F.col(f"c{k}"), d2[k]) for k in models]
+    contexts = written(bigrams.groupBy("v").agg(*[F.sum(f"c{k}").alias(f"total{k}") for k in models], *[F.sum(c_less[k]).alias(f"taken{k}") for k in models]), "contexts")
+    followers = written(bigrams.groupBy("w").agg(*[F.count_if(F.col(f"c{k}") > 0).alias(f"n{k}") for k in models]), "followers")
+    d1 = discounts(followers, "n")
+    n_less = [_discount(F.col(f"n{k}"), d1[k]) for k in models]
+    sums = followers.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in models], *[F.sum(n_less[k]).alias(f"taken{k}") for k in models]).first()
     # both tables have a row per token of the vocabulary at most
-    back_off, unigram = np.zeros(size + 1), np.full(size + 1, 1.0 / size)
-    if sums.n:
-        unigram[:] = sums.taken / sums.n / size
-        found = followers.select("w", ((F.col("n") - _discount(F.col("n"), d1)) / sums.n).alias("p")).toArrow()
-        unigram[found.column("w").to_numpy()] += found.column("p").to_numpy()
-        found = contexts.select("v", F.log(F.col("taken") / F.col("total")).alias("g")).toArrow()
-        back_off[found.column("v").to_numpy()] = found.column("g").to_numpy()
-    n = F.col("n")
-    one = followers.select("w", ((n - _discount(n, d1)) / (sums.n or 1) + (sums.taken or 0.0) / (sums.n or 1) / size).alias("p1"))
-    rest = F.col("taken") / F.col("total") * F.col("p1")
-    bonus = F.log1p((F.col("c") - _discount(F.col("c"), d2)) / F.col("total") / rest)
-    shards = written(bigrams.join(contexts, "v").join(one, "w").select("key", "c", bonus.alias("bonus")), "bonuses")
+    back_off, unigram = np.zeros((len(models), size + 1)), np.full((len(models), size + 1), 1.0 / size)
+    by_first, by_second = contexts.toArrow(), followers.select("w", *[(F.col(f"n{k}") - n_less[k]).alias(f"n{k}") for k in models]).toArrow()
+    for k in models:
+        if sums[f"n{k}"]:
+            total, taken = by_first.column(f"total{k}").to_numpy(), by_first.column(f"taken{k}").to_numpy()
+            back_off[k][by_first.column("v").to_numpy()[total > 0]] = np.log(taken[total > 0] / total[total > 0])
+            unigram[k] = sums[f"taken{k}"] / sums[f"n{k}"] / size
+            unigram[k][by_second.column("w").to_numpy()] += by_second.column(f"n{k}").to_numpy() / sums[f"n{k}"]
+    p1 = [((F.col(f"n{k}") - n_less[k]) / (sums[f"n{k}"] or 1) + (sums[f"taken{k}"] or 0.0) / (sums[f"n{k}"] or 1) / size).alias(f"p{k}") for k in models]
+    # (c - D) / total over g p1, where g is taken / total
+    gain = [F.log1p((F.col(f"c{k}") - c_less[k]) / (F.col(f"taken{k}") * F.col(f"p{k}"))) for k in models]
+    bonus = F.array(*[F.when(F.col(f"c{k}") > 0, gain[k]).otherwise(0.0).cast("float") for k in models])
+    found = bigrams.join(contexts, "v").join(followers.select("w", *p1), "w")
+    shards = written(found.select("key", F.col(f"c{folds}").alias("c"), bonus.alias("bonus")), "bonuses")
     top = shards.orderBy(F.desc("c"), "key").limit(FREQUENT).select("key", "bonus").toArrow()
     order = np.argsort(top.column("key").to_numpy())
-    return Model(back_off, np.log(unigram), top.column("key").to_numpy()[order], top.column("bonus").to_numpy()[order].astype(np.float32), shards)
+    bonuses = top.column("bonus").combine_chunks().flatten().to_numpy().reshape(-1, len(models))
+    return Model(back_off, np.log(unigram), top.column("key").to_numpy()[order], bonuses[order], shards)
 
 
 def _score(batches: Iterator[pa.RecordBatch], path: str, shared) -> Iterator[pa.RecordBatch]:
-    """Per row what the task itself can score, and the bigrams that must be looked up elsewhere, with their counts."""
+    """Per row what the task itself can score, by the last model and by that of the row's fold, and the bigrams that must be
+    looked up elsewhere, with their counts."""
     back_off, unigram, known, bonus = shared.value
     part, place = TaskContext.get().partitionId() << 40, 0
     for batch in batches:
-        texts, ids, langs = texts_of(batch), batch.column(0), batch.column(2)
+        texts, ids, langs, folds = texts_of(batch), batch.column(0), batch.column(2), batch.column(3)
+        fold = folds.to_numpy()
         for lo, hi in _spans(texts):
             tokens, counts = _ids(path, texts[lo:hi])
             keys, owner = bigram_keys(tokens, counts)
-            total = np.bincount(owner, back_off[keys >> 32] + unigram[keys & 0xFFFFFFFF], hi - lo).astype(np.float64)
+            v, w, own = keys >> 32, keys & 0xFFFFFFFF, fold[lo:hi][owner]
+            total = np.bincount(owner, back_off[-1][v] + unigram[-1][w], hi - lo).astype(np.float64)
+            held = np.bincount(owner, back_off[own, v] + unigram[own, w], hi - lo).astype(np.float64)
             at = np.searchsorted(known, keys).clip(0, max(0, len(known) - 1))
             hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
             if len(known):
-                total += np.bincount(owner[hit], bonus[at[hit]], hi - lo)
+                total += np.bincount(owner[hit], bonus[at[hit], -1], hi - lo)
+                held += np.bincount(owner[hit], bonus[at[hit], own[hit]], hi - lo)
             miss, rows = keys[~hit], owner[~hit]
             order = np.lexsort((miss, rows))
             miss, rows = miss[order], rows[order]
@@ -172,9 +198,9 @@ def _score(batches: Iterator[pa.RecordBatch], path: str, shared) -> Iterator[pa.
             structs = pa.StructArray.from_arrays([pa.array(miss[first]), pa.array(times)], ["key", "n"])
             n = hi - lo
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(place, place + n) + part), ids.slice(lo, n), langs.slice(lo, n), pa.array(counts - 1), pa.array(total),
+                [pa.array(np.arange(place, place + n) + part), ids.slice(lo, n), langs.slice(lo, n), folds.slice(lo, n), pa.array(counts - 1), pa.array(total), pa.array(held),
                  pa.ListArray.from_arrays(pa.array(ends), structs)],
-                ["row_id", "doc_id", "lang", "n_tokens", "score", "open"],
+                ["row_id", "doc_id", "lang", "fold", "n_tokens", "score", "held", "open"],
             )
             place += n
 
@@ -197,24 +223,28 @@ def _in_map(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         yield batch.select(["doc_id", "text"]).filter(pa.array(bits[batch.column(2).to_numpy()]))
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, path: str | None = None) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, path: str | None = None, folds: int = 0) -> DataFrame:
     """(doc_id, lang, n_tokens, perplexity, threshold, keep) per row of ``docs``.
 
     Trusted are the documents that ``labels`` gives quality 1. ``threshold`` is the quantile of the perplexities of trusted
     documents in the row's language, or of all trusted ones where the language has none; null languages are a language.
     Null and empty texts have no tokens, a null perplexity and are not kept. Without any trusted document all other rows are
     kept. Rows without an id are scored, but never trusted; repeated rows are scored each; an empty table gives an empty table.
+    With ``folds`` (two or more) the perplexities of trusted documents, and so the thresholds, are those of a model without
+    their fold, as all other documents are scored by a model that has not seen them; without, the one model scores all.
     """
     path = path or tokenizer.vocabulary_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     trusted_ids = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
-    model = train(_listed(rows.where("doc_id is not null and text is not null").select("doc_id", "text"), trusted_ids), path)
+    model = train(_listed(rows.where("doc_id is not null and text is not null").select("doc_id", "text"), trusted_ids), path, folds)
     shared = docs.sparkSession.sparkContext.broadcast((model.back_off, model.unigram, model.keys, model.bonus))
-    schema = "row_id long, doc_id long, lang string, n_tokens long, score double, open array<struct<key: bigint, n: bigint>>"
-    scored = written(map_arrow(rows, schema, _score, path, shared), "scores")
-    looked_up = scored.select("row_id", F.inline("open")).join(model.shards.select("key", "bonus"), "key")
-    more = looked_up.groupBy("row_id").agg(F.sum(F.col("n") * F.col("bonus")).alias("more"))
-    total = F.col("score") + F.coalesce("more", F.lit(0.0))
+    schema = "row_id long, doc_id long, lang string, fold int, n_tokens long, score double, held double, open array<struct<key: bigint, n: bigint>>"
+    scored = written(map_arrow(rows.withColumn("fold", fold_of("text", folds)), schema, _score, path, shared), "scores")
+    looked_up = scored.select("row_id", "fold", F.inline("open")).join(model.shards.select("key", "bonus"), "key")
+    gained = lambda place: F.sum(F.col("n") * F.get("bonus", place).cast("double"))
+    more = looked_up.groupBy("row_id").agg(gained(F.lit(folds)).alias("more"), gained(F.col("fold")).alias("held_more"))
+    own = F.when(F.col("trusted"), F.col("held") + F.coalesce("held_more", F.lit(0.0)))
+    total = F.coalesce(own, F.col("score") + F.coalesce("more", F.lit(0.0)))
     found = (
         scored.drop("open").join(more, "row_id", "left").join(trusted_ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
         .select("doc_id", "lang", "n_tokens", F.when(F.col("n_tokens") > 0, F.exp(-total / F.col("n_tokens"))).alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"))

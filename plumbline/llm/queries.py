@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents
 from plumbline.llm.decontaminate import contaminated
-from plumbline.llm.kneser_ney import quality
+from plumbline.llm.kneser_ney import FOLDS, quality
 from plumbline.llm.language_id import language_id
 from plumbline.llm.line_dedup import without_boilerplate
 from plumbline.llm.mixing import mix
@@ -75,7 +75,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+    return quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), folds=FOLDS)
 
 
 @query

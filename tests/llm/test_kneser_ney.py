@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import kneser_ney, tokenizer
 from plumbline.llm.kneser_ney import _discounts, quality
+from plumbline.llm.queries import op6_quality
 
 
 class Brute:
@@ -72,6 +74,38 @@ def test_against_brute_force(table, corpus, labels, monkeypatch, frequent):
     assert not got[90].keep
 
 
+@pytest.mark.parametrize("frequent", [1 << 20, 10])
+def test_held_out_against_brute_force(table, corpus, labels, monkeypatch, frequent):
+    monkeypatch.setattr(kneser_ney, "FREQUENT", frequent)
+    path = tokenizer.vocabulary_path()
+    encode, size = tokenizer.load(path).encode, kneser_ney.vocabulary_size(path)
+    ids = [encode(t or "", add_special_tokens=False).ids for t, _, _ in corpus]
+    docs = table(corpus)
+    fold = {r.doc_id: r.fold for r in docs.select("doc_id", kneser_ney.fold_of("text", 3)).collect()}
+    trusted = [i for i in range(60) if i % 2 == 0]
+    brutes = [Brute([ids[i] for i in trusted if fold[i] != k], size) for k in range(4)]
+    got = {r.doc_id: r for r in quality(docs, labels, 0.9, folds=3).collect()}
+    for i, s in enumerate(ids):
+        brute = brutes[fold[i] if i in trusted else 3]
+        assert got[i].perplexity == (pytest.approx(math.exp(-sum(math.log(brute.p(v, w)) for v, w in zip([size, *s], s)) / len(s)), rel=1e-5) if s else None)
+    mine = sorted(got[i].perplexity for i in trusted if corpus[i][1] == "de")
+    assert {r.threshold for r in got.values() if r.lang == "de"} == {mine[math.ceil(0.9 * len(mine)) - 1]}
+
+
+def test_a_rare_language_keeps_its_good_documents(spark, tmp_path, table, prose):
+    """Of 400 alike documents of a rare language 40 are trusted: both kinds pass at like rates in the registered query."""
+    pick = random.Random(5)
+    words = ["".join(pick.choice(["ra", "mi", "to", "que", "los", "den", "zu", "pa"]) for _ in range(pick.randint(1, 4))) for _ in range(1500)]
+    rare = [" ".join(words[min(1499, int(pick.paretovariate(0.6)))] for _ in range(80)) for _ in range(400)]
+    rows = [(prose(i, 80), "en", "s") for i in range(300)] + [(t, "es", "s") for t in rare]
+    table(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    trusted = [(i, int(i < 340), 0) for i in range(700)]
+    spark.createDataFrame(trusted, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id: r.keep for r in op6_quality(spark, str(tmp_path)).collect()}
+    mine, others = ([kept[i] for i in ids] for ids in (range(300, 340), range(340, 700)))
+    assert sum(mine) / len(mine) > 0.9 and sum(others) / len(others) > 0.9
+
+
 def test_probabilities_sum_to_one():
     pick = np.random.default_rng(1)
     brute = Brute([list(pick.zipf(1.5, 30) % 20) for _ in range(12)], 25)
