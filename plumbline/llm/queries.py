@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.bpe import bpe_decode, bpe_encode
 from plumbline.llm.common import documents
 from plumbline.llm.decontaminate import contaminated
 from plumbline.llm.kneser_ney import FOLDS, quality
@@ -96,3 +97,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
+
+
+@query
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe_decode(bpe_encode(documents(spark, sf_dir)))
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return decoded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
