@@ -15,8 +15,8 @@ from plumbline.suite import QUERIES
 
 HEADLINE = [
     "composite_scores", "m3_recall_at_10", "m4_citation_validity", "m5_evidence_coverage", "m6_numeric_gaps", "m8_redlines",
-    "m9_text_structure_documents", "bootstrap_composite_ci", "split_aggregate", "score_breakdowns",
-    "a03_duplicate_ids", "a04_content_collisions", "a06_document_stub_collisions", "a07_scenario_distance", "a12_diversity",
+    "m9_text_structure_documents", "bootstrap_composite_ci", "bootstrap_poisson_ci", "split_aggregate", "score_breakdowns",
+    "a03_duplicate_ids", "a04_content_collisions", "a06_document_stub_collisions", "a07_copied_scenarios", "a07_jaccard", "nearest_ten_pairs", "a12_diversity",
     "distance_histogram", "derived_labels", "scenario_fingerprints", "review_verdict", "review_memo_head", "numeric_envelope",
     "round_deltas", "judge_responses", "stitched_payloads", "run_state_fold", "run_state_stream", "stratified_splits",
 ]

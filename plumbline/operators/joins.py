@@ -44,6 +44,25 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def counted_join(left: DataFrame, right: DataFrame, on: Sequence[str], count: str) -> DataFrame:
+    """Inner equi-join with one row of ``right`` per key that tells, in column ``count``, how many rows of ``left`` have the key.
+
+    Rows of ``right`` that stand for more than one in HEAVY of all are fewer than HEAVY and broadcast; the rows of ``left`` that
+    they do not take meet the others in a join without heavy keys. ``right`` is read three times, ``left`` once. Keys must not be null.
+    """
+    share = right.agg(F.sum(count) / HEAVY).scalar()
+    body = [c for c in right.columns if c not in (*on, count)]
+    packed = right.select(*on, F.col(count).alias("_n"), F.struct(*body).alias("_row"))
+    heavy = F.broadcast(packed.filter(F.col("_n") > share).drop("_n"))
+    met = left.join(heavy, list(on), "left")
+    light = packed.filter(F.col("_n") <= share).select(*on, F.col("_row").alias("_light"))
+    # a row that the heavy keys took goes to a key of its own, which no row of the right side has
+    apart = F.when(F.col("_row").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS)))
+    joined = met.withColumn("_apart", apart).join(light.withColumn("_apart", F.lit(0).cast("long")), [*on, "_apart"], "left")
+    row = F.coalesce("_row", "_light")
+    return joined.filter(row.isNotNull()).select(*left.columns, *[row[c].alias(c) for c in body])
+
+
 def dim_join(
     left: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "left", small: bool | None = None
 ) -> DataFrame:

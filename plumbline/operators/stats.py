@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from plumbline import values as V
-from plumbline.functions.draws import draw_positions
+from plumbline.functions.draws import draw_positions, poisson_weights
 from plumbline.session import work_dir
 
 CHUNK = 1_000_000              # values that travel as one array (8 MB)
@@ -128,6 +130,89 @@ def bootstrap_ci(
     return sizes.join(edges, "g").select(*[F.col(f"g.{c}").alias(c) for c in by], "mean", "lower", "upper", "n")
 
 
+#: Resampled weights made at a time, and groups whose sums a task holds before it hands them on.
+WEIGHTS, HELD_GROUPS = 1 << 20, 1 << 10
+
+
+def poisson_bootstrap_ci(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    key: Sequence[str],
+    resamples: int = V.BOOTSTRAP_RESAMPLES,
+    seed: int = V.BOOTSTRAP_SEED,
+    alpha: float = V.BOOTSTRAP_ALPHA,
+) -> DataFrame:
+    """Percentile interval of the mean per group by mergeable resamples: ``mean, lower, upper, n``.
+
+    A row counts in a resample as often as a Poisson(1) draw says that depends on the seed, the resample and the row's ``key``
+    alone. So a task folds its rows to one weighted sum and one weight per resample and group, and the sums of tasks add up:
+    no positions, no sorting, no vector that travels; the work is rows times resamples and the shuffle tasks times groups times
+    resamples, whatever the size of a group. The draws of all rows do not add up to n as those of ``bootstrap_ci`` do; a resample
+    is the ratio of its two sums, which has the same spread up to terms of order 1/n, so the edges of the two intervals differ by
+    the noise of R resamples (about 4 % of the width for 1,000) and by less than the width over the root of n. Small groups, below
+    a few dozen rows, are better off with ``bootstrap_ci``. The caller chooses; nothing switches by size.
+
+    Null values are left out; rows of one group with an equal key are drawn together. A group without values gives no row.
+    """
+    if not (isinstance(resamples, int) and resamples > 0):
+        raise ValueError("resamples must be a positive integer")
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
+    named = F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in key])
+    rows = df.filter(F.col(value).isNotNull()).select(
+        F.struct(*([F.col(c) for c in by] or [F.pmod(F.xxhash64(F.col(value)), F.lit(1)).alias("_")])).alias("g"),
+        F.col(value).cast("double").alias("v"), F.sha2(named, 256).alias("key"),
+    )
+    hexes = lambda at: F.conv(F.substring("key", at, 8), 16, 10).cast("long")
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    schema = T.StructType([rows.schema["g"], T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("weights", T.ArrayType(T.LongType()))])
+    folded = rows.select("g", "v", hexes(1).alias("k1"), hexes(9).alias("k2")).mapInArrow(partial(_poisson_sums, resamples), schema)
+    both = folded.select("g", F.posexplode(F.arrays_zip("sums", "weights")).alias("r", "x")).groupBy("g", "r").agg(
+        F.sum("x.sums").alias("s"), F.sum("x.weights").alias("w")
+    )
+    edges = both.filter("w > 0").groupBy("g").agg(
+        F.percentile(F.col("s") / F.col("w"), F.lit(alpha / 2)).alias("lower"),
+        F.percentile(F.col("s") / F.col("w"), F.lit(1 - alpha / 2)).alias("upper"),
+    )
+    return sizes.join(edges, "g").select(*[F.col(f"g.{c}").alias(c) for c in by], "mean", "lower", "upper", "n")
+
+
+def _poisson_sums(resamples: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted sums and weights per group and resample over the rows of a task."""
+    held: dict[tuple, tuple] = {}
+    kind = None
+
+    def fold() -> pa.RecordBatch:
+        sums, weights = zip(*(h[1:] for h in held.values()))
+        groups = pa.array([h[0] for h in held.values()], kind)
+        return pa.RecordBatch.from_arrays([groups, pa.array(sums, pa.list_(pa.float64())), pa.array(weights, pa.list_(pa.int64()))], ["g", "sums", "weights"])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        groups = batch.column(0).to_pylist()
+        found: dict[tuple, int] = {}
+        codes = np.fromiter((found.setdefault(tuple(g.values()), len(found)) for g in groups), np.int64, len(groups))
+        order = np.argsort(codes, kind="stable")
+        v, k1, k2 = (batch.column(i).to_numpy()[order] for i in (1, 2, 3))
+        step = max(1, WEIGHTS // resamples)
+        ends = np.searchsorted(codes[order], np.arange(len(found)), "right")
+        for (name, code), end in zip(found.items(), ends):
+            start = int(ends[code - 1]) if code else 0
+            if name not in held:
+                if len(held) >= HELD_GROUPS:
+                    yield fold()
+                    held.clear()
+                held[name] = (groups[order[start]], np.zeros(resamples), np.zeros(resamples, np.int64))
+            _, sums, weights = held[name]
+            for at in range(start, int(end), step):
+                drawn = poisson_weights(k1[at:min(at + step, end)], k2[at:min(at + step, end)], resamples)
+                sums += v[at:min(at + step, end)] @ drawn
+                weights += drawn.sum(axis=0, dtype=np.int64)
+    if held:
+        yield fold()
+
+
 def _means(rows: DataFrame, sizes: DataFrame, resamples: int, seed: int, chunk: int) -> DataFrame:
     """(g, m): the mean of every resample of every group."""
     vectors = (
@@ -161,9 +246,9 @@ def _means(rows: DataFrame, sizes: DataFrame, resamples: int, seed: int, chunk:
                     sums.append(total)
                 yield pd.DataFrame({"g": [g] * len(sums), "c": c, "r": np.arange(first, last), "s": sums})
 
-    partial = F.transform(F.array_sort(F.collect_list(F.struct("c", "s"))), lambda x: x["s"])
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("c", "s"))), lambda x: x["s"])
     summed = slices.mapInPandas(resample, schema).groupBy("g", "r").agg(
-        F.aggregate(partial, F.lit(0.0), lambda a, x: a + x).alias("s")
+        F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x).alias("s")
     )
     return summed.join(sizes.select("g", "n"), "g").select("g", (F.col("s") / F.col("n")).alias("m"))
 
@@ -189,9 +274,11 @@ def with_positions(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     ).drop("local", "offset", "part")
 
 
-def split_aggregate(scores: DataFrame, metrics: Sequence[str], strict: bool = False, **options) -> DataFrame:
+def split_aggregate(scores: DataFrame, metrics: Sequence[str], strict: bool = False, interval=bootstrap_ci, **options) -> DataFrame:
     """Composite and metric rows per (domain, split): mean, interval, count, null count, branch counts.
 
+    ``interval`` is ``bootstrap_ci`` or, for groups of many millions of cases, ``poisson_bootstrap_ci``.
+
     ``strict`` asks for exactly one (domain, split) in the input.
     """
     from plumbline.operators.metrics import to_long
@@ -210,7 +297,7 @@ def split_aggregate(scores: DataFrame, metrics: Sequence[str], strict: bool = Fa
     path = work_dir(scores.sparkSession, "split-rows")
     rows.write.parquet(path)
     rows = scores.sparkSession.read.parquet(path)
-    ci = bootstrap_ci(rows, keys, "raw", ["case_id"], **options).select(*keys, "lower", "upper")
+    ci = interval(rows, keys, "raw", ["case_id"], **options).select(*keys, "lower", "upper")
     counts = missingness(rows, keys).select(
         *keys, F.create_map(*[x for b in V.BRANCHES for x in (F.lit(b), F.col(b))]).alias("missingness")
     )
@@ -228,12 +315,12 @@ def paired(prior: DataFrame, current: DataFrame, value: str) -> DataFrame:
     )
 
 
-def paired_delta_ci(prior: DataFrame, current: DataFrame, value: str, **options) -> DataFrame:
-    """Bootstrap interval of paired deltas; refuses sets that do not pair up."""
+def paired_delta_ci(prior: DataFrame, current: DataFrame, value: str, interval=bootstrap_ci, **options) -> DataFrame:
+    """Bootstrap interval of paired deltas, by ``bootstrap_ci`` or ``poisson_bootstrap_ci``; refuses sets that do not pair up."""
     pairs = paired(prior, current, value)
     if not pairs.filter(~F.col("pair_ok")).isEmpty():
         raise ValueError("prior and current results must hold the same cases")
-    ci = bootstrap_ci(pairs, [], "delta", ["case_id"], **options)
+    ci = interval(pairs, [], "delta", ["case_id"], **options)
     return ci.withColumnRenamed("mean", "mean_delta")
 
 

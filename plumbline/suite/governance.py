@@ -177,15 +177,37 @@ def scenario_close_pairs(spark: SparkSession, root: str) -> DataFrame:
     return out.select("fingerprint_a", "split_a", "fingerprint_b", "split_b", F.round("distance", 6).alias("distance"), "case_pairs")
 
 
-@query("a07_scenario_distance", f"""
- with {DISTINCT_SQL.format(source='fx_scenario_coarse')},
+A07_SQL = """
+ with {distinct},
  s as (select fingerprint_a as fp, split_a as split, changed, cases_b as partners from p union all select fingerprint_b, split_b, changed, cases_a from p),
  m as (select fp, split, min(changed) as changed, sum(partners) as partners from s group by 1, 2)
  select c.case_id, c.split, round(m.changed / 14.0, 6) as nearest_distance, m.partners as partner_cases
- from fx_scenario_coarse c join m on m.fp = c.scenario_fingerprint and m.split = c.split""")
+ from {source} c join m on m.fp = c.scenario_fingerprint and m.split = c.split"""
+
+
+def near(spark: SparkSession, root: str, source: str) -> DataFrame:
+    out = N.near_cases(load(spark, root, source))
+    return out.select("case_id", "split", F.round("nearest_distance", 6).alias("nearest_distance"), "partner_cases")
+
+
+@query("a07_scenario_distance", A07_SQL.format(distinct=DISTINCT_SQL.format(source="fx_scenario"), source="fx_scenario"))
 def a07(spark: SparkSession, root: str) -> DataFrame:
-    cases = load(spark, root, "fx_scenario_coarse")
-    out = N.violating_cases(cases, N.scenario_violations(cases))
+    """A07 on scenarios that nearly all differ."""
+    return near(spark, root, "fx_scenario")
+
+
+@query("a07_copied_scenarios", A07_SQL.format(distinct=DISTINCT_SQL.format(source="fx_scenario_coarse"), source="fx_scenario_coarse"))
+def a07_copies(spark: SparkSession, root: str) -> DataFrame:
+    """A07 on many copies of few scenarios."""
+    return near(spark, root, "fx_scenario_coarse")
+
+
+@query("a07_jaccard", A07_SQL.format(distinct=DISTINCT_SQL.format(source="fx_scenario").replace("<= 4)", "<= 2)"), source="fx_scenario")
+       .replace("round(m.changed / 14.0, 6)", "round(2.0 * m.changed / (14 + m.changed), 6)"))
+def a07_jaccard(spark: SparkSession, root: str) -> DataFrame:
+    """A07 by the Jaccard distance of fingerprint tokens: up to two of fourteen facts changed are below the floor."""
+    cases = load(spark, root, "fx_scenario")
+    out = N.violating_cases(cases, N.jaccard_violations(cases))
     return out.select("case_id", "split", F.round("nearest_distance", 6).alias("nearest_distance"), "partner_cases")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import values as V
+from plumbline.functions.draws import poisson_limits
 from plumbline.operators import metrics as M
 from plumbline.operators import stats as A
 from plumbline.suite.registry import load, query
@@ -141,6 +142,53 @@ def paired_delta(spark: SparkSession, root: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean_delta", "lower", "upper")], "n", "accepted")
 
 
+def poisson_sql(source: str, by: str, value: str, resamples: int = V.BOOTSTRAP_RESAMPLES, seed: int = V.BOOTSTRAP_SEED) -> str:
+    """Poisson(1) weights per row and resample, from the row's key alone."""
+    mul = lambda a, b: f"(({a})::hugeint * ({b})::hugeint) % 4294967296"
+    keys = f"{by}," if by else ""
+    group = f"group by {by}" if by else ""
+    weight = " + ".join(f"(u >= {x})::int" for x in poisson_limits())
+
+    def mixed(source: str, start: str, end: str) -> str:
+        return f"""
+ {end}_1 as (select * exclude ({start}), {start} as s from {source}),
+ {end}_2 as (select *, ({mul("xor(s, s >> 15)", "s | 1")})::ubigint as a from {end}_1),
+ {end}_3 as (select *, xor(a, ((a + ({mul("xor(a, a >> 7)", "a | 61")})) % 4294967296)::ubigint) as b from {end}_2),
+ {end}_0 as (select * exclude (s, a, b), xor(b, b >> 14) as {end} from {end}_3)"""
+
+    return f"""
+ keyed as (select {keys} {value} as x, sha256(concat('{seed}', chr(31), case_id)) as h from {source}),
+ sizes as (select {keys} count(*) as n, avg(x) as mean from keyed {group}),
+ drawn as (select {keys} x, r, ((('0x' || h[1:8])::ubigint + r::hugeint * 1831565813) % 4294967296)::ubigint as d, ('0x' || h[9:16])::ubigint as k2
+   from keyed, range(1, {resamples + 1}) t(r)),
+ {mixed("drawn", "d", "m")},
+ again as (select * exclude (m), xor(m, k2) as d from m_0),
+ {mixed("again", "d", "u")},
+ weighed as (select {keys} r, x, {weight} as w from u_0),
+ means as (select {keys} r, sum(w * x) / sum(w) as m from weighed group by {keys} r having sum(w) > 0),
+ edges as (select {keys} quantile_cont(m, 0.025) as lower, quantile_cont(m, 0.975) as upper from means {group})"""
+
+
+@query("bootstrap_poisson_ci", f"""
+ with {poisson_sql("fx_round_score", "domain", "score")}
+ select domain, round(mean, 6) as mean, round(lower, 6) as lower, round(upper, 6) as upper, n from sizes join edges using (domain)""")
+def bootstrap_poisson(spark: SparkSession, root: str) -> DataFrame:
+    """BS1 by resamples that merge: for groups of any size."""
+    out = A.poisson_bootstrap_ci(load(spark, root, "fx_round_score"), ["domain"], "score", ["case_id"])
+    return out.select("domain", *[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")], "n")
+
+
+@query("paired_delta_poisson", f"""
+ with p as {PAIR_SQL}, {poisson_sql("p", "", "delta")}
+ select round(mean, 6) as mean_delta, round(lower, 6) as lower, round(upper, 6) as upper, n, mean >= 1.5 and lower > 0 as accepted from sizes, edges""")
+def paired_delta_poisson(spark: SparkSession, root: str) -> DataFrame:
+    """BS2 by resamples that merge."""
+    rows = load(spark, root, "fx_round_score")
+    current = rows.select("case_id", (F.col("m3") * 100).alias("v"))
+    out = A.patch_gate(A.paired_delta_ci(rows.select("case_id", F.col("score").alias("v")), current, "v", interval=A.poisson_bootstrap_ci))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean_delta", "lower", "upper")], "n", "accepted")
+
+
 @query("paired_completeness", """
  with p as (select case_id, score from fx_round_score where ck % 10 <> 0), c as (select case_id, m1 * 100 as score from fx_round_score where k % 10 <> 0)
  select coalesce(p.case_id, c.case_id) as case_id, p.score as prior, c.score as current, round(c.score - p.score, 9) as delta,

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import values as V
 from plumbline.functions import documents as D
 from plumbline.functions import scalar as S
-from plumbline.functions.draws import draw_positions
+from plumbline.functions.draws import draw_positions, poisson_limits
 from plumbline.operators import governance as G
 from plumbline.operators import joins as J
 from plumbline.operators import labels as L
@@ -85,6 +87,54 @@ def test_positions_across_partitions(spark):
         assert {r["o"]: r["p"] for r in out if r["g"] == g} == {o: i for i, o in enumerate(ordered)}
 
 
+def poisson_interval(values, keys, resamples, seed=4242):
+    """One row and one draw after the other."""
+    limits, means = poisson_limits(), []
+    mix = lambda v: (lambda a: (a ^ (a >> 14)) & 0xFFFFFFFF)((lambda b: b ^ ((b + ((b ^ (b >> 7)) * (b | 61))) & 0xFFFFFFFF))(((v ^ (v >> 15)) * (v | 1)) & 0xFFFFFFFF))
+    halves = [(lambda h: (int(h[:8], 16), int(h[8:16], 16)))(hashlib.sha256(f"{seed}\x1f{k}".encode()).hexdigest()) for k in keys]
+    for r in range(1, resamples + 1):
+        total = weight = 0
+        for v, (a, b) in zip(values, halves):
+            u = mix(mix((a + r * 0x6D2B79F5) & 0xFFFFFFFF) ^ b)
+            n = sum(u >= x for x in limits)
+            total, weight = total + n * v, weight + n
+        if weight:
+            means.append(total / weight)
+    return np.percentile(means, [2.5, 97.5])
+
+
+def test_poisson_bootstrap_equals_brute_force_however_rows_are_dealt(spark):
+    rows = [(f"c{i}", "ab"[i % 3 == 0], float(i * 37 % 101)) for i in range(60)] + [("x", "a", None), ("y", None, 3.0), ("z", "one", 5.0)]
+    df = spark.createDataFrame(rows, "case_id string, g string, v double")
+    got = [sorted(map(tuple, A.poisson_bootstrap_ci(df.repartition(n), ["g"], "v", ["case_id"], resamples=50).collect()), key=repr) for n in (1, 7)]
+    assert [[pytest.approx(x) for x in r[1:]] for r in got[0]] == [list(r[1:]) for r in got[1]]
+    for name, mean, lower, upper, n in got[0]:
+        some = [(r[2], r[0]) for r in rows if r[1] == name and r[2] is not None]
+        low, high = poisson_interval(*zip(*some), 50)
+        assert (n, mean, lower, upper) == (len(some), pytest.approx(np.mean([v for v, _ in some])), pytest.approx(low), pytest.approx(high))
+
+
+def test_poisson_bootstrap_is_near_the_exact_one(spark):
+    df = spark.range(3000).selectExpr("id as case_id", "double(pmod(xxhash64(id), 1000)) as v")
+    exact, mergeable = (f(df, [], "v", ["case_id"]).first() for f in (A.bootstrap_ci, A.poisson_bootstrap_ci))
+    width = exact["upper"] - exact["lower"]
+    assert exact["n"] == mergeable["n"] and exact["mean"] == pytest.approx(mergeable["mean"])
+    assert abs(exact["lower"] - mergeable["lower"]) < 0.15 * width and abs(exact["upper"] - mergeable["upper"]) < 0.15 * width
+
+
+def test_poisson_bootstrap_hands_groups_on(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id as case_id", "id % 40 as g", "double(id) as v").coalesce(1)
+    want = sorted(map(tuple, A.poisson_bootstrap_ci(df, ["g"], "v", ["case_id"], resamples=20).collect()))
+    rows = [{"g": {"g": i % 40}, "v": float(i), "k1": i * 7919, "k2": i * 104729} for i in range(400)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    whole = sum(pa.Table.from_batches(A._poisson_sums(20, iter([batch]))).column("weights").combine_chunks().flatten().to_pylist())
+    monkeypatch.setattr(A, "HELD_GROUPS", 3)
+    parts = list(A._poisson_sums(20, iter([batch, batch])))
+    assert len(parts) > 2 and sum(sum(p.column(2).flatten().to_pylist()) for p in parts) == 2 * whole and len(want) == 40
+    with pytest.raises(ValueError):
+        A.poisson_bootstrap_ci(df, ["g"], "v", ["case_id"], resamples=0)
+
+
 # --- similarity ------------------------------------------------------------------------------------------
 
 def scenarios(count: int, cards: int, seed: int, copies: float = 0.3) -> list[tuple[str, str, str, str]]:
@@ -133,6 +183,76 @@ def test_violating_cases_cover_each_copy(spark):
     assert got == want
 
 
+def with_gaps(rows, seed: int = 2):
+    """Some fingerprints without some of the facts."""
+    rng = random.Random(seed)
+    lacking = [[], [0], [3, 9], list(range(13)), list(range(14))]
+    drop = lambda text: "vec:" + "|".join(f for i, f in enumerate(facts(text)) if i not in gone)
+    out = []
+    for *head, text in rows:
+        gone = set(rng.choice(lacking))
+        out.append((*head, drop(text)))
+    return out
+
+
+def distance(a: str, b: str) -> float:
+    a, b = (dict(f.split("=") for f in facts(x) if f) for x in (a, b))
+    return sum(a.get(n) != b.get(n) for n in a.keys() | b.keys()) / max(1, len(a.keys() | b.keys()))
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_near_cases_are_counted_without_pairs(spark, gaps):
+    rows = scenarios(150, 3, 5)
+    rows = with_gaps(rows) if gaps else rows
+    got = {r["case_id"]: (pytest.approx(r["nearest_distance"]), r["partner_cases"]) for r in N.near_cases(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {}
+    for a in rows:
+        near = [d for b in rows if b[2] != a[2] for d in [distance(a[3], b[3])] if d < 0.35]
+        if near:
+            want[a[0]] = (min(near), len(near))
+    assert got == want
+
+
+def test_near_cases_of_a_pool_without_any(spark):
+    rows = [(f"c{i}", "d", V.SPLITS[i % 4], "vec:" + "|".join(f"{n}={i}" for n in V.FACTS)) for i in range(30)]
+    assert N.near_cases(spark.createDataFrame(rows, SCHEMA)).count() == 0
+    assert N.near_cases(spark.createDataFrame(rows[:0], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("k", [7, 400])
+def test_nearest_pairs_with_missing_facts_and_copies(spark, k):
+    rows = with_gaps(scenarios(40, 2, 17, copies=0.4))
+    want = sorted((round(distance(a[3], b[3]), 9), a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1:] if a[1] == b[1] and a[2] != b[2])[:k]
+    out = N.nearest_pairs(spark.createDataFrame(rows, SCHEMA), k).collect()
+    assert want == [(round(r["distance"], 9), r["case_a"], r["case_b"]) for r in out]
+
+
+def jaccard(a: str, b: str) -> float:
+    a, b = set(a.removeprefix("vec:").split("|")), set(b.removeprefix("vec:").split("|"))
+    return 1 - len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("floor, keys", [(0.35, 128), (0.35, 1), (0.8, 128), (0.5, 20)])
+def test_jaccard_pairs_equal_brute_force(spark, floor, keys):
+    rows = with_gaps(scenarios(70, 2, 23)) + [("u", "d", "train", "x|x|y"), ("v", "d", "dev", "y|x"), ("w", "d", "holdout", ""), ("z", "d", "dev", "vec:")]
+    names = {(r[3], r[2]): sum(x[2:] == r[2:] for x in rows) for r in rows}
+    want = {}
+    for (a, s), n in names.items():
+        for (b, t), m in names.items():
+            if s != t and (a, s) < (b, t) and jaccard(a, b) < floor:
+                want[a, s, b, t] = (pytest.approx(jaccard(a, b)), n * m)
+    out = N.jaccard_violations(spark.createDataFrame(rows, SCHEMA), floor, keys).collect()
+    assert {(r["fingerprint_a"], r["split_a"], r["fingerprint_b"], r["split_b"]): (r["distance"], r["case_pairs"]) for r in out} == want and len(out) == len(want)
+
+
+def test_counted_join_takes_heavy_keys_by_broadcast(spark):
+    left = spark.range(5000).selectExpr("if(id < 3000, 0, id % 900) as key", "id")
+    right = left.groupBy("key").agg(F.count("*").alias("n")).filter("key <> 7").withColumn("name", F.concat(F.lit("k"), "key"))
+    got = J.counted_join(left, right, ["key"], "n")
+    want = left.join(right.drop("n"), "key")
+    assert sorted(map(tuple, got.select("key", "id", "name").collect())) == sorted(map(tuple, want.select("key", "id", "name").collect()))
+
+
 @pytest.mark.parametrize("count, cards", [(120, 3), (12, 50), (4, 1000)])
 def test_nearest_pairs_equal_brute_force(spark, count, cards):
     rows = scenarios(count, cards, 11, copies=0.1 if count > 50 else 0)
