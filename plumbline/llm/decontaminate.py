@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +30,12 @@ BAND = 64
 #: A document holds an item if the alignment reaches this share of the item's own score, or this many matched words.
 SHARE, MATCHED = 0.5, 50
 STRIP = string.punctuation + "“”„‘’«»¿¡…–—"
-CACHE, ITEMS, CHUNK = 500_000, 10_000, 1 << 22
+CACHE, ITEMS, CHUNK = 200_000, 10_000, 1 << 22
 _U = np.uint64
 
 
 class Words(dict):
-    """Hash of a raw word; zero where only punctuation is left."""
+    """Hash of a raw word; zero where only punctuation is left. Lives as long as a task and starts anew beyond CACHE words."""
 
     def __missing__(self, raw: str) -> int:
         word = raw.strip(STRIP)
@@ -46,12 +47,11 @@ class Words(dict):
         return value
 
 
-_WORDS = Words()
-
-
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, words: Words | None = None) -> np.ndarray:
+    """Hashes of a text's words; ``words`` is the cache of a task."""
     raw = text.lower().split()
-    hashes = np.fromiter(map(_WORDS.__getitem__, raw), _U, len(raw))
+    words = Words() if words is None else words
+    hashes = np.fromiter(map(words.__getitem__, raw), _U, len(raw))
     return hashes[hashes != 0]
 
 
@@ -73,8 +73,9 @@ def _rows(keys: list, places: list[np.ndarray], grams: list[np.ndarray]) -> pa.R
 
 
 def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Words()
     for batch in batches:
-        grams = [gram_hashes(w, min(GRAM, len(w)) or GRAM) for w in map(word_hashes, texts_of(batch))]
+        grams = [gram_hashes(w, min(GRAM, len(w)) or GRAM) for w in (word_hashes(t, known) for t in texts_of(batch))]
         yield _rows(batch.column(0).to_pylist(), [np.arange(len(g)) for g in grams], grams)
 
 
@@ -86,10 +87,11 @@ def _short_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _listed_grams(batches: Iterator[pa.RecordBatch], shared, sizes: list[int]) -> Iterator[pa.RecordBatch]:
     listed = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+    known = Words()
     for batch in batches:
         places, kept = [], []
         for text in texts_of(batch):
-            words = word_hashes(text)
+            words = word_hashes(text, known)
             found, held = [], []
             for size in sizes:
                 grams = gram_hashes(words, size)
@@ -128,18 +130,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def _align_rows(batches: Iterator[pa.RecordBatch], share: float, matched: int) -> Iterator[pa.RecordBatch]:
-    items = {}
+    items, known = {}, Words()
     for batch in batches:
-        rows, last = [], (None, None)
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        for doc_id, text, item_key, item_text, shift in zip(*columns):
-            if last[0] != text:
-                last = (text, word_hashes(text))
+        rows, words = [], None
+        texts, item_texts = batch.column(1), batch.column(3)
+        # candidates of a document come one after the other: its text leaves the batch once, however many they are
+        anew = [True, *pc.not_equal(texts[1:], texts[:-1]).to_pylist()] if len(texts) else []
+        doc_ids, item_keys, shifts = (batch.column(i).to_pylist() for i in (0, 2, 4))
+        for i, (doc_id, item_key, shift) in enumerate(zip(doc_ids, item_keys, shifts)):
+            if anew[i]:
+                words = word_hashes(texts[i].as_py(), known)
             if item_key not in items:
                 if len(items) >= ITEMS:
                     items.clear()
-                items[item_key] = word_hashes(item_text)
-            words, item = last[1], items[item_key]
+                items[item_key] = word_hashes(item_texts[i].as_py(), known)
+            item = items[item_key]
             reach = BAND + len(item) // 2
             lo = max(0, shift * BAND - reach)
             passage = words[lo:max(0, shift * BAND + BAND + len(item) + reach)]

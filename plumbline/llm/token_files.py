@@ -26,6 +26,7 @@ FILE_IDS, CHUNK = 1 << 23, 1 << 22
 #: Characters of a partition that fills a file or nearly so: the coder's cost of a step is shared by all blocks of a file.
 FILE_CHARS = FILE_IDS * 9 // 4
 FILES = "part int, seq int, n_ids long, doc_ids array<bigint>, sizes array<bigint>, data binary"
+#: A worker keeps the tokenizer, which is of fixed size; the pieces it has met are given back with each task.
 _WORKER: dict[str, tokenizer.Ids] = {}
 
 
@@ -52,17 +53,20 @@ def _files(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[p
                   pa.array([range_coder.encode(np.concatenate(ids))], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["part", "seq", "n_ids", "doc_ids", "sizes", "data"])
 
-    for batch in batches:
-        names, texts = batch.column(0).to_pylist(), texts_of(batch)
-        for lo, hi in _chunks(texts):
-            some, counts = _WORKER[path].rows(texts[lo:hi], end)
-            keys += names[lo:hi]
-            sizes.append(counts)
-            ids.append(some)
-            held += len(some)
-            if held >= FILE_IDS:
-                yield close()
-                keys, sizes, ids, held, seq = [], [], [], 0, seq + 1
+    try:
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), texts_of(batch)
+            for lo, hi in _chunks(texts):
+                some, counts = _WORKER[path].rows(texts[lo:hi], end)
+                keys += names[lo:hi]
+                sizes.append(counts)
+                ids.append(some)
+                held += len(some)
+                if held >= FILE_IDS:
+                    yield close()
+                    keys, sizes, ids, held, seq = [], [], [], 0, seq + 1
+    finally:
+        _WORKER[path].renew(0)
     if keys:
         yield close()
 
