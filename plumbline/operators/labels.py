@@ -49,6 +49,19 @@ def typed_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+def _case_side(kind: str, fact: str | None, other: str | None) -> tuple[Column, Column, Column]:
+    """What a case brings to a form of condition: the value, the second value, and whether the form can hold at all."""
+    given = F.try_element_at("facts", F.lit(fact)) if fact else F.lit(None).cast("double")
+    second = F.try_element_at("facts", F.lit(other)) if kind == "other" else F.lit(None).cast("double")
+    possible = {
+        "optional": given.isNotNull(),
+        "missing": F.array_contains("missing_documents", F.lit(other)),
+        "missing_with": F.array_contains("missing_documents", F.lit(other)),
+        "absent": ~F.array_contains("submitted_kinds", F.lit(other)),
+    }.get(kind, F.lit(True))
+    return F.coalesce(given, F.lit(0.0)), F.coalesce(second, F.lit(0.0)), possible
+
+
 def matched_rules(cases: DataFrame, rules: DataFrame) -> DataFrame:
     """(case columns, rule columns) for every rule that holds.
 
@@ -58,18 +71,8 @@ def matched_rules(cases: DataFrame, rules: DataFrame) -> DataFrame:
     """
     forms = []
     for number, (_, kind, fact, _, _, other) in enumerate(RULE_FORMS):
-        given = F.try_element_at("facts", F.lit(fact)) if fact else F.lit(None).cast("double")
-        second = F.try_element_at("facts", F.lit(other)) if kind == "other" else F.lit(None).cast("double")
-        possible = {
-            "optional": given.isNotNull(),
-            "missing": F.array_contains("missing_documents", F.lit(other)),
-            "missing_with": F.array_contains("missing_documents", F.lit(other)),
-            "absent": ~F.array_contains("submitted_kinds", F.lit(other)),
-        }.get(kind, F.lit(True))
-        forms.append(F.struct(
-            F.lit(number).alias("_form"), F.coalesce(given, F.lit(0.0)).alias("_value"), F.coalesce(second, F.lit(0.0)).alias("_second"),
-            possible.alias("_possible"),
-        ))
+        value, second, possible = _case_side(kind, fact, other)
+        forms.append(F.struct(F.lit(number).alias("_form"), value.alias("_value"), second.alias("_second"), possible.alias("_possible")))
     bound = F.when(F.col("kind") == "other", F.col("_second")).otherwise(F.col("threshold"))
     holds = (
         F.when(F.col("kind").isin("missing", "absent"), True)
@@ -79,26 +82,65 @@ def matched_rules(cases: DataFrame, rules: DataFrame) -> DataFrame:
     return met.join(typed_rules(rules), "_form").filter(holds).drop("_form", "_value", "_second", "_possible")
 
 
+#: What rules give to a case, and the column of the rules that it comes from.
+RULE_GIFTS = {"rule_gaps": "emits_gap", "rule_evidence": "evidence_keys", "rule_ids": "rule_id", "rule_bylaws": "bylaw_ids", "bylaw_evidence": "required"}
+
+
+def threshold_index(rules: DataFrame) -> DataFrame:
+    """One row with one map: per form of condition and gift, its items in the order of the thresholds from which a case gets them.
+
+    ``rules`` has rule_id, condition and the columns of RULE_GIFTS. Only the lowest threshold of an item counts (the highest for
+    "less than", whose signs are turned), so a list is as long as the form has different items, however many rules name them.
+    Conditions without a threshold give theirs from the start. The row is as large as the rule set, never as the cases.
+    """
+    typed = typed_rules(rules).filter(F.col("_form").isNotNull())
+    plain = F.col("kind").isin("missing", "absent", "other")
+    at = F.when(plain, F.lit(float("-inf"))).when(F.col("comparison") == ">", F.col("threshold")).otherwise(-F.col("threshold"))
+    as_list = lambda c: F.col(c) if rules.schema[c].dataType.typeName() == "array" else F.array(c)
+    gifts = [F.struct(F.lit(name).alias("gift"), as_list(column).alias("items")) for name, column in RULE_GIFTS.items()]
+    each = typed.select("_form", at.alias("at"), F.inline(F.array(*gifts))).select("_form", "gift", "at", F.explode("items").alias("item"))
+    first = each.filter("at is not null and item is not null").groupBy("_form", "gift", "item").agg(F.min("at").alias("at"))
+    lists = first.groupBy("_form", "gift").agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("items"))
+    return lists.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "_form", "gift"), "items"))).alias("index"))
+
+
+def _up_to(items: Column, reach: Column) -> Column:
+    return F.filter(items, lambda x: x["at"] < reach)
+
+
+def rule_gifts(cases: DataFrame, index: DataFrame) -> DataFrame:
+    """``cases`` with the union of gaps, evidence, ids and citations of all rules that hold: one look per form at the index.
+
+    The index is one value that every task gets; no rule is joined with a case, so nothing is shuffled. Of an item list a case takes
+    those up to its value, which the order of thresholds makes a prefix.
+    """
+    held = cases.withColumn("_index", index.scalar())
+    none = F.array().cast("array<string>")
+    found: dict[str, list[Column]] = {name: [] for name in RULE_GIFTS}
+    for number, (_, kind, fact, sign, _, other) in enumerate(RULE_FORMS):
+        value, second, possible = _case_side(kind, fact, other)
+        reach = value if sign == ">" else -value
+        holds = possible & ((value > second) if sign == ">" else (value < second)) if kind == "other" else possible
+        for name in RULE_GIFTS:
+            items = F.try_element_at("_index", F.lit(f"{number}:{name}"))
+            taken = _up_to(items, reach) if kind in ("number", "optional", "missing_with") else items
+            found[name].append(F.when(holds, F.transform(taken, lambda x: x["item"])))
+    together = lambda columns: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(c, none) for c in columns]))))
+    return held.select(*cases.columns, *[together(columns).alias(name) for name, columns in found.items()])
+
+
 def derive_labels(cases: DataFrame, rules: DataFrame, evidence_map: DataFrame) -> DataFrame:
     """Gold labels per case: sorted unique gaps, citations, evidence, redline range, stage-1 flags, source.
 
     Labels given with the row (``given_*`` arrays, when present) win if they are not empty. Lists are
-    bounded by the rule set, not by the data. Evidence is joined to the rules, so the cases are matched once.
+    bounded by the rule set, not by the data. The rules become an index of thresholds, at which a case looks once per form.
     """
     listed = rules.select("bylaw_ids").distinct().withColumn("bylaw_id", F.explode("bylaw_ids"))
     evidence = listed.join(evidence_map, "bylaw_id").groupBy("bylaw_ids").agg(F.collect_set("evidence_key").alias("required"))
-    hits = matched_rules(cases, rules.join(evidence, "bylaw_ids", "left"))
-    per_case = hits.groupBy("case_id").agg(
-        S.sorted_unique(F.collect_set("emits_gap")).alias("rule_gaps"),
-        F.array_distinct(F.flatten(F.collect_set("evidence_keys"))).alias("rule_evidence"),
-        F.array_sort(F.collect_set("rule_id")).alias("rule_ids"),
-        S.sorted_unique(F.array_compact(F.flatten(F.collect_set("bylaw_ids")))).alias("rule_bylaws"),
-        F.array_distinct(F.flatten(F.collect_set("required"))).alias("bylaw_evidence"),
-    )
+    joined = rule_gifts(cases, threshold_index(rules.join(evidence, "bylaw_ids", "left")))
+    for name in ("rule_gaps", "rule_bylaws"):
+        joined = joined.withColumn(name, S.sorted_unique(F.col(name)))
     none = F.array().cast("array<string>")
-    joined = cases.join(per_case, "case_id", "left")
-    for name in ("rule_gaps", "rule_evidence", "rule_ids", "rule_bylaws", "bylaw_evidence"):
-        joined = joined.withColumn(name, F.coalesce(name, none))
 
     def prefer(given: str, derived: Column) -> Column:
         if given not in cases.columns:

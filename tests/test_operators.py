@@ -135,6 +135,42 @@ def test_poisson_bootstrap_hands_groups_on(spark, monkeypatch):
         A.poisson_bootstrap_ci(df, ["g"], "v", ["case_id"], resamples=0)
 
 
+# --- rules ------------------------------------------------------------------------------------------------
+
+def rule_case(rng, i):
+    facts = {n: float(rng.choice([0, 1, 2, 4, 5, 7.5, 8, 12])) for n in {f for _, _, f, *_ in L.RULE_FORMS if f} | {"units_proposed"} if rng.random() < 0.8}
+    some = lambda names: [n for n in names if rng.random() < 0.4]
+    return f"c{i}", facts, some(["tree-assessment", "neighbour-notification", "x"]), some(["architectural-set", "energy-compliance-report"])
+
+
+@pytest.mark.parametrize("count", [60, 3000])
+def test_threshold_index_gives_what_the_matching_rules_give(spark, count):
+    rng = random.Random(3)
+    cases = [rule_case(rng, i) for i in range(25)]
+    rules = []
+    for i in range(count):
+        marker, kind, *_ = rng.choice(L.RULE_FORMS)
+        text = f"{marker} {rng.choice([0.5, 1, 2.5, 4, 7.5, 9])}" if kind in ("number", "optional") and rng.random() < 0.8 else marker
+        rules.append((f"R{i}", rng.choice([text, text, "no known condition"]), rng.choice([f"G{i % 7}", "", None]), [f"B{i % 5}"], [f"E{i % 9}", ""], [f"Q{i % 4}"] if i % 3 else None))
+    frame = spark.createDataFrame(cases, "case_id string, facts map<string,double>, missing_documents array<string>, submitted_kinds array<string>")
+    table = spark.createDataFrame(rules, "rule_id string, condition string, emits_gap string, bylaw_ids array<string>, evidence_keys array<string>, required array<string>")
+    want = {c[0]: {name: set() for name in L.RULE_GIFTS} for c in cases}
+    for r in L.matched_rules(frame, table).collect():
+        for name, column in L.RULE_GIFTS.items():
+            items = r[column] if isinstance(r[column], list) else [r[column]]
+            want[r["case_id"]][name] |= {x for x in items if x is not None}
+    got = L.rule_gifts(frame, L.threshold_index(table))
+    assert {r["case_id"]: {name: r[name] for name in L.RULE_GIFTS} for r in got.collect()} == {c: {n: sorted(x) for n, x in names.items()} for c, names in want.items()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("Subquery")[0]
+
+
+def test_no_rules_give_nothing(spark):
+    frame = spark.createDataFrame([("c", {"units_proposed": 9.0}, [], None)], "case_id string, facts map<string,double>, missing_documents array<string>, submitted_kinds array<string>")
+    table = spark.createDataFrame([], "rule_id string, condition string, emits_gap string, bylaw_ids array<string>, evidence_keys array<string>, required array<string>")
+    assert L.rule_gifts(frame, L.threshold_index(table)).first()["rule_ids"] == []
+
+
 # --- similarity ------------------------------------------------------------------------------------------
 
 def scenarios(count: int, cards: int, seed: int, copies: float = 0.3) -> list[tuple[str, str, str, str]]:
