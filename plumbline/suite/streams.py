@@ -9,6 +9,7 @@ from plumbline import values as V
 from plumbline.functions import scalar as S
 from plumbline.session import read_table, work_dir
 from plumbline.streaming import agent_events as A
+from plumbline.streaming import run_state as R
 from plumbline.suite.inputs import AGENTS, choose
 from plumbline.suite.registry import load, query
 
@@ -91,6 +92,14 @@ def run_state_after_restart(spark: SparkSession, root: str) -> DataFrame:
     return table.read().select("run_id", "agent_id", "status", "last_seq")
 
 
+@query("run_state_expiring", f"with {FOLD_SQL} select {', '.join(FOLDED)} from f")
+def run_state_expiring(spark: SparkSession, root: str) -> DataFrame:
+    """SM2 in Spark's state store, where ended runs expire."""
+    out = work_dir(spark, "agents")
+    R.stream_to(R.fold_runs(event_stream(spark, root), keep="60 days"), out, work_dir(spark, "checkpoint")).awaitTermination()
+    return R.latest_agents(spark.read.parquet(out)).select(*FOLDED)
+
+
 RUN_SQL = f"""
  with {FOLD_SQL}
  select run_id, case when bool_or(status = 'failed') then 'failed' when bool_and(status = 'done') and count(*) = 6 then 'done' when bool_or(status in ('running', 'done')) then 'running' else 'queued' end as run_status,
@@ -103,20 +112,36 @@ def run_status(spark: SparkSession, root: str) -> DataFrame:
     return A.run_status(A.fold_agents(load(spark, root, "fx_agent_event"))).select("run_id", "run_status", "agents_seen")
 
 
-@query("snapshot_and_increments", f"""
+SNAPSHOT_SQL = f"""
  with cut as (select run_id, agent_id, seq, {STATUS_SQL} as st from fx_agent_event), half as (select run_id, max(seq) as hi, min(seq) as lo from cut group by 1),
  snap as (select c.run_id, c.agent_id, max_by(st, seq) as status, max(seq) as last_seq from cut c join half h using (run_id) where seq <= (lo + hi) / 2 group by 1, 2),
  runs as (select run_id, case when bool_or(status = 'failed') then 'failed' when bool_and(status = 'done') and count(*) = 6 then 'done' else 'open' end as rs, max(last_seq) as upto from snap group by 1)
  select run_id, 'snapshot' as kind, last_seq as seq, agent_id, status from snap union all
- select c.run_id, 'increment', c.seq, c.agent_id, c.st from cut c join runs r using (run_id) where r.rs = 'open' and c.seq > r.upto""")
+ select c.run_id, 'increment', c.seq, c.agent_id, c.st from cut c join runs r using (run_id) where r.rs = 'open' and c.seq > r.upto"""
+
+
+def run_snapshot(events: DataFrame) -> DataFrame:
+    """Agent states and run status half way through each run."""
+    half = events.groupBy("run_id").agg(((F.min("seq") + F.max("seq")) / 2).alias("middle"))
+    agents = A.fold_agents(events.join(half, "run_id").filter("seq <= middle"))
+    return agents.join(A.run_status(agents).select("run_id", "run_status"), "run_id")
+
+
+@query("snapshot_and_increments", SNAPSHOT_SQL)
 def snapshot_and_increments(spark: SparkSession, root: str) -> DataFrame:
     """SM4."""
     events = load(spark, root, "fx_agent_event")
-    half = events.groupBy("run_id").agg(((F.min("seq") + F.max("seq")) / 2).alias("middle"))
-    early = events.join(half, "run_id").filter("seq <= middle")
-    agents = A.fold_agents(early)
-    snapshot = agents.join(A.run_status(agents).select("run_id", "run_status"), "run_id")
-    return A.snapshot_then_increments(snapshot, events)
+    return A.snapshot_then_increments(run_snapshot(events), events)
+
+
+@query("snapshot_and_increments_stream", SNAPSHOT_SQL)
+def snapshot_and_increments_stream(spark: SparkSession, root: str) -> DataFrame:
+    """SM4 as one stream: the snapshot is the first state of the operator that passes the increments on."""
+    snapshot, out = run_snapshot(load(spark, root, "fx_agent_event")), work_dir(spark, "increments")
+    R.stream_to(R.follow_runs(event_stream(spark, root), snapshot), out, work_dir(spark, "checkpoint")).awaitTermination()
+    first = snapshot.select("run_id", F.lit("snapshot").alias("kind"), F.col("last_seq").alias("seq"), "agent_id", "status")
+    later = spark.read.schema("run_id string, seq bigint, agent_id string, status string").parquet(out)
+    return first.unionByName(later.select("run_id", F.lit("increment").alias("kind"), "seq", "agent_id", "status"))
 
 
 @query("run_failure_marks", f"""
