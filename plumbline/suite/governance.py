@@ -332,8 +332,8 @@ def a11(spark: SparkSession, root: str) -> DataFrame:
 
 # --- A12, A24, distributions -----------------------------------------------------------------------------------------------------
 
-def shares_sql(source: str, where: str, checks: dict[str, tuple[str, dict]], generator: bool) -> str:
-    low, high = V.BOUNDS["edge_ratio"]
+def shares_sql(source: str, where: str, checks: dict[str, tuple[str, dict]], generator: bool, limits: dict = V.BOUNDS) -> str:
+    low, high = limits["edge_ratio"]
     parts = [f"""select domain, split, 'edge_ratio' as check, cast(null as string) as value, ratio as share from
       (select domain, split, avg(case when coalesce(edge_case_family, '_none_') <> '_none_' then 1.0 else 0.0 end) as ratio from {source} where {where} group by 1, 2)
       where ratio < {low} or ratio > {high}"""]
@@ -346,7 +346,7 @@ def shares_sql(source: str, where: str, checks: dict[str, tuple[str, dict]], gen
     if generator:
         parts.append(f"""select domain, split, 'generator', generator_id, share from (
           select domain, split, generator_id, count(*) * 1.0 / sum(count(*)) over (partition by domain, split) as share, 1.0 / count(*) over (partition by domain, split) as expected
-          from {source} where {where} group by 1, 2, 3) where abs(share - expected) > {V.BOUNDS['generator_tolerance']}""")
+          from {source} where {where} group by 1, 2, 3) where abs(share - expected) > {limits['generator_tolerance']}""")
         for check, column in (("gap_severity_degenerate", "gap_severity_bucket"), ("stage1_degenerate", "stage1_complete")):
             parts.append(f"""select domain, split, '{check}', cast(min({column}) as string), null from {source} where {where}
               group by domain, split having count(distinct {column}) = 1 and count(*) > 1""")

@@ -82,22 +82,22 @@ def score_breakdowns(spark: SparkSession, root: str) -> DataFrame:
 # --- bootstrap: the oracle walks the whole draw stream in SQL ---------------------------------------------------
 
 def bootstrap_sql(source: str, by: str, value: str, resamples: int) -> str:
-    """Draws as unsigned 32-bit arithmetic over a range of draw numbers."""
+    """Draws as unsigned 32-bit arithmetic over a range of draw numbers; groups of equal size share their draws."""
     mul = lambda a, b: f"(({a})::hugeint * ({b})::hugeint) % 4294967296"
     keys = f"{by}," if by else ""
-    same = " and ".join([f"v.{k.strip()} = d.{k.strip()}" for k in by.split(",")] + ["v.pos = d.pos"]) if by else "v.pos = d.pos"
+    same = " and ".join(f"v.{k.strip()} = s.{k.strip()}" for k in by.split(",")) if by else "true"
     group = f"group by {by}" if by else ""
-    n_keys = f"n.{', n.'.join(k.strip() for k in by.split(','))}," if by else ""
-    d_keys = f"d.{', d.'.join(k.strip() for k in by.split(','))}," if by else ""
+    v_keys = f"v.{', v.'.join(k.strip() for k in by.split(','))}," if by else ""
     return f"""
  vec as (select {keys} {value} as x, row_number() over ({f"partition by {by}" if by else ""} order by case_id) - 1 as pos from {source}),
  sizes as (select {keys} count(*) as n, avg(x) as mean from vec {group}),
- r0 as (select {n_keys} n.n, unnest(range(0, n.n * {resamples})) as d from sizes n),
+ r0 as (select n, unnest(range(0, n * {resamples})) as d from (select distinct n from sizes)),
  r1 as (select *, ((4242 + (d + 1)::hugeint * 1831565813) % 4294967296)::ubigint as s from r0),
  r2 as (select *, ({mul("xor(s, s >> 15)", "s | 1")})::ubigint as a from r1),
  r3 as (select *, xor(a, ((a + ({mul("xor(a, a >> 7)", "a | 61")})) % 4294967296)::ubigint) as b from r2),
- draws as (select *, d // n as r, floor(xor(b, b >> 14)::double / 4294967296.0 * n)::bigint as pos from r3),
- means as (select {d_keys} d.r, sum(v.x) / any_value(d.n) as m from draws d join vec v on {same} group by {d_keys} d.r),
+ draws as (select n, d // n as r, floor(xor(b, b >> 14)::double / 4294967296.0 * n)::bigint as pos from r3),
+ sized as (select v.*, s.n from vec v join sizes s on {same}),
+ means as (select {v_keys} d.r, sum(v.x) / any_value(d.n) as m from draws d join sized v on v.n = d.n and v.pos = d.pos group by {v_keys} d.r),
  edges as (select {keys} quantile_cont(m, 0.025) as lower, quantile_cont(m, 0.975) as upper from means {group})"""
 
 
@@ -203,14 +203,14 @@ def paired_completeness(spark: SparkSession, root: str) -> DataFrame:
 @query("split_aggregate", f"""
  with s as (select metric, c.domain, c.split, c.case_id, raw, branch from ({LONG_SQL}) x join fx_case c using (case_id)),
  rows_ as (select metric, domain, split, case_id, raw as x from s where raw is not null),
- {bootstrap_sql("rows_", "domain, split, metric", "x", 100)}
+ {bootstrap_sql("rows_", "domain, split, metric", "x", V.BOOTSTRAP_RESAMPLES)}
  select s.domain, s.split, s.metric, round(avg(s.raw), 6) as mean, count(*) as count, count(*) - count(s.raw) as null_count,
    round(any_value(e.lower), 6) as lower, round(any_value(e.upper), 6) as upper, count_if(s.branch = 'standard') as standard_n
  from s join edges e on e.domain = s.domain and e.split = s.split and e.metric = s.metric group by 1, 2, 3""")
 def split_aggregate(spark: SparkSession, root: str) -> DataFrame:
     scores = M.score_cases(package(spark, root), dimensions(spark, root), SHOWN)
     scores = scores.select(*[F.round(c, 9).alias(c) if c in SHOWN else F.col(c) for c in scores.columns])
-    out = A.split_aggregate(scores, SHOWN, resamples=100)
+    out = A.split_aggregate(scores, SHOWN)
     return out.select(
         "domain", "split", "metric", *[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")], "count", "null_count",
         F.col("missingness")["standard"].alias("standard_n"),
