@@ -374,6 +374,17 @@ def coverage_matrix(cases: DataFrame) -> DataFrame:
     return grid.join(counted, ["domain", "family"], "left").fillna(0, subset=V.SPLITS)
 
 
+def inventory(cases: DataFrame, files: DataFrame, rules: DataFrame, few_shots: DataFrame) -> DataFrame:
+    """Per domain: cases of every split, corpus files, rules and few-shots; a domain that any of them names is listed.
+
+    One pass over all four, folded map-side to one row a domain and kind. ``few_shots`` needs domain and few_shot_id, each once.
+    """
+    kinds = [(cases, F.col("split")), (files, F.lit("corpus_files")), (rules, F.lit("rules")), (few_shots, F.lit("few_shots"))]
+    rows = union_all([df.select("domain", kind.alias("kind")) for df, kind in kinds])
+    counts = {**{s: s for s in V.SPLITS}, **{k: k for k in ("corpus_files", "rules", "few_shots")}}
+    return rows.groupBy("domain").agg(*[F.count_if(F.col("kind") == kind).alias(name) for kind, name in counts.items()])
+
+
 def few_shot_domains(few_shots: DataFrame, cases: DataFrame) -> DataFrame:
     """(few_shot_id, domain) through the parents; without a known parent the only domain, else "unknown"."""
     parents = few_shots.select("few_shot_id", F.explode("inspired_by_train_case_ids").alias("case_id"))

@@ -584,15 +584,32 @@ def few_shot_counts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query("all_domains", """
- select lower(c_mktsegment) as domain from customer union select lang from documents union select lower(p_type) from part union select lower(n_name) from nation
- union select lower(r_name) from region""")
+DOMAIN_INPUTS = [
+    "select lower(c_mktsegment) as domain from customer", "select lang as domain from documents", "select lower(p_type) as domain from part",
+    "select lower(n_name) as domain from nation", "select lower(r_name) as domain from region", "select source as domain from documents",
+    "select split_part(split_part(url, '//', 2), '/', 1) as domain from pages", "select event_type as domain from events",
+]
+
+
+@query("all_domains", " union ".join(DOMAIN_INPUTS))
 def all_domains(spark: SparkSession, root: str) -> DataFrame:
+    """AG20: eight inputs."""
+    return G.all_domains(*[load(spark, root, sql) for sql in DOMAIN_INPUTS])
+
+
+INVENTORY_FILES = "select lower(p_type) as domain, p_partkey from part where p_size > 25"
+INVENTORY_RULES = "select distinct lower(p_type) as domain, concat('RULE-', p_brand) as rule_id from part"
+INVENTORY_SHOTS = "select distinct c.domain, f.few_shot_id from fx_few_shot f join fx_case c on c.case_id = f.case_id"
+
+
+@query("inventory", f"""
+ with r as (select domain, split as kind from fx_case union all select domain, 'corpus_files' from ({INVENTORY_FILES}) union all
+   select domain, 'rules' from ({INVENTORY_RULES}) union all select domain, 'few_shots' from ({INVENTORY_SHOTS}))
+ select domain, {", ".join(f'count(*) filter (where kind = ' + repr(k) + f') as "{k}"' for k in [*V.SPLITS, "corpus_files", "rules", "few_shots"])} from r group by domain""")
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """DQR: what the report counts per domain."""
     t = lambda sql: load(spark, root, sql)
-    return G.all_domains(
-        t("select lower(c_mktsegment) as domain from customer"), t("select lang as domain from documents"), t("select lower(p_type) as domain from part"),
-        t("select lower(n_name) as domain from nation"), t("select lower(r_name) as domain from region"),
-    )
+    return G.inventory(t("fx_case"), t(INVENTORY_FILES), t(INVENTORY_RULES), t(INVENTORY_SHOTS))
 
 
 @query("id_pool_union_except", """

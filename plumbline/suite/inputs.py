@@ -4,6 +4,10 @@ Cases come from orders, citations, gaps and flags from lineitem, texts from docu
 events. Arrays of a case are long tables, ordered by explicit positions.
 """
 
+from plumbline.values import AGENTS, PATHWAYS
+from plumbline.values import GAP_SEVERITIES as SEVERITIES
+from plumbline.values import SUPPORT_FLAGS as FLAGS
+
 
 def case_key(column: str) -> str:
     return f"concat('case-', lpad(cast({column} as string), 9, '0'))"
@@ -14,22 +18,12 @@ def choose(index: str, values: list[str]) -> str:
     return f"case {index} {whens} end"
 
 
-PATHWAYS = ["as-of-right-ssmuh", "discretionary", "heritage", "tod-overlap", "floodplain", "specialist-required", "out-of-scope"]
-SEVERITIES = ["none", "minor-single", "minor-multi", "major-single", "major-multi", "blocking"]
 APPLICANTS = ["owner-builder"] * 4 + ["developer"] * 3 + ["agent-of-record", "architect-of-record", "first-time-applicant", "_unknown_"]
 GAPS = [
     "gap-fsr-over", "gap-height-over", "gap-units-over", "gap-rear-setback-short",
     "gap-parking-short", "gap-tree-assessment-missing", "gap-neighbour-notification-missing",
 ]
-FLAGS = [
-    "jargon-density-high", "required-vs-optional-unclear", "missing-document-specificity-low", "next-step-ambiguous",
-    "first-time-applicant-tone-mismatch", "numeric-gap-not-quantified", "bylaw-citation-leaked-to-applicant",
-]
 DOCUMENTS = ["tree-assessment", "site-survey-bcls", "energy-report", "neighbour-notification"]
-AGENTS = [
-    "scope-pathway-classifier", "bylaw-retriever", "compliance-evidence-compiler",
-    "redline-generator", "completeness-applicant-support-auditor", "pre-review-memo-writer",
-]
 LINE_ORDER = "partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
 BRAND = "concat('BR-N', substr(p_brand, 7))"
 LINE_GAP = choose("l_linenumber - 1", GAPS)
