@@ -87,7 +87,7 @@ RULE_GIFTS = {"rule_gaps": "emits_gap", "rule_evidence": "evidence_keys", "rule_
 
 
 def threshold_index(rules: DataFrame) -> DataFrame:
-    """One row with one map: per form of condition and gift, its items in the order of the thresholds from which a case gets them.
+    """One row with one list: per form of condition and gift, its items in the order of the thresholds from which a case gets them.
 
     ``rules`` has rule_id, condition and the columns of RULE_GIFTS. Only the lowest threshold of an item counts (the highest for
     "less than", whose signs are turned), so a list is as long as the form has different items, however many rules name them.
@@ -101,7 +101,12 @@ def threshold_index(rules: DataFrame) -> DataFrame:
     each = typed.select("_form", at.alias("at"), F.inline(F.array(*gifts))).select("_form", "gift", "at", F.explode("items").alias("item"))
     first = each.filter("at is not null and item is not null").groupBy("_form", "gift", "item").agg(F.min("at").alias("at"))
     lists = first.groupBy("_form", "gift").agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("items"))
-    return lists.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "_form", "gift"), "items"))).alias("index"))
+    by_name = lists.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "_form", "gift"), "items"))).alias("named"))
+    return by_name.select(F.array(*[F.try_element_at("named", F.lit(name)) for name in _index_names()]).alias("index"))
+
+
+def _index_names() -> list[str]:
+    return [f"{number}:{gift}" for number in range(len(RULE_FORMS)) for gift in RULE_GIFTS]
 
 
 def _up_to(items: Column, reach: Column) -> Column:
@@ -116,13 +121,14 @@ def rule_gifts(cases: DataFrame, index: DataFrame) -> DataFrame:
     """
     held = cases.withColumn("_index", index.scalar())
     none = F.array().cast("array<string>")
+    places = {name: i for i, name in enumerate(_index_names())}
     found: dict[str, list[Column]] = {name: [] for name in RULE_GIFTS}
     for number, (_, kind, fact, sign, _, other) in enumerate(RULE_FORMS):
         value, second, possible = _case_side(kind, fact, other)
         reach = value if sign == ">" else -value
         holds = possible & ((value > second) if sign == ">" else (value < second)) if kind == "other" else possible
         for name in RULE_GIFTS:
-            items = F.try_element_at("_index", F.lit(f"{number}:{name}"))
+            items = F.get("_index", F.lit(places[f"{number}:{name}"]))
             taken = _up_to(items, reach) if kind in ("number", "optional", "missing_with") else items
             found[name].append(F.when(holds, F.transform(taken, lambda x: x["item"])))
     together = lambda columns: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(c, none) for c in columns]))))
