@@ -15,10 +15,11 @@ from plumbline.llm.common import map_arrow, text_columns, written
 from plumbline.llm.components import connected_components
 
 WORDS, SEED, DISTANCE = 3, 42, 3
-#: Blocks and how many of them a key takes: with at most three differing bits, three of six (and five of eight) blocks agree.
-COARSE, FINE = (6, 3), (8, 3)
-#: The rest of a fine key is at most three blocks of four bits, so a fine bucket holds at most so many different fingerprints.
-BUCKET = 4096
+#: Blocks and how many of them a key leaves out, coarse to fine: three differing bits spoil at most three blocks. The keys leave
+#: 32, 24 and 12 bits open.
+LEVELS = ((6, 3), (8, 3), (16, 3))
+#: A key of the last level leaves three blocks of four bits open, so its bucket holds at most so many different fingerprints.
+BUCKET = 1 << 12
 STRIPE = 1 << 16
 
 
@@ -107,15 +108,22 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         part, key, fp = part[cut:], key[cut:], fp[cut:]
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect all different fingerprints within the distance, never more than one per key row.
 
-    Buckets of coarse keys that hold over BUCKET fingerprints hand their members to fine keys, whose buckets cannot.
+    A bucket with over ``bucket`` fingerprints hands its members to the keys of the next level. Two close members share a key
+    on every level: they meet in a bucket that is kept, or both go on. Buckets of the last level are all kept; they hold at
+    most BUCKET.
     """
-    keyed = _keys(fps.select("fp").distinct(), COARSE, 0)
-    crowded = written(keyed.groupBy("part", "key").count().where(F.col("count") > BUCKET).drop("count"), "crowded")
-    finer = _keys(keyed.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), FINE, len(_masks(*COARSE)))
-    rows = keyed.join(crowded, ["part", "key"], "left_anti").select("part", "key", "fp").unionByName(finer.select("part", "key", "fp"))
+    rows, members, first = None, fps.select("fp").distinct(), 0
+    for level in LEVELS[:-1]:
+        keyed = _keys(members, level, first)
+        crowded = written(keyed.groupBy("part", "key").count().where(F.col("count") > bucket).drop("count"), "crowded")
+        kept = keyed.join(crowded, ["part", "key"], "left_anti").select("part", "key", "fp")
+        rows = kept if rows is None else rows.unionByName(kept)
+        members = written(keyed.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), "members")
+        first += len(_masks(*level))
+    rows = rows.unionByName(_keys(members, LEVELS[-1], first).select("part", "key", "fp"))
     dealt = rows.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
     return map_arrow(dealt, "a long, b long", _bucket_links)
 

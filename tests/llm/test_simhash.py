@@ -7,8 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
-from plumbline.llm.simhash import document_fingerprints, fingerprint_links, simhash_components
+from plumbline.llm.simhash import BUCKET, LEVELS, _masks, document_fingerprints, fingerprint_links, simhash_components
 from plumbline.llm.components import connected_components
 from plumbline.llm.stages import near_duplicates
 
@@ -56,21 +55,31 @@ def test_against_brute_force(table, prose):
     assert [got[i].component_id for i in range(len(texts))] == brute_components(values)
 
 
-@pytest.mark.parametrize("bucket", [4096, 8])
-def test_crowded_buckets_lose_no_link(spark, monkeypatch, bucket):
-    """A chain of fingerprints two bits apart in one corner, more than a coarse bucket may hold."""
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+@pytest.mark.parametrize("bucket", [4096, 8, 1])
+def test_crowded_buckets_lose_no_link(spark, bucket):
+    """A chain of fingerprints two bits apart in one corner, more than a bucket may hold; at 1 all go to the last level."""
     pick = random.Random(3)
     base = pick.getrandbits(64)
     values = sorted({base ^ pick.getrandbits(5) ^ (pick.getrandbits(3) << 40) for _ in range(60)} | {pick.getrandbits(64) for _ in range(40)})
     frame = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "fp long")
-    root = {r.node: r.root for r in connected_components(fingerprint_links(frame)).collect()}
+    root = {r.node: r.root for r in connected_components(fingerprint_links(frame, bucket)).collect()}
     signed = [int(np.uint64(v).astype(np.int64)) for v in values]
     want = brute_components(values)
     groups = lambda labels: sorted(sorted(i for i, x in enumerate(labels) if x == y) for y in set(labels))
     assert groups([root.get(s, s) for s in signed]) == groups(want)
 
 
+def test_open_bits_of_the_levels():
+    """Keys of every level agree for three differing bits, and the last leaves open no more than a bucket."""
+    pick = random.Random(9)
+    for level in LEVELS:
+        masks = [m % (1 << 64) for m in _masks(*level)]
+        for _ in range(200):
+            differing = sum(1 << b for b in pick.sample(range(64), 3))
+            assert any(m & differing == 0 for m in masks)
+    assert {1 << (64 - m.bit_count()) for m in masks} == {BUCKET}
+
+
 def test_odd_rows(table, odd_rows):
     docs = table(*odd_rows).withColumn("fp", F.lit("clash")).withColumn("key", F.lit(1))
     rows = simhash_components(docs).collect()
