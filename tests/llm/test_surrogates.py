@@ -7,7 +7,7 @@ import regex
 from pyspark.sql import functions as F
 
 from plumbline.llm import surrogates
-from plumbline.llm.surrogates import PATTERNS, with_surrogates
+from plumbline.llm.surrogates import NAMES, PATTERNS, with_surrogates
 
 TEXTS = [
     "Write to jane.doe@mail7.example.com or +1 (017) 555-7713, not jane.doe@mail7.example.com.",
@@ -51,6 +51,62 @@ def test_coreference(table):
     assert cleaned(table, TEXTS, "other")[0].clean_text != got[0].clean_text
 
 
+def test_numbers_without_country_code_and_long_addresses(table):
+    texts = [
+        "call 212-555-0147, 212.555.0148, 06 12 34 56 78, 030 1234567 or 020 7946 0958 now",
+        "call +493012345678 or +1 212 555 0199 or +380 44 123 4567 now",
+        "hosts 2001:db8::8a2e:370:7334 and 2001:0DB8:0000:0000:0000:8A2E:0370:7335 and fe80::1 up",
+        "at 12:30:45 in 2024-01-02, std::vector, a::b, cafe:babe, 1.2.3, 100 200 3000, 5-10-15, 00:1b:44:11:3a:b7",
+    ]
+    got = cleaned(table, texts)
+    assert [got[i].n_found for i in range(4)] == [5, 3, 3, 0]
+    shape = lambda t: re.sub("[A-F]", "A", re.sub("[a-f]", "a", re.sub(r"\d", "0", t)))
+    for i in (0, 1, 2):
+        assert len(got[i].clean_text) == len(texts[i])
+    assert shape(got[0].clean_text) == shape(texts[0])
+    assert re.fullmatch(r"call \+49\d{10} or \+1 \d{3} \d{3} \d{4} or \+380 \d\d \d{3} \d{4} now", got[1].clean_text)
+    for old, new in zip(texts[2].split()[1:6:2], got[2].clean_text.split()[1:6:2]):
+        assert old != new and re.fullmatch("[0-9A-Fa-f:]+", new) and [len(g) for g in old.split(":")] == [len(g) for g in new.split(":")]
+
+
+def test_persons_by_title_list_and_bare_surname(table):
+    texts = [
+        "Keller came early. Dr. Anna Keller and Prof. Dr. Xaver Braun met; Braun spoke, Keller's notes and Kellermann stayed.",
+        "Keller is a word of this text.",
+        "Mme Xaver Braun and Dr. Xaver Braun",
+        "Count Orlok and Nosferatu Orlok",
+    ]
+    got = cleaned(table, texts)
+    assert [got[i].n_found for i in range(4)] == [5, 0, 2, 0]
+    m = re.fullmatch(r"(\w+) came early\. Dr\. (\w+a) (\w+) and Prof\. Dr\. (\w+a) (\w+) met; (\w+) spoke, (\w+)'s notes and Kellermann stayed\.", got[0].clean_text)
+    assert m and m[1] == m[3] == m[7] != "Keller" and m[5] == m[6] != "Braun"
+    assert got[1].clean_text == texts[1]
+    n = re.fullmatch(r"Mme (\w+) (\w+) and Dr\. (\w+) (\w+)", got[2].clean_text)
+    assert n and n[1] == n[3] == m[4] and n[2] == n[4] == m[5]
+    more = NAMES.extended(neutral_titles=["Count"], male_names=["Nosferatu"])
+    other = {r.row.doc_id: r.clean_text for r in with_surrogates(table(texts), "k", more).collect()}
+    c = re.fullmatch(r"Count (\w+) and (\w+en) (\w+)", other[3])
+    assert c and c[1] == c[3] != "Orlok" and other[1] == texts[1]
+
+
+def test_check_digits_and_scripts(table):
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    texts = [f"to {i} now" for i in ibans] + ["card 4111 1111 1111 1111 and 4111111111111112", "почта иван.петров@пример.рф и ok"]
+    got = cleaned(table, texts)
+    for i, old in enumerate(ibans):
+        new = got[i].clean_text[3:-4]
+        moved = new.replace(" ", "")[4:] + new[:4]
+        assert new != old and new[:2] == old[:2] and len(new) == len(old) and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+    def luhn(card):
+        digits = [int(c) for c in reversed(card) if c.isdigit()]
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10
+
+    right, _ = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", got[3].clean_text).groups()
+    assert luhn(right) == 0 and right != "4111 1111 1111 1111"
+    assert re.fullmatch(r"почта [а-я]{4}\.[а-я]{6}@[а-я]{6}\.рф и ok", got[4].clean_text)
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     """Three-digit entities: hundreds of a thousand values, so first draws collide, with each other and with entities."""
     rows = [("ssn", f"{i:03}") for i in range(0, 600)]
