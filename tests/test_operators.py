@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 from collections import Counter
 
@@ -249,6 +250,49 @@ def test_near_cases_are_counted_without_pairs(spark, gaps):
     assert got == want
 
 
+@pytest.mark.parametrize("crowded", [200_000, 3])
+def test_partners_are_counted_with_one_row_per_block(spark, crowded, monkeypatch):
+    """A scenario is dealt once per block of facts, not once per set of facts; crowded groups give the same."""
+    rows = with_gaps(scenarios(150, 3, 29))
+    names = [f for i, f in enumerate(V.FACTS) if i < 7]
+    rows = [(*head, "vec:" + "|".join(f for f in facts(text) if f.split("=")[0] in names)) for *head, text in rows]
+    dealt, real = [], N._dealt
+
+    def counting(everyone, *options):
+        for part, nodes, last in real(everyone, *options):
+            dealt.append((part.count(), last))
+            yield part, nodes, last
+
+    monkeypatch.setattr(N, "_dealt", counting)
+    pool = N.distinct_scenarios(spark.createDataFrame(rows, SCHEMA), [], names)
+    got = Counter()
+    for r in N.partner_counts(pool, 2, [], names, crowded).collect():
+        got[r["scenario_fingerprint"], r["split"], r["changes"], r["named"]] += r["partners"]
+    want = Counter()
+    for a in {r[2:] for r in rows}:
+        for b in rows:
+            one, other = ({f for f in facts(x) if f} for x in (a[1], b[3]))
+            keys = {f.split("=")[0] for f in one | other}
+            changes = len({f.split("=")[0] for f in one ^ other})
+            if a[0] != b[2] and changes <= 2:
+                want[a[1], a[0], changes, len(keys)] += 1
+    assert got == want
+    if crowded > 150:
+        assert [n for n, _ in dealt] == [3 * pool.count()]
+    else:
+        assert any(last and n for n, last in dealt)
+
+
+def test_every_set_of_facts_belongs_to_one_node():
+    def leaves(node):
+        below = N._children(node, 8, 3)
+        return [x for child in below for x in leaves(child)] if below else [node]
+
+    for nodes in (N._children(N.Node((), ()), 8, 3), leaves(N.Node((), ()))):
+        met = Counter(c for node in nodes for c in N._choices(node, 8, 3))
+        assert len(met) == sum(math.comb(8, j) for j in range(4)) and set(met.values()) == {1}
+
+
 def test_near_cases_of_a_pool_without_any(spark):
     rows = [(f"c{i}", "d", V.SPLITS[i % 4], "vec:" + "|".join(f"{n}={i}" for n in V.FACTS)) for i in range(30)]
     assert N.near_cases(spark.createDataFrame(rows, SCHEMA)).count() == 0
