@@ -325,6 +325,19 @@ def test_jaccard_pairs_equal_brute_force(spark, floor, keys):
     assert {(r["fingerprint_a"], r["split_a"], r["fingerprint_b"], r["split_b"]): (r["distance"], r["case_pairs"]) for r in out} == want and len(out) == len(want)
 
 
+def test_jaccard_keys_carry_numbers_alone(spark, monkeypatch):
+    """Many rows per scenario are written for the keys; texts and tokens stay with the scenarios."""
+    written, real = {}, N._written
+
+    def noting(frame, purpose):
+        written[purpose] = [t for _, t in frame.dtypes]
+        return real(frame, purpose)
+
+    monkeypatch.setattr(N, "_written", noting)
+    assert N.jaccard_violations(spark.createDataFrame(scenarios(60, 2, 31), SCHEMA)).count()
+    assert set(written["met-keys"]) == {"bigint"}
+
+
 def test_counted_join_takes_heavy_keys_by_broadcast(spark):
     left = spark.range(5000).selectExpr("if(id < 3000, 0, id % 900) as key", "id")
     right = left.groupBy("key").agg(F.count("*").alias("n")).filter("key <> 7").withColumn("name", F.concat(F.lit("k"), "key"))
