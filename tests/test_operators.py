@@ -500,6 +500,13 @@ def test_corpus_files_and_receipts(spark, tmp_path):
     assert jsonl.read_json_doc(spark, str(tmp_path / "none.json")) is None
 
 
+def test_a_receipt_row_has_one_finding_however_often_its_path_is_listed(spark):
+    receipt = spark.createDataFrame([("a", "x"), ("a", "0"), ("b", "x"), ("c", "y"), ("d", "x")], "path string, sha256 string")
+    actual = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "x"), ("b", "x"), ("b", "z"), ("c", "y")], "path string, sha256 string")
+    found = [tuple(r) for r in G.receipt_mismatches(receipt, actual).select("path", "sha256", "actual", "problem").collect()]
+    assert sorted(found, key=str) == [("a", "0", "x", "mismatch"), ("b", "x", "z", "mismatch"), ("d", "x", None, "missing")]
+
+
 def test_duplicate_key_is_an_error(spark):
     dim = docs.corpus_dim(spark.createDataFrame([("p", ["A", "B"]), ("q", ["A"])], "path string, bylaw_ids array<string>"))
     with pytest.raises(ValueError, match="A"):
