@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +19,24 @@ def read_corpus(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
     )
 
 
+#: Longest text of a bundle that is read back; the limit of a row, not that of the JSON reader.
+MAX_TEXT = (1 << 31) - 1
+
+
+def write_bundles(files: DataFrame, root: str, by: Sequence[str] = ()) -> None:
+    """Writes (path, content) rows below a folder as bundles: JSON lines with many small files each.
+
+    A task writes one bundle per value of ``by``, so bundles and folders grow with the bytes and not with the files.
+    """
+    files.select("path", "content", *by).write.partitionBy(*by).json(root)
+
+
+def read_bundles(spark: SparkSession, root: str, suffix: str = ".json") -> DataFrame:
+    """(path, content) of all files in the bundles below a folder; a line that is no such file is an error."""
+    reader = spark.read.schema("path string, content string").option("mode", "FAILFAST").option("maxStringLen", MAX_TEXT)
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").json(root)
+
+
 def file_hashes(spark: SparkSession, root: str) -> DataFrame:
     """(path, sha256) of all files below a folder."""
     return (

@@ -7,6 +7,7 @@ import json
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from plumbline.session import work_dir
 from plumbline.sources import documents as docs
 from plumbline.sources import jsonl
 from plumbline.streaming import agent_events as E
+from plumbline.suite import QUERIES
 
 
 # --- draws and bootstrap ------------------------------------------------------------------------------
@@ -500,6 +502,20 @@ def test_corpus_files_and_receipts(spark, tmp_path):
     assert jsonl.read_json_doc(spark, str(tmp_path / "none.json")) is None
 
 
+def test_a_corpus_of_many_documents_is_few_files(spark, tmp_path):
+    texts = ["plain", "", "two\nlines\n", "a\x00", "\x00", "\u2028 \U0001f600 \"quoted\" \\", None] + [f"text {i}" for i in range(500)]
+    rows = [(i, None if i == 9 else "en" if i % 2 else "a/b", t) for i, t in enumerate(texts)] + [(None, "de", "no id")]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(2)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(work_dir(spark, "x")).parent
+    before = set(shared.glob("corpus-*"))
+    found = [tuple(r) for r in QUERIES["corpus_scan"](spark, str(tmp_path)).collect()]
+    want = [(f"{lang or ''}/{'' if i is None else i}.md", None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, lang, t in rows]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    (folder,) = set(shared.glob("corpus-*")) - before
+    assert len([*folder.rglob("*.json")]) <= 8
+
+
 def test_a_receipt_row_has_one_finding_however_often_its_path_is_listed(spark):
     receipt = spark.createDataFrame([("a", "x"), ("a", "0"), ("b", "x"), ("c", "y"), ("d", "x")], "path string, sha256 string")
     actual = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "x"), ("b", "x"), ("b", "z"), ("c", "y")], "path string, sha256 string")
