@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline import values as V
 from plumbline.functions import documents as D
 from plumbline.functions import scalar as S
-from plumbline.functions.draws import draw_positions, poisson_limits
+from plumbline.functions.draws import draw_positions, draw_values, first_value, poisson_limits
 from plumbline.operators import governance as G
 from plumbline.operators import joins as J
 from plumbline.operators import labels as L
@@ -57,6 +57,35 @@ def brute_interval(values: list[float], resamples: int) -> tuple[float, float]:
     return tuple(np.quantile(means, [0.025, 0.975]))
 
 
+@pytest.mark.parametrize("n", [7, 40, 333, 2100])
+def test_resamples_beyond_the_period_of_the_generator(n, monkeypatch):
+    """A chunk makes the draws of one period at most, however many the resamples ask for."""
+    table = np.random.default_rng(n).integers(0, 1 << 32, 1000, dtype=np.uint32)
+    made = []
+
+    def draws(seed, first, count):
+        made.append(count)
+        return table[(first + np.arange(count)) % len(table)]
+
+    monkeypatch.setattr(A, "PERIOD", len(table))
+    monkeypatch.setattr(A, "DRAWS", 64)
+    monkeypatch.setattr(A, "draw_values", draws)
+    values, resamples = np.random.default_rng(n + 1).random((n, 2)), 60
+    stream = np.floor(table[np.arange(n * resamples) % len(table)] / 4294967296 * n).astype(int).reshape(resamples, n)
+    for chunk in (n, 100):
+        made.clear()
+        sums = sum(A.resampled_sums(values[at:at + chunk], n, at, resamples, 1) for at in range(0, n, chunk))
+        assert np.allclose(sums, values[stream].sum(axis=1))
+        assert sum(made) <= min(len(table), n * resamples) * -(-n // chunk)
+
+
+def test_values_of_a_chunk_are_those_of_its_positions():
+    drawn = draw_values(4242, 0, 20000)
+    for size in (3, 97, 1_000_003):
+        for position in (0, 1, size // 3, size - 1, size):
+            assert ((drawn >= first_value(position, size)) == (draw_positions(4242, 0, 20000, size) >= position)).all()
+
+
 def test_bootstrap_in_one_and_in_many_chunks_equals_brute_force(spark):
     rng = random.Random(1)
     rows = [(g, f"c{i:04d}", rng.random()) for g, n in (("a", 40), ("b", 75)) for i in range(n)]
