@@ -12,6 +12,7 @@ from plumbline.operators.metrics import (
     Dimensions, Package, require_valid, score_cases, with_composites,
 )
 from plumbline.operators.stats import split_aggregate
+from plumbline.session import work_dir
 
 GOLD_LABELS = (
     "struct<bylaws_to_cite:array<string>,evidence_to_surface:array<string>,expected_gap_ids:array<string>,"
@@ -58,9 +59,11 @@ def explode_package(cases: DataFrame, runtime: DataFrame) -> Package:
     )
     gaps = runtime.select("case_id", F.posexplode("reported_numeric_gaps").alias("seq", "g")).select("case_id", "seq", "g.*")
     redlines = (
-        runtime.select("case_id", F.posexplode("redlines").alias("seq", "r"))
-        .select("case_id", "seq", "r.field", "r.addresses_gap", "r.cited_bylaw_id")
+        # joined before they are exploded: a packet travels once, and the redlines of a case stay neighbours
+        runtime.filter(F.size("redlines") > 0).select("case_id", "redlines")
         .join(cases.select("case_id", "application_packet"), "case_id")
+        .select("case_id", "application_packet", F.posexplode("redlines").alias("seq", "r"))
+        .select("case_id", "application_packet", "seq", "r.field", "r.addresses_gap", "r.cited_bylaw_id")
         .withColumn("field_exists", D.json_path_exists("application_packet", "field"))
         .drop("application_packet", "field")
     )
@@ -86,17 +89,29 @@ def evaluate(cases: DataFrame, runtime: DataFrame, dims: Dimensions, strict: boo
 
     ``runtime`` needs ``seq``; of several payloads for one case the last counts.
     """
-    body = cases.select("case_id")
-    matched, report = reconcile(body, runtime)
-    if strict:
-        found = report.first()
-        if not found["matched"]:
-            raise ValueError(
-                f"missing payload for {found['missing_count']} case(s) {found['missing_first']}, "
-                f"{found['extra_count']} extra payload(s) {found['extra_first']}"
-            )
+    spark = cases.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        """Written once, so that the many readers of a document do not parse and match it again."""
+        path = work_dir(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    cases, runtime = stored(cases, "parsed-cases"), stored(runtime, "parsed-payloads")
+    ids = runtime.groupBy("case_id").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("copies"))
+    pairs, report = reconcile(cases.select("case_id"), ids)
+    found = report.first()
+    if strict and not found["matched"]:
+        raise ValueError(
+            f"missing payload for {found['missing_count']} case(s) {found['missing_first']}, "
+            f"{found['extra_count']} extra payload(s) {found['extra_first']}"
+        )
+    if found["extra_count"] or not pairs.filter("copies > 1").isEmpty():
+        matched = stored(reconcile(cases.select("case_id"), runtime)[0], "matched-payloads")
+    else:
+        matched = runtime.drop("seq")
     scores = score_cases(explode_package(cases, matched), dims)
     if strict:
         scores = require_valid(scores, V.METRICS)
-    scores = with_composites(scores)
+    scores = stored(with_composites(scores), "scores")
     return scores, split_aggregate(scores, V.METRICS, **options)

@@ -18,7 +18,8 @@ def parse_lines(lines: DataFrame, schema: T.StructType | str, text: str = "line"
     marked = T.StructType([*struct.fields, T.StructField("_corrupt_record", T.StringType())])
     kept = lines.filter(~F.col(text).rlike(r"^\s*$"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = kept.withColumn("value", F.from_json(text, marked, options))
+    # generated, not projected: filters and fields of the value would each parse the line again
+    parsed = kept.withColumn("value", F.explode_outer(F.array(F.from_json(text, marked, options))))
     is_bad = F.col("value._corrupt_record").isNotNull() | F.col("value").isNull()
     good = parsed.filter(~is_bad).withColumn("value", F.col("value").dropFields("_corrupt_record"))
     bad = parsed.filter(is_bad).drop("value").withColumn("error", F.lit("malformed JSON"))

@@ -558,6 +558,37 @@ def test_duplicate_key_is_an_error(spark):
         docs.require_unique(dim, "bylaw_id")
 
 
+def test_canonical_text_is_the_same_by_the_encoder():
+    texts = [
+        '{"b": 1.0, "a": [1.50, -0.0, 1e3, 123456789.25, 0.0001, 100000000000000000000, true, null], "B": {"z": "x\\n\\"", "": ""}}',
+        '{"a": 1e-5, "b": 1e16, "c": 2.5e22}', '[1e15, 999999999999999.0, -12.75, 0.1]', '{"k": "\\u00e9\\ud83d\\ude00"}', '{"\u00e9": 1, "e": "\u2028"}',
+        '{"a": 1, "a": 2}', '"x"', '7', '{"\\u0062": 1, "a": "NaN"}', '[]', '{}',
+    ]
+    for text in texts:
+        assert D.canonical(text) == D.canonical_text(json.loads(text))
+    for text in ('[NaN]', '[1e999]', '{"a": -Infinity}'):
+        with pytest.raises(ValueError):
+            D.canonical(text)
+
+
+def test_built_cases_keep_one_row_per_grid_row(spark, tmp_path):
+    """Rows that are given one id stay two cases, each with its own labels; they were joined with each other's."""
+    grid = built_grid(spark).withColumn("given_id", F.lit("same"))
+    rules = spark.createDataFrame([("R-1", "units_proposed > 4", ["B"], ["e"], "gap-units-over")], "rule_id string, condition string, bylaw_ids array<string>, evidence_keys array<string>, emits_gap string")
+    evidence = spark.createDataFrame([("B", "k")], "bylaw_id string, evidence_key string")
+    out = L.build_cases(grid, rules, evidence, "2026-01-01")
+    assert sorted((r["case_id"], r["units_proposed"], r["expected_gap_ids"]) for r in out.collect()) == [("same", 2.0, []), ("same", 6.0, ["gap-units-over"])]
+
+
+def built_grid(spark):
+    numbers = ["fsr_proposed", "fsr_allowed", "rear_setback_m_proposed", "rear_setback_m_required", "side_setback_m_proposed", "side_setback_m_required",
+               "parking_spaces_proposed", "parking_spaces_required", "height_m_proposed", "height_m_max", "energy_step_code_proposed", "lot_area_sqm"]
+    texts = ["outcome_class", "gap_severity_bucket", "applicant_type", "edge_case_family", "zoning_district", "address_stub", "represented_by"]
+    lists = {c: F.array().cast("array<string>") for c in ("missing_documents", "submitted_documents", "submitted_kinds")}
+    rows = spark.createDataFrame([(0, "d", 2.0), (1, "d", 6.0)], "row_index long, domain string, units_proposed double")
+    return rows.withColumns({c: F.lit(1.5) for c in numbers} | {c: F.lit("x") for c in texts} | lists)
+
+
 # --- nested documents end to end -----------------------------------------------------------------------------
 
 def test_evaluate_documents(spark, tmp_path):
@@ -589,6 +620,14 @@ def test_evaluate_documents(spark, tmp_path):
         evaluate(cases, runtime.filter("false"), dims)
 
 
+def test_a_line_is_parsed_once_and_payloads_are_read_once(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"case_id": "a", "b": 1}\n\n{"case_id": "c"')
+    good, bad = jsonl.read_jsonl(spark, str(tmp_path / "x.jsonl"), "case_id string, b int")
+    assert [tuple(r) for r in good.select("line_no", "value.*").collect()] == [(1, "a", 1)] and bad.first()["line_no"] == 3
+    plan = good.select("line_no", "value.*").filter("case_id <> 'q' and b > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 # --- state table ---------------------------------------------------------------------------------------------------
 
 def test_state_table_upsert_is_idempotent_and_keeps_the_newest(spark):
