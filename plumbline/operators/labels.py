@@ -131,12 +131,22 @@ def rule_gifts(cases: DataFrame, index: DataFrame) -> DataFrame:
             items = F.get("_index", F.lit(places[f"{number}:{name}"]))
             taken = _up_to(items, reach) if kind in ("number", "optional", "missing_with") else items
             found[name].append(F.when(holds, F.transform(taken, lambda x: x["item"])))
-    together = lambda columns: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(c, none) for c in columns]))))
+    together = lambda columns: F.sort_array(F.array_distinct(F.flatten(F.array(*[F.coalesce(c, none) for c in columns]))))
     return held.select(*cases.columns, *[together(columns).alias(name) for name, columns in found.items()])
 
 
+#: Columns of ``derive_labels``.
+LABELS = ("bylaws_to_cite", "evidence_to_surface", "expected_gap_ids", "expected_redlines_min", "expected_redlines_max",
+          "stage1_complete", "stage1_missing", "derivation_source")
+
+
 def derive_labels(cases: DataFrame, rules: DataFrame, evidence_map: DataFrame) -> DataFrame:
-    """Gold labels per case: sorted unique gaps, citations, evidence, redline range, stage-1 flags, source.
+    """Gold labels per case, see ``with_labels``."""
+    return with_labels(cases, rules, evidence_map).select("case_id", *[F.col(f"_labels.{name}").alias(name) for name in LABELS])
+
+
+def with_labels(cases: DataFrame, rules: DataFrame, evidence_map: DataFrame) -> DataFrame:
+    """``cases`` with a struct ``_labels`` of gold labels: sorted unique gaps, citations, evidence, redline range, stage-1 flags, source.
 
     Labels given with the row (``given_*`` arrays, when present) win if they are not empty. Lists are
     bounded by the rule set, not by the data. The rules become an index of thresholds, at which a case looks once per form.
@@ -164,8 +174,7 @@ def derive_labels(cases: DataFrame, rules: DataFrame, evidence_map: DataFrame) -
         F.lit("oracle-rule:"),
         F.when(F.size("rule_ids") > 0, F.array_join("rule_ids", "+")).otherwise("NO-GAP"),
     )
-    return joined.select(
-        "case_id",
+    labels = F.struct(
         prefer("given_bylaws", F.col("rule_bylaws")).alias("bylaws_to_cite"),
         prefer("given_evidence", evidence_all).alias("evidence_to_surface"),
         prefer("given_gap_ids", F.col("rule_gaps")).alias("expected_gap_ids"),
@@ -175,6 +184,7 @@ def derive_labels(cases: DataFrame, rules: DataFrame, evidence_map: DataFrame) -
         prefer("given_stage1_missing", missing).alias("stage1_missing"),
         source.alias("derivation_source"),
     )
+    return joined.select(*cases.columns, labels.alias("_labels"))
 
 
 def project_facts(grid: DataFrame, aliases: dict[str, Sequence[str]], defaults: dict[str, float]) -> DataFrame:
@@ -243,7 +253,8 @@ def build_cases(grid: DataFrame, rules: DataFrame, evidence_map: DataFrame, gene
     ids = S.minted_id(F.col("given_id"), F.col("domain"), F.col("row_index") + 1)
     facts = ["fsr_proposed", "rear_setback_m_proposed", "side_setback_m_proposed", "front_setback_m_proposed", "height_m_proposed",
              "units_proposed", "parking_spaces_proposed", "energy_step_code_proposed", "tree_inventory_count"]
-    rows = grid.withColumn("case_id", ids)
+    # a row is few bytes and much work, so rows are dealt evenly, whatever the splits of the input
+    rows = grid.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("case_id", ids)
     present = [F.struct(F.lit(f).alias("key"), F.col(f).cast("double").alias("value")) for f in facts if f in grid.columns]
     fact_map = F.map_from_entries(F.filter(F.array(*present), lambda e: e["value"].isNotNull()))
     packet = F.to_json(F.struct(
@@ -252,7 +263,9 @@ def build_cases(grid: DataFrame, rules: DataFrame, evidence_map: DataFrame, gene
         "submitted_documents", "missing_documents",
     ), {"ignoreNullFields": "false"})
     rows = with_fingerprints(rows.withColumn("facts", fact_map).withColumn("application_packet", packet))
-    labelled = rows.join(derive_labels(rows, rules, evidence_map), "case_id")
+    # the labels stay on their row: a join by case_id would shuffle all rows twice, and multiply rows whose ids repeat
+    labelled = with_labels(rows, rules, evidence_map).select(*rows.columns, *[F.col(f"_labels.{name}").alias(name) for name in LABELS])
+    labelled = labelled.select("case_id", *[c for c in labelled.columns if c != "case_id"])
     body = [c for c in labelled.columns if not D.is_generated_key(c)]
     return labelled.withColumn(
         "provenance",
