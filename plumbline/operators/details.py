@@ -7,6 +7,7 @@ very many items is many rows and never one array.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline import values as V
 from plumbline.operators import metrics as M
 from plumbline.operators.joins import dim_join, salted_join
+from plumbline.session import work_dir
 
 REDLINE_COUNTS = {"valid_redline_count": "valid_redline_n", "emitted_count": "redline_n", "gold_gap_count": "gold_gap_n"}
 INVALID = {"field_not_found": "field_not_found_n", "gap_not_expected": "gap_not_expected_n", "bylaw_not_found": "bylaw_not_found_n"}
@@ -124,15 +126,27 @@ def _judged(pkg: M.Package, dims: M.Dimensions) -> DataFrame:
 def metric_details(pkg: M.Package, dims: M.Dimensions, metrics: Sequence[str] = V.METRICS[2:]) -> DataFrame:
     """(case_id, metric, kind, item, part, value) rows for metrics M3-M13.
 
-    Item tables are read once per item space, however many of its metrics are asked for. M12 has judged redlines only where
-    the package holds their scores.
+    Item tables are made and stored once per item space, however many of its metrics are asked for; counts and lists read them.
+    M12 has judged redlines only where the package holds their scores.
     """
     space = lambda *names: [m for m in metrics if m in names]
+    items = M.read_by(pkg, metrics)
+    spark = next(t for t in vars(items).values() if isinstance(t, DataFrame)).sparkSession
+    made = {}
+    for name, listed, make in (
+        ("bylaw", ("M3", "M4", "M9"), M.checked_bylaws), ("name", ("M7", "M10", "M11"), M.name_items),
+        ("evidence", ("M5",), M.evidence_items), ("gap", ("M6",), M.gap_verdicts),
+    ):
+        if space(*listed):
+            path = work_dir(spark, f"{name}-items")
+            make(items, dims).write.parquet(path)
+            made[name] = spark.read.parquet(path)
+    pkg = replace(pkg, made=made)
     parts = [_counts(pkg, dims, metrics)]
     for wanted, make in ((space("M3", "M4", "M9"), _bylaws), (space("M7", "M10", "M11"), _names)):
         if wanted:
-            parts.append(make(M.read_by(pkg, wanted), dims, wanted))
+            parts.append(make(pkg, dims, wanted))
     for metric, make in (("M5", _evidence), ("M6", _gaps), ("M12", _judged)):
         if metric in metrics and (metric != "M12" or pkg.redline_scores is not None):
-            parts.append(make(M.read_by(pkg, [metric]), dims))
+            parts.append(make(pkg, dims))
     return M._union(parts)

@@ -249,3 +249,12 @@ def test_details_name_what_the_scores_count(spark):
         ("a", "M9", "invalid_memo_bylaw_ids", "ZZ-9", None, None), ("a", "M10", "dropped_for_taxonomy", "odd", None, None),
         ("a", "M10", "intersection_count", None, None, 1.0),
     }
+
+
+def test_details_make_an_item_table_once(spark, monkeypatch):
+    calls = []
+    fold = M._fold
+    monkeypatch.setattr(M, "_fold", lambda *a: calls.append(a[1]) or fold(*a))
+    p = package(spark, gold_bylaws=[("c1", "AB-1")], cited=[("c1", 0, "AB-2")], runtime=[("c1", "x", True, "per AB-3", "")])
+    metric_details(p, M.Dimensions(corpus=spark.createDataFrame([("AB-1",)], "bylaw_id string")), ["M3", "M4", "M9"])
+    assert len(calls) == 1
