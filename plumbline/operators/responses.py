@@ -124,11 +124,13 @@ def resolve_attempts(classified: DataFrame, max_attempts: int = MAX_ATTEMPTS) ->
 
 # --- stage contracts -------------------------------------------------------------------------------------
 
-def _typed(output: Column, key: str, kind: str) -> Column:
-    """Whether a top-level key holds a value of the JSON type."""
-    shape = F.schema_of_variant(F.try_variant_get(F.try_parse_json(output), f"$.{key}", "variant"))
-    pattern = {"string": "^STRING$", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}[kind]
-    return F.coalesce(shape.rlike(pattern), F.lit(False))
+_JSON = {"string": "^STRING$", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
+
+
+def _typed(document: Column, key: str, kind: str) -> Column:
+    """Whether a top-level key of a parsed document holds a value of the JSON type."""
+    shape = F.schema_of_variant(F.try_variant_get(document, f"$.{key}", "variant"))
+    return F.coalesce(shape.rlike(_JSON[kind]), F.lit(False))
 
 
 # Keys and types of each stage's output ("?" marks an optional key).
@@ -144,21 +146,22 @@ CONTRACTS = {
 }
 
 
-def contract_errors(output: Column, agent: str) -> Column:
-    """Array of contract violations of one stage's output: keys, types, value ranges."""
+def contract_errors(output: Column, agent: str, keys: Column, document: Column) -> Column:
+    """Array of contract violations of one stage's output: keys, types, value ranges.
+
+    ``keys`` and ``document`` are the output's top-level keys and the parsed output, see ``check_contracts``.
+    """
     fields = CONTRACTS[agent]
     required = [k for k in fields if not k.endswith("?")]
     allowed = [k.rstrip("?") for k in fields]
-    keys = F.coalesce(F.json_object_keys(output), F.array().cast("array<string>"))
     problems = [
         F.transform(F.array_except(S.lit_array(required), keys), lambda k: F.concat(F.lit("missing "), k)),
         F.transform(F.array_except(keys, S.lit_array(allowed)), lambda k: F.concat(F.lit("unexpected "), k)),
     ]
+    found = []
     for name, kind in fields.items():
         key = name.rstrip("?")
-        problems.append(F.array_compact(F.array(
-            F.when(F.array_contains(keys, key) & ~_typed(output, key, kind), F.lit(f"{key} is not {kind}"))
-        )))
+        found.append(F.when(F.array_contains(keys, key) & ~_typed(document, key, kind), F.lit(f"{key} is not {kind}")))
     text = lambda key: F.get_json_object(output, f"$.{key}")
     rules = {
         "scope-pathway-classifier": [
@@ -168,19 +171,18 @@ def contract_errors(output: Column, agent: str) -> Column:
         "pre-review-memo-writer": [("outcome", text("outcome").isin(V.OUTCOMES))],
     }.get(agent, [])
     for key, ok in rules:
-        problems.append(F.array_compact(F.array(
-            F.when(F.array_contains(keys, key) & ~F.coalesce(ok, F.lit(False)), F.lit(f"{key} has a bad value"))
-        )))
-    is_object = F.json_object_keys(output).isNotNull()
-    return F.when(is_object, F.concat(*problems)).otherwise(F.array(F.lit("not an object")))
+        found.append(F.when(F.array_contains(keys, key) & ~F.coalesce(ok, F.lit(False)), F.lit(f"{key} has a bad value")))
+    return F.concat(*problems, F.array_compact(F.array(*found)))
 
 
 def check_contracts(outputs: DataFrame) -> DataFrame:
-    """Adds ``errors`` to stage outputs (case_id, agent, output)."""
+    """Adds ``errors`` to stage outputs (case_id, agent, output). An output's keys are read once and it is parsed once."""
     errors = F.array(F.lit("unknown agent"))
     for agent in CONTRACTS:
-        errors = F.when(F.col("agent") == agent, contract_errors(F.col("output"), agent)).otherwise(errors)
-    return outputs.withColumn("errors", errors)
+        checked = contract_errors(F.col("output"), agent, F.col("_keys"), F.col("_document"))
+        errors = F.when(F.col("agent") == agent, F.when(F.col("_keys").isNull(), F.array(F.lit("not an object"))).otherwise(checked)).otherwise(errors)
+    read = {"_keys": F.json_object_keys("output"), "_document": F.try_parse_json("output")}
+    return outputs.withColumns(read).withColumn("errors", errors).drop(*read)
 
 
 # Order in which the stages depend on each other.

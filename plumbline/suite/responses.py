@@ -113,7 +113,9 @@ STAGE_OUTPUTS = """
  select case_id, 'pre-review-memo-writer', 'outcome has a bad value' from fx_case where k % 6 = 0""")
 def stage_contract_errors(spark: SparkSession, root: str) -> DataFrame:
     """EXT4."""
-    return R.check_contracts(load(spark, root, STAGE_OUTPUTS)).select("case_id", "agent", F.explode("errors").alias("error"))
+    checked = R.check_contracts(load(spark, root, STAGE_OUTPUTS))
+    # outer: a plain explode would have Spark put a filter on the errors in front, which works them out again
+    return checked.select("case_id", "agent", F.explode_outer("errors").alias("error")).filter(F.col("error").isNotNull())
 
 
 @query("stitched_failures", """
