@@ -45,13 +45,13 @@ def reference_bodies(cases: DataFrame, outputs: DataFrame, ids: str) -> DataFram
     )
 
 
-def judge_requests(cases: DataFrame, redlines: DataFrame, texts: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """One request row per valid redline, per memo and per letter.
+def case_contexts(cases: DataFrame) -> DataFrame:
+    """(case_id, case_context) of every case."""
+    return cases.select("case_id", case_summary().alias("case_context"))
 
-    ``redlines``: case_id, seq, redline (json), already valid; ``texts``: case_id, audience, text;
-    ``references``: case_id, audience, references (json).
-    """
-    context = cases.select("case_id", case_summary().alias("case_context"))
+
+def request_rows(redlines: DataFrame, texts: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """One row per valid redline, per memo and per letter, without the case context. Arguments as in ``judge_requests``."""
     redline_rows = redlines.select(
         "case_id", F.lit("redline").alias("kind"), "seq", F.col("redline").alias("artifact"), F.lit("[]").alias("references")
     )
@@ -64,7 +64,28 @@ def judge_requests(cases: DataFrame, redlines: DataFrame, texts: DataFrame, refe
         "case_id", F.col("audience").alias("kind"), F.lit(0).alias("seq"), F.col("text").alias("artifact"),
         F.coalesce("references", F.lit("[]")).alias("references"),
     )
-    return redline_rows.unionByName(text_rows).join(context, "case_id")
+    return redline_rows.unionByName(text_rows)
+
+
+def judge_requests(cases: DataFrame, redlines: DataFrame, texts: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """One request row per valid redline, per memo and per letter.
+
+    ``redlines``: case_id, seq, redline (json), already valid; ``texts``: case_id, audience, text;
+    ``references``: case_id, audience, references (json).
+    """
+    return request_rows(redlines, texts, references).join(case_contexts(cases), "case_id")
+
+
+def request_counts(cases: DataFrame, redlines: DataFrame, texts: DataFrame, part: Column) -> DataFrame:
+    """(case_id, kind, n, context_part) of the requests that ``judge_requests`` makes; ``part`` is an expression over case_context.
+
+    Requests are counted and the part is cut out before they meet, so no task sorts contexts or artifacts.
+    """
+    counts = request_rows(redlines, texts).groupBy("case_id", "kind").agg(F.count(F.lit(1)).alias("_n"))
+    parts = case_contexts(cases).select("case_id", part.alias("_part"))
+    # a case that is listed twice makes every request twice
+    parts = parts.groupBy("case_id").agg(F.count(F.lit(1)).alias("_cases"), F.min("_part").alias("context_part"))
+    return counts.join(parts, "case_id").select("case_id", "kind", (F.col("_n") * F.col("_cases")).alias("n"), "context_part")
 
 
 def parsed_judgement(stdout: Column) -> Column:

@@ -157,9 +157,7 @@ def judge_request_counts(spark: SparkSession, root: str) -> DataFrame:
         F.struct(F.lit("applicant").alias("audience"), F.col("letter_markdown").alias("text")),
     )))
     part = F.regexp_extract("case_context", r'("domain":"[^"]*")', 1)
-    return R.judge_requests(cases, valid.withColumn("seq", F.col("seq").cast("int")), texts).groupBy("case_id", "kind").agg(
-        F.count(F.lit(1)).alias("n"), F.min(part).alias("context_part")
-    )
+    return R.request_counts(cases, valid.withColumn("seq", F.col("seq").cast("int")), texts, part)
 
 
 @query("reference_bodies", """
