@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline import values as V
 from plumbline.operators import metrics as M
-from plumbline.operators.joins import dim_join, salted_join
+from plumbline.operators.joins import dim_join, hashed_join, salted_join
 from plumbline.session import work_dir
 
 REDLINE_COUNTS = {"valid_redline_count": "valid_redline_n", "emitted_count": "redline_n", "gold_gap_count": "gold_gap_n"}
@@ -119,7 +119,7 @@ def _judged(pkg: M.Package, dims: M.Dimensions) -> DataFrame:
     usable = dim_join(pkg.redlines.filter("field_exists"), known, "cited_bylaw_id", "left_semi", dims.small("corpus"))
     expected = pkg.gold_gaps.select("case_id", F.col("gap_id").alias("addresses_gap")).distinct()
     valid = salted_join(usable, expected, ["case_id", "addresses_gap"], "left_semi")
-    scored = valid.join(pkg.redline_scores.select("case_id", "seq", "score"), ["case_id", "seq"], "left")
+    scored = hashed_join(valid, pkg.redline_scores.select("case_id", "seq", "score"), ["case_id", "seq"], "left")
     return _rows(scored, [_detail("M12", "judged_redlines", F.col("seq"), F.col("addresses_gap"), F.col("score"))])
 
 
