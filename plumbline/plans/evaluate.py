@@ -12,7 +12,7 @@ from plumbline.operators.metrics import (
     Dimensions, Package, require_valid, score_cases, with_composites,
 )
 from plumbline.operators.stats import split_aggregate
-from plumbline.session import work_dir
+from plumbline.session import stored
 
 GOLD_LABELS = (
     "struct<bylaws_to_cite:array<string>,evidence_to_surface:array<string>,expected_gap_ids:array<string>,"
@@ -89,14 +89,7 @@ def evaluate(cases: DataFrame, runtime: DataFrame, dims: Dimensions, strict: boo
 
     ``runtime`` needs ``seq``; of several payloads for one case the last counts.
     """
-    spark = cases.sparkSession
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        """Written once, so that the many readers of a document do not parse and match it again."""
-        path = work_dir(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
+    # written once, so that the many readers of a document do not parse and match it again
     cases, runtime = stored(cases, "parsed-cases"), stored(runtime, "parsed-payloads")
     ids = runtime.groupBy("case_id").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("copies"))
     pairs, report = reconcile(cases.select("case_id"), ids)

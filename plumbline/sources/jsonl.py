@@ -41,7 +41,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_block.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    return raw.join(offsets, ["path", "block"]).select(
+    # one row per split, so no line has to travel
+    return raw.join(F.broadcast(offsets), ["path", "block"]).select(
         "path", (F.col("before") + F.col("rid") - F.col("first_rid") + 1).alias("line_no"), "line"
     )
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.parts import cut, parts_of
 from plumbline.plans.evaluate import CASE_SCHEMA, RUNTIME_SCHEMA, evaluate
-from plumbline.session import work_dir
+from plumbline.session import shuffles_freed, work_dir
 from plumbline.sources.jsonl import read_jsonl_strict
 from plumbline.suite.registry import load, query
 from plumbline.suite.scoring import DET_SQL, PART_SQL, SCORE_JOIN, SCORE_SQL, dimensions
@@ -43,13 +46,25 @@ PAYLOADS = nested("fx_runtime", "b.predicted_pathway, b.stage1_complete, b.memo_
 LABELS = ("bylaws_to_cite", "expected_gap_ids", "stage1_missing", "expected_applicant_support_flags")
 
 
+def inputs_by_part(spark: SparkSession, root: str) -> list[dict[str, DataFrame]]:
+    """The inputs of the documents for each part of the cases; none are given where all cases are taken at once."""
+    parts = parts_of(load(spark, root, "fx_case"))
+    if parts == 1:
+        return [{}]
+    dealt = {name: cut(load(spark, root, name), parts, name) for name in sorted(set(re.findall(r"\bfx_\w+", CASES + PAYLOADS)))}
+    return [{name: rows[i] for name, rows in dealt.items()} for i in range(parts)]
+
+
 @query("evaluate_documents", f"{SCORE_SQL} select sM1.case_id, {DET_SQL} as deterministic_prqs, {PART_SQL} as partial_full_prqs_lower_bound {SCORE_JOIN}")
 def evaluate_documents(spark: SparkSession, root: str) -> DataFrame:
     """Every case and payload as a JSON document, through the strict reader and the whole evaluation."""
     labels = F.struct(*LABELS, F.col("gold_stage1_complete").alias("stage1_complete")).alias("gold_labels")
     folders = work_dir(spark, "cases"), work_dir(spark, "payloads")
-    load(spark, root, CASES).select("case_id", "domain", "split", "pathway_class", "application_packet", labels).write.json(folders[0])
-    load(spark, root, PAYLOADS).write.json(folders[1])
+    for given in inputs_by_part(spark, root):
+        with shuffles_freed(spark):
+            cases = load(spark, root, CASES, given).select("case_id", "domain", "split", "pathway_class", "application_packet", labels)
+            cases.write.mode("append").json(folders[0], compression="gzip")
+            load(spark, root, PAYLOADS, given).write.mode("append").json(folders[1], compression="gzip")
     cases = read_jsonl_strict(spark, folders[0], CASE_SCHEMA).select("value.*")
     runtime = read_jsonl_strict(spark, folders[1], RUNTIME_SCHEMA).select(F.col("line_no").alias("seq"), "value.*")
     scores, _ = evaluate(cases, runtime, dimensions(spark, root))
