@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from plumbline import values as V
 from plumbline.operators import metrics as M
 from plumbline.operators.joins import dim_join, salted_join
-from plumbline.session import work_dir
+from plumbline.operators.parts import by_part, parts_of
+from plumbline.session import stored
 
 REDLINE_COUNTS = {"valid_redline_count": "valid_redline_n", "emitted_count": "redline_n", "gold_gap_count": "gold_gap_n"}
 INVALID = {"field_not_found": "field_not_found_n", "gap_not_expected": "gap_not_expected_n", "bylaw_not_found": "bylaw_not_found_n"}
@@ -116,37 +117,38 @@ def _names(pkg: M.Package, dims: M.Dimensions, metrics: Sequence[str]) -> DataFr
 def _judged(pkg: M.Package, dims: M.Dimensions) -> DataFrame:
     """Valid redlines with their judged score (null: judge error)."""
     known = dims.corpus.select(F.col("bylaw_id").alias("cited_bylaw_id")).distinct()
-    usable = dim_join(pkg.redlines.filter("field_exists"), known, "cited_bylaw_id", "left_semi", dims.small("corpus"))
+    usable = dim_join(M.checked_redlines(pkg).filter("field_exists"), known, "cited_bylaw_id", "left_semi", dims.small("corpus"))
     expected = pkg.gold_gaps.select("case_id", F.col("gap_id").alias("addresses_gap")).distinct()
     valid = salted_join(usable, expected, ["case_id", "addresses_gap"], "left_semi")
     scored = valid.join(pkg.redline_scores.select("case_id", "seq", "score"), ["case_id", "seq"], "left")
     return _rows(scored, [_detail("M12", "judged_redlines", F.col("seq"), F.col("addresses_gap"), F.col("score"))])
 
 
-def metric_details(pkg: M.Package, dims: M.Dimensions, metrics: Sequence[str] = V.METRICS[2:]) -> DataFrame:
+def metric_details(pkg: M.Package, dims: M.Dimensions, metrics: Sequence[str] = V.METRICS[2:], parts: int | None = None) -> DataFrame:
     """(case_id, metric, kind, item, part, value) rows for metrics M3-M13.
 
     Item tables are made and stored once per item space, however many of its metrics are asked for; counts and lists read them.
-    M12 has judged redlines only where the package holds their scores.
+    M12 has judged redlines only where the package holds their scores. ``parts`` are the parts of the cases that are taken one after
+    the other, by their number if not given.
     """
+    parts = parts_of(pkg.cases) if parts is None else parts
+    if parts > 1:
+        return by_part(M.needed_by(pkg, metrics), parts, lambda p: metric_details(p, dims, metrics, 1), "details")
     space = lambda *names: [m for m in metrics if m in names]
     items = M.read_by(pkg, metrics)
-    spark = next(t for t in vars(items).values() if isinstance(t, DataFrame)).sparkSession
     made = {}
     for name, listed, make in (
         ("bylaw", ("M3", "M4", "M9"), M.checked_bylaws), ("name", ("M7", "M10", "M11"), M.name_items),
         ("evidence", ("M5",), M.evidence_items), ("gap", ("M6",), M.gap_verdicts),
     ):
         if space(*listed):
-            path = work_dir(spark, f"{name}-items")
-            make(items, dims).write.parquet(path)
-            made[name] = spark.read.parquet(path)
+            made[name] = stored(make(items, dims), f"{name}-items")
     pkg = replace(pkg, made=made)
-    parts = [_counts(pkg, dims, metrics)]
+    found = [_counts(pkg, dims, metrics)]
     for wanted, make in ((space("M3", "M4", "M9"), _bylaws), (space("M7", "M10", "M11"), _names)):
         if wanted:
-            parts.append(make(pkg, dims, wanted))
+            found.append(make(pkg, dims, wanted))
     for metric, make in (("M5", _evidence), ("M6", _gaps), ("M12", _judged)):
         if metric in metrics and (metric != "M12" or pkg.redline_scores is not None):
-            parts.append(make(pkg, dims))
-    return M._union(parts)
+            found.append(make(pkg, dims))
+    return M._union(found)
